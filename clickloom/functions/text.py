@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Punctuation removed from a search query, full-width and half-width, and the space.
-QUERY_PUNCTUATION = "，。！？、；：“”‘’（）《》【】{}—…￥·~！@#￥%&*+|:\"<>?`[]\;',./ "
+QUERY_PUNCTUATION = "，。！？、；：“”‘’（）《》【】{}—…￥·~！@#￥%&*+|:\"<>?`[]\\;',./ "
 
 
 def strip_punctuation(col: Column) -> Column:
@@ -54,3 +54,21 @@ def pieces(col: Column) -> Column:
 def words(col: Column) -> Column:
     """Non-empty tokens split on white space."""
     return F.filter(F.split(col, r"\s+"), lambda w: w != "")
+
+
+def ngrams_of(chars: Column, low: int, high: int) -> Column:
+    """All n-grams of an array of characters. Give it a column, not a split: every gram reads it."""
+    grams = [
+        F.when(
+            F.size(chars) >= n,
+            F.transform(
+                F.sequence(F.lit(0), F.size(chars) - n), lambda i, n=n: F.concat(*[F.get(chars, i + d) for d in range(n)])
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+        for n in range(low, high + 1)
+    ]
+    return F.concat(*grams)
+
+
+def characters(col: Column) -> Column:
+    return F.filter(F.split(col, ""), lambda c: c != "")

@@ -38,11 +38,14 @@ def phrase_match(df: DataFrame, id: str, text: str, gazetteer: DataFrame, max_to
     gaz = read_gazetteer(gazetteer.drop("gram", "n_tokens"))
     gaz = gaz.withColumn("_head", F.substring_index("gram", " ", max_tokens))
     toks = df.select(id, tokens(F.col(text)).alias("_t"))
-    spots = toks.select(
-        id, "_t", F.posexplode("_t").alias("start", "_w")
-    ).select(id, "start", F.slice("_t", F.col("start") + 1, max_tokens).alias("_s"))
+    # Each place takes only its own few tokens along, never the whole text.
+    at = F.transform(
+        F.sequence(F.lit(0), F.size("_t") - 1),
+        lambda i: F.struct(i.alias("start"), F.slice(F.col("_t"), i + 1, F.lit(max_tokens)).alias("s")),
+    )
+    spots = toks.where(F.size("_t") > 0).select(id, F.explode(at).alias("_p")).select(id, "_p.start", "_p.s")
     grams = spots.select(
-        id, "start", F.explode(F.transform(F.sequence(F.lit(1), F.size("_s")), lambda n: F.slice("_s", F.lit(1), n))).alias("_g")
+        id, "start", F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.slice("s", F.lit(1), n))).alias("_g")
     ).withColumn("_head", F.lower(F.array_join("_g", " ")))
     hit = grams.join(gaz, "_head")
     short = hit.where(F.col("n_tokens") <= max_tokens).select(

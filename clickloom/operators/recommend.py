@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions.numeric import sigmoid, stable_uniform
 from clickloom.operators.relational import enrich, exclude, weight_of
@@ -172,7 +173,7 @@ def beta_posterior(
     return out.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _beta_draw(alpha: pd.Series, beta: pd.Series, seed: pd.Series) -> pd.Series:
     draws = [
         np.random.Generator(np.random.Philox(key=int(s) & 0xFFFFFFFFFFFFFFFF)).beta(a, b)

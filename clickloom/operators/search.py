@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.text import normalize_query, paren_text, strip_punctuation, words
+from clickloom.functions.text import characters, ngrams_of, normalize_query, paren_text, strip_punctuation, words
 from clickloom.operators.relational import byte_length_between, threshold_filter
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.skew import mirror, salted_join, within_group_pairs
@@ -170,14 +170,8 @@ def intent_pipeline(text: str, label: str, algo: str = "logistic", vocab: int =
 
 
 def with_grams(df: DataFrame, text: str, low: int = 1, high: int = 3) -> DataFrame:
-    t = F.col(text)
-    grams = [
-        F.when(
-            F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i, n=n: F.substr(t, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return df.withColumn("grams", F.concat(*grams))
+    chars = df.withColumn("_c", characters(F.col(text)))
+    return chars.withColumn("grams", ngrams_of(F.col("_c"), low, high)).drop("_c")
 
 
 def intent_fit(df: DataFrame, text: str, label: str, algo: str = "logistic"):

@@ -13,10 +13,11 @@ from clickloom.operators.relational import ITEMS_PER_ROW
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, following_row, previous_row, running_sum
 from clickloom.plans.skew import salted_join
+from clickloom.session import shared_dir
 
 
 def seconds_of(ts: Column) -> Column:
-    return F.unix_micros(ts) / 1_000_000
+    return F.unix_micros(ts.cast("timestamp")) / 1_000_000
 
 
 def sessionize(df: DataFrame, user: str, ts: str, gap: str = "30 minutes", tie: Sequence[str] = ()) -> DataFrame:
@@ -131,37 +132,40 @@ def pool_vectors(
 def random_walks(edges: DataFrame, length: int, walks: int, seed: int) -> DataFrame:
     """``walks`` walks of ``length`` items from every node of a weighted item graph (src, dst, weight).
 
-    Each step joins the walk's draw with the cumulative weights of its node's edges; nodes are cut into
-    equal slices of that weight so a node with many edges is not one large join group.
+    A node's edges cover [0, 1) in proportion to their weights, cut into as many slices as it has edges.
+    A step is one equality join of (node, slice of the draw) followed by a filter; the edge table already
+    knows the degree of the next node. Walks at a much visited node spread over its slices.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("_total"), F.count(F.lit(1)).alias("_deg"))
     cum = OrderedRows(edges, ["src"], ["dst"]).add(_before=running_sum(F.col("weight"), inclusive=False))
     cum = cum.add(_after=following_row(F.col("_before"))).rows()
     table = salted_join(cum, total, ["src"]).select(
-        "src", "dst",
+        "src", "dst", "_deg",
         (F.col("_before") / F.col("_total")).alias("_lo"),
         F.coalesce(F.col("_after") / F.col("_total"), F.lit(1.0)).alias("_hi"),
-        "_deg",
     )
-    sliced = table.withColumn(
-        "_slice", F.explode(F.sequence(F.floor(F.col("_lo") * F.col("_deg")), F.floor(F.col("_hi") * F.col("_deg"))))
-    )
-    degree = total.select("src", "_deg")
-    walk = total.select(F.col("src").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"))
-    walk = walk.withColumn("path", F.array("start"))
+    table = salted_join(table, total.select(F.col("src").alias("dst"), F.col("_deg").alias("_next_deg")), ["dst"], "left")
+    slot = lambda x: F.floor(x * F.col("_deg"))
+    table = table.withColumn("_slice", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi")))))
+    # Written once to the shared folder: every step reads it again.
+    shared_dir(edges.sparkSession)
+    table = table.select("src", "_slice", "dst", "_lo", "_hi", F.coalesce("_next_deg", F.lit(0)).alias("_next_deg")).checkpoint()
+    walk = total.select(
+        F.col("src").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), "src", "_deg"
+    ).withColumn("path", F.array("start"))
     for step in range(1, length):
-        here = walk.withColumn("src", F.element_at("path", -1)).withColumn(
-            "_u", stable_uniform(seed, F.col("start"), F.col("walk"), F.lit(step))
-        )
-        here = salted_join(here, degree, ["src"], "left").withColumn("_slice", F.floor(F.col("_u") * F.col("_deg")))
-        nxt = here.drop("_deg").join(sliced.select("src", "_slice", "dst", "_lo", "_hi"), ["src", "_slice"], "left")
-        inside = (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
-        nxt = nxt.where(F.col("dst").isNull() | inside)
-        walk = nxt.select(
+        here = walk.withColumn("_u", stable_uniform(seed, F.col("start"), F.col("walk"), F.lit(step)))
+        here = here.withColumn("_slice", F.floor(F.col("_u") * F.col("_deg"))).drop("_deg")
+        met = here.join(table, ["src", "_slice"], "left")
+        stuck = F.col("dst").isNull()
+        met = met.where(stuck | ((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))))
+        walk = met.select(
             "start", "walk",
-            F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("dst"))).alias("path"),
+            F.coalesce("dst", "src").alias("src"),
+            F.coalesce("_next_deg", F.lit(0)).alias("_deg"),
+            F.when(stuck, F.col("path")).otherwise(F.array_append("path", F.col("dst"))).alias("path"),
         )
-    return walk
+    return walk.select("start", "walk", "path")
 
 
 def change_points(df: DataFrame, by: Sequence[str], pos: str, value: str, k: int | Column) -> DataFrame:

@@ -78,7 +78,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2",
 def _top_of_blocks(q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_table: bool) -> DataFrame:
     found = (
         q.groupBy(*keys)
-        .cogroup(v.groupBy(*keys))
+        .cogroup(v.toDF(*v.columns).groupBy(*keys))
         .applyInPandas(_nearest(k, metric, same_table), "query_id long, id long, score double")
     )
     best = top_n(found.distinct(), ["query_id"], ["score", "id"], k)

@@ -39,19 +39,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
     """Typed rows and the malformed lines, kept apart instead of failing the job."""
-    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.option("sep", sep).option("columnNameOfCorruptRecord", "_corrupt_record").schema(full).csv(path)
-    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    return good, bad
+    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    raw = spark.read.text(path).select("value", F.from_csv("value", full.simpleString()[7:-1].replace(":", " "), options).alias("_r"))
+    good = raw.where(F.col("_r._bad").isNull()).select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
+    return good, raw.where(F.col("_r._bad").isNotNull()).select(F.col("value").alias("line"))
 
 
 def read_labelled_text(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
-    """One sentence per line; the label of a line is that of its file: (text, label)."""
+    """One sentence per line; the label of a line is that of its file or folder: (text, label)."""
     label: Column | None = None
     name = F.col("_metadata.file_path")
     for lab, path in files.items():
-        hit = name.endswith(path.rsplit("/", 1)[-1])
+        hit = name.contains("/" + path.rstrip("/").rsplit("/", 1)[-1])
         label = F.when(hit, lab) if label is None else label.when(hit, lab)
     return spark.read.text(list(files.values())).select(F.trim("value").alias("text"), label.alias("label")).where(F.col("text") != "")
 

@@ -59,23 +59,23 @@ def start_window_top_n(
 class KeyedStore:
     """A keyed table for dashboards, kept as one parquet version per batch with an expiry per key.
 
-    The newest whole version is the store; a repeated batch writes the same version again.
+    The newest whole version is the store. A repeated batch that is already the newest is left alone;
+    after a restart the last good version is passed in.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
-        self.spark, self.path, self.keys = spark, path, list(keys)
-        self.version: str | None = None
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], version: str | None = None):
+        self.spark, self.path, self.keys, self.version = spark, path, list(keys), version
 
     def read(self) -> DataFrame | None:
         return self.spark.read.parquet(self.version) if self.version else None
 
     def write(self, df: DataFrame, batch: int, expires_at: Column) -> None:
+        target = f"{self.path}/version={batch}"
+        if target == self.version:
+            return
         new = df.withColumn("expires_at", expires_at)
         held = self.read()
         merged = new if held is None else upsert(held, new, self.keys)
-        target = f"{self.path}/version={batch}"
-        if target == self.version:
-            raise RuntimeError("a batch cannot replace the version it reads")
         merged.write.mode("overwrite").parquet(target)
         self.version = target
 

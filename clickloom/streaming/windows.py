@@ -18,6 +18,11 @@ def with_event_time(df: DataFrame, epoch_seconds: str, delay: str = "0 seconds",
     return df.withColumn(name, F.timestamp_seconds(epoch_seconds)).withWatermark(name, delay)
 
 
+def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Event time of a stream with its watermark; times without a zone are read in the session's."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def sliding_score(
     df: DataFrame,
     ts: str,
@@ -36,7 +41,7 @@ def sliding_score(
     """
     score = F.sum(weight_of(action, weights)).alias("score")
     if df.isStreaming:
-        out = df.withWatermark(ts, delay).groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(score)
+        out = _watermarked(df, ts, delay).groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(score)
         return out.select(F.col("w.end").alias("window_end"), *keys, "score", "w")
     panes = df.groupBy(F.window(ts, slide).alias("_p"), *keys).agg(score)
     last = F.col("_p.start") + F.expr(f"interval {size}")
@@ -54,7 +59,7 @@ def window_top_n(scored: DataFrame, by: Sequence[str], item: str, score: str, n:
 
 
 def tumbling_mean(df: DataFrame, ts: str, key: str, value: str, size: str = "15 minutes", delay: str = "0 seconds") -> DataFrame:
-    rows = df.withWatermark(ts, delay) if df.isStreaming else df
+    rows = _watermarked(df, ts, delay) if df.isStreaming else df
     out = rows.groupBy(F.window(ts, size).alias("w"), key).agg(F.avg(value).alias("mean"), F.count(value).alias("cnt"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "mean", "cnt")
 
