@@ -451,9 +451,17 @@ def _windows_sql(size: str, slide: str, closed: bool = False) -> str:
     )
 
 
-@query("st1_sliding_score", _windows_sql("1 DAY", "5 MINUTE"))
+@query(
+    "st1_sliding_score",
+    "SELECT window_end, count(*) AS cells, CAST(sum(score) AS BIGINT) AS score, CAST(sum(score * (k + 1) * (user_id + 1)) AS BIGINT) AS checksum FROM "
+    f"({_windows_sql('1 DAY', '5 MINUTE')}) GROUP BY 1",
+)
 def st1(t: Tables) -> DataFrame:
-    return windows.sliding_score(t.ev, "ts", ["user_id", "k"], "event_type", WEIGHTS)
+    cells = windows.sliding_score(t.ev, "ts", ["user_id", "k"], "event_type", WEIGHTS)
+    return cells.groupBy("window_end").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("score").alias("score"),
+        F.sum(F.col("score") * (F.col("k") + 1) * (F.col("user_id") + 1)).alias("checksum"),
+    )
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -474,10 +482,11 @@ def st1_stream(t: Tables) -> DataFrame:
 
 @query(
     "st2_window_top_n",
-    f"SELECT window_end, user_id, k, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY window_end, user_id ORDER BY score DESC, k) AS rn FROM ({_windows_sql('1 DAY', '5 MINUTE')})) WHERE rn <= 3",
+    f"SELECT window_end, user_id, k, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY window_end, user_id ORDER BY score DESC, k) AS rn FROM ({_windows_sql('1 DAY', '30 MINUTE')})) WHERE rn <= 3",
 )
 def st2(t: Tables) -> DataFrame:
-    return windows.window_top_n(st1(t), ["user_id"], "k", "score")
+    cells = windows.sliding_score(t.ev, "ts", ["user_id", "k"], "event_type", WEIGHTS, slide="30 minutes")
+    return windows.window_top_n(cells, ["user_id"], "k", "score")
 
 
 @query(

@@ -58,16 +58,13 @@ def words(col: Column) -> Column:
 
 def ngrams_of(chars: Column, low: int, high: int) -> Column:
     """All n-grams of an array of characters. Give it a column, not a split: every gram reads it."""
-    grams = [
-        F.when(
-            F.size(chars) >= n,
-            F.transform(
-                F.sequence(F.lit(0), F.size(chars) - n), lambda i, n=n: F.concat(*[F.get(chars, i + d) for d in range(n)])
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(low, high + 1)
-    ]
-    return F.concat(*grams)
+
+    def of_length(n: int) -> Column:
+        gram = lambda i: F.concat(*[F.get(chars, i + d) for d in range(n)])
+        spots = F.sequence(F.lit(0), F.size(chars) - n)
+        return F.when(F.size(chars) >= n, F.transform(spots, gram)).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of_length(n) for n in range(low, high + 1)])
 
 
 def characters(col: Column) -> Column:
