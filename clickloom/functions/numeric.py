@@ -12,6 +12,11 @@ def sigmoid(col: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col))
 
 
+def seconds_of(ts: Column) -> Column:
+    """Seconds since the epoch with their fraction; a time without a zone is read in the session's."""
+    return F.unix_micros(ts.cast("timestamp")) / 1_000_000
+
+
 def pct(col: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f%%", col * 100)
 

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.functions.numeric import seconds_of
 from clickloom.functions.text import last_segment
 from clickloom.plans.ranks import exact_quantiles
 from clickloom.plans.scans import OrderedRows, running_sum
@@ -130,5 +131,5 @@ def request_rate(df: DataFrame, ts: str, bucket: str = "1 second") -> DataFrame:
     """Requests per second in each bucket that has any."""
     w = F.window(ts, bucket)
     out = df.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("requests"))
-    seconds = F.unix_micros("w.end") - F.unix_micros("w.start")
-    return out.select(F.col("w.start").alias("bucket"), "requests", (F.col("requests") / (seconds / 1_000_000)).alias("qps"))
+    seconds = seconds_of(F.col("w.end")) - seconds_of(F.col("w.start"))
+    return out.select(F.col("w.start").alias("bucket"), "requests", (F.col("requests") / seconds).alias("qps"))

@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.functions.numeric import sigmoid, stable_uniform
+from clickloom.functions.numeric import seconds_of, sigmoid, stable_uniform
 from clickloom.operators.relational import enrich, exclude, weight_of
-from clickloom.operators.sequences import seconds_of
 from clickloom.operators.vectors import similar_items
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, running_sum

@@ -83,8 +83,13 @@ def top_tags(df: DataFrame, tags: str, n: int = 5) -> DataFrame:
     return df.withColumn("top", F.slice(ranked, 1, n))
 
 
-def text_image(df: DataFrame, boxes: str, h: str, w: str, min_boxes: int = 5, min_share: float = 0.05) -> DataFrame:
-    """Whether an image is mostly text: many text boxes, or boxes over a large part of it."""
-    total = F.aggregate(F.transform(boxes, polygon_area), F.lit(0.0), lambda s, x: s + x)
-    out = df.withColumn("n_boxes", F.size(boxes)).withColumn("area_share", total / (F.col(h) * F.col(w)))
+def text_image(
+    df: DataFrame, id: str, box: str, h: str, w: str, min_boxes: int = 5, min_share: float = 0.05
+) -> DataFrame:
+    """Whether an image is mostly text: many text boxes, or boxes over a large part of it.
+
+    One row per box (an array of [x, y] points); explode a nested list of boxes first.
+    """
+    share = F.sum(polygon_area(F.col(box))) / F.max(F.col(h) * F.col(w))
+    out = df.groupBy(id).agg(F.count(box).alias("n_boxes"), share.alias("area_share"))
     return out.withColumn("is_text", (F.col("n_boxes") > min_boxes) | (F.col("area_share") > min_share))

@@ -29,6 +29,9 @@ def query_cooccurrence_tfidf(
     counted = kept.groupBy(*session, query).agg(F.count(F.lit(1)).alias("c"))
     pairs = within_group_pairs(counted, session, query, ["c"])
     half = pairs.groupBy("a", "b").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("tf"))
+    # Totals, document frequencies and scores all read the pair counts: write them once.
+    shared_dir(df.sparkSession)
+    half = half.checkpoint()
     tf = mirror(half, "a", "b").withColumnsRenamed({"a": "base_query", "b": "rec_query"})
     docs = tf.groupBy("base_query").agg(F.sum("tf").alias("_total"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
@@ -218,7 +221,8 @@ def text_rank(positions: DataFrame, id: str, pos: str, word: str, window: int =
     Edges are summed per word pair before the first step; a step is one join on the word and one sum.
     """
     shifts = F.explode(F.array(*[F.lit(d) for d in range(1, window + 1)]))
-    ahead = positions.select(id, (F.col(pos) + shifts).alias(pos), F.col(word).alias("src"))
+    ahead = positions.select(id, F.col(pos), F.col(word).alias("src"), shifts.alias("_d"))
+    ahead = ahead.select(id, (F.col(pos) + F.col("_d")).alias(pos), "src")
     near = ahead.join(positions.select(id, pos, F.col(word).alias("dst")), [id, pos]).where(F.col("src") != F.col("dst"))
     half = near.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(
         F.count(F.lit(1)).alias("w")

@@ -16,10 +16,6 @@ from clickloom.plans.skew import salted_join
 from clickloom.session import shared_dir
 
 
-def seconds_of(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")) / 1_000_000
-
-
 def sessionize(df: DataFrame, user: str, ts: str, gap: str = "30 minutes", tie: Sequence[str] = ()) -> DataFrame:
     """Add ``session`` (1, 2, ... per user): a new one starts iff the pause exceeds ``gap``."""
     rows = df.where(F.col(user).isNotNull() & F.col(ts).isNotNull())

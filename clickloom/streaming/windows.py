@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.functions.numeric import seconds_of
 from clickloom.operators.relational import weight_of
-from clickloom.operators.sequences import seconds_of, sessionize
+from clickloom.operators.sequences import sessionize
 from clickloom.plans.ranks import numbered, top_n
 
 
