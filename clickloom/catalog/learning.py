@@ -141,13 +141,13 @@ def fe12(t: Tables) -> DataFrame:
     "SELECT gram, CAST(count(*) AS BIGINT) AS cnt, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, g1 AS gram FROM g UNION ALL SELECT doc_id, g2 FROM g UNION ALL SELECT doc_id, g3 FROM g) WHERE gram IS NOT NULL GROUP BY 1",
 )
 def fe13(t: Tables) -> DataFrame:
-    grams = features.char_ngrams(t.documents, "doc_id", "text", 1, 3)
+    grams = features.char_ngrams(t.texts, "doc_id", "text", 1, 3)
     return grams.groupBy("gram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("docs"))
 
 
 @query("fe14_tfidf_text")
 def fe14(t: Tables) -> DataFrame:
-    out = features.tfidf_text(t.documents.select("doc_id", "text"), "text", 1024)
+    out = features.tfidf_text(t.texts, "text", 1024)
     return out.select("doc_id", r6(F.aggregate(vector_to_array("tfidf"), F.lit(0.0), lambda s, x: s + x)).alias("weight"))
 
 

@@ -28,6 +28,12 @@ class Tables:
         """Events with the item number from the payload."""
         return self.events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).drop("props")
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents for work that is heavy per text; a table of few files is spread over all cores first."""
+        docs, cores = self.documents.select("doc_id", "text"), self.spark.sparkContext.defaultParallelism
+        return docs.repartition(4 * cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+
     @property
     def imp(self) -> DataFrame:
         """Order lines as impressions: the order is the request, a returned line counts as a click."""

@@ -114,20 +114,20 @@ def gazetteer(t: Tables) -> DataFrame:
     "SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(p + len(string_split(gram, ' ')) AS INTEGER) AS \"end\", type, surface FROM w JOIN g ON lower(tok) = gram OR lower(tok || ' ' || nxt) = gram",
 )
 def tx8(t: Tables) -> DataFrame:
-    out = entities.phrase_match(t.documents, "doc_id", "text", gazetteer(t))
+    out = entities.phrase_match(t.texts, "doc_id", "text", gazetteer(t))
     return out.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "surface")
 
 
 @query("tx9_entity_ruler")
 def tx9(t: Tables) -> DataFrame:
-    out = entities.entity_ruler(t.documents, "doc_id", "text", gazetteer(t))
+    out = entities.entity_ruler(t.texts, "doc_id", "text", gazetteer(t))
     return out.groupBy("type", "surface").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query("tx10_expand_parents")
 def tx10(t: Tables) -> DataFrame:
     gaz = gazetteer(t)
-    found = entities.entity_ruler(t.documents, "doc_id", "text", gaz).select("doc_id", "start", "text", "type", "surface")
+    found = entities.entity_ruler(t.texts, "doc_id", "text", gaz).select("doc_id", "start", "text", "type", "surface")
     out = entities.expand_parents(found, gaz, {"phrase": "word"})
     return out.groupBy("entity", "type", "parent").agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -56,16 +56,7 @@ def words(col: Column) -> Column:
     return F.filter(F.split(col, r"\s+"), lambda w: w != "")
 
 
-def ngrams_of(chars: Column, low: int, high: int) -> Column:
-    """All n-grams of an array of characters. Give it a column, not a split: every gram reads it."""
+def ngrams_of(text: Column, low: int, high: int) -> Column:
+    """All character n-grams of a text, from one regex pass per length; a match moves on by one character."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in range(low, high + 1)])
 
-    def of_length(n: int) -> Column:
-        gram = lambda i: F.concat(*[F.get(chars, i + d) for d in range(n)])
-        spots = F.sequence(F.lit(0), F.size(chars) - n)
-        return F.when(F.size(chars) >= n, F.transform(spots, gram)).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of_length(n) for n in range(low, high + 1)])
-
-
-def characters(col: Column) -> Column:
-    return F.filter(F.split(col, ""), lambda c: c != "")

@@ -27,32 +27,38 @@ def read_gazetteer(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gram", F.lower(F.array_join(toks, " "))).withColumn("n_tokens", F.size(toks))
 
 
-def phrase_match(df: DataFrame, id: str, text: str, gazetteer: DataFrame, max_tokens: int = 4) -> DataFrame:
+def phrase_match(df: DataFrame, id: str, text: str, gazetteer: DataFrame, max_tokens: int = 8) -> DataFrame:
     """Every place where a gazetteer surface occurs, token by token and whatever the case:
     (id, start, end, text, type, surface). ``end`` is exclusive, tokens count from 0.
 
-    Texts become word n-grams up to ``max_tokens`` long, which meet the gazetteer by equality; Spark
-    broadcasts a gazetteer it measures as small. Longer surfaces are matched by their first
-    ``max_tokens`` tokens and then compared whole.
+    Texts become word n-grams as long as the longest surface (at most ``max_tokens``), which meet the
+    gazetteer by equality; Spark broadcasts a gazetteer it measures as small. Longer surfaces are found
+    by their first ``max_tokens`` tokens and then compared whole.
     """
     gaz = read_gazetteer(gazetteer.drop("gram", "n_tokens"))
+    longest = gaz.agg(F.max("n_tokens")).first()[0] or 1
+    max_tokens = min(max_tokens, longest)
     gaz = gaz.withColumn("_head", F.substring_index("gram", " ", max_tokens))
     toks = df.select(id, tokens(F.col(text)).alias("_t"))
+
     # Each place takes only its own few tokens along, never the whole text.
-    at = F.transform(
-        F.sequence(F.lit(0), F.size("_t") - 1),
-        lambda i: F.struct(i.alias("start"), F.slice(F.col("_t"), i + 1, F.lit(max_tokens)).alias("s")),
-    )
-    spots = toks.where(F.size("_t") > 0).select(id, F.explode(at).alias("_p")).select(id, "_p.start", "_p.s")
-    grams = spots.select(
-        id, "start", F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.slice("s", F.lit(1), n))).alias("_g")
-    ).withColumn("_head", F.lower(F.array_join("_g", " ")))
+    def grams_of(n: int) -> Column:
+        gram = lambda i: F.struct(
+            i.alias("start"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get("_t", i + d) for d in range(n)]).alias("text")
+        )
+        spots = F.transform(F.sequence(F.lit(0), F.size("_t") - n), gram)
+        return F.when(F.size("_t") >= n, spots).otherwise(F.slice(F.transform(F.array(F.lit(0)), gram), 1, 0))
+
+    grams = toks.select(id, F.explode(F.concat(*[grams_of(n) for n in range(1, max_tokens + 1)])).alias("_p"))
+    grams = grams.select(id, "_p.start", "_p.n", "_p.text").withColumn("_head", F.lower("text"))
     hit = grams.join(gaz, "_head")
     short = hit.where(F.col("n_tokens") <= max_tokens).select(
-        id, "start", (F.col("start") + F.col("n_tokens")).alias("end"), F.array_join("_g", " ").alias("text"), "type", "surface"
+        id, "start", (F.col("start") + F.col("n_tokens")).alias("end"), "text", "type", "surface"
     )
+    if longest <= max_tokens:
+        return short
     # Surfaces longer than the n-grams: fetch the text again for the few places whose head matches.
-    tall = hit.where((F.col("n_tokens") > max_tokens) & (F.size("_g") == max_tokens)).select(
+    tall = hit.where((F.col("n_tokens") > max_tokens) & (F.col("n") == max_tokens)).select(
         id, "start", "n_tokens", "gram", "type", "surface"
     )
     whole = tall.join(toks, id).withColumn("_p", F.array_join(F.slice("_t", F.col("start") + 1, F.col("n_tokens")), " "))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.numeric import stable_uniform
-from clickloom.functions.text import characters, ngrams_of, words
+from clickloom.functions.text import ngrams_of, words
 from clickloom.plans.ranks import exact_quantiles
 from clickloom.plans.scans import OrderedRows, running_sum
 from clickloom.plans.skew import salted_join, with_group
@@ -159,8 +159,7 @@ def ordered_target(
 
 def char_ngrams(df: DataFrame, id: str, text: str, low: int = 1, high: int = 3) -> DataFrame:
     """Counts of the character n-grams of each text: (id, gram, cnt)."""
-    chars = df.select(id, characters(F.col(text)).alias("_c"))
-    grams = chars.select(id, F.explode(ngrams_of(F.col("_c"), low, high)).alias("gram"))
+    grams = df.select(id, F.explode(ngrams_of(F.col(text), low, high)).alias("gram"))
     return grams.groupBy(id, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -19,6 +19,7 @@ from clickloom.operators.vectors import similar_items
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, running_sum
 from clickloom.plans.skew import mirror, salted_join, within_group_pairs
+from clickloom.plans.stage import written
 
 
 def _profiles(clicks: DataFrame, user: str, item: str) -> DataFrame:
@@ -50,20 +51,26 @@ def swing(
     very common) item never meet; c shared items show up as c (c - 1) / 2 shared item pairs.
     """
     clicks = df.select(user, item).where(F.col(user).isNotNull() & F.col(item).isNotNull()).distinct()
+    clicks = written(clicks, "swing-clicks")
     profiles = _profiles(clicks, user, item)
-    baskets = salted_join(clicks.withColumnRenamed(user, "profile"), profiles, ["profile"])
+    baskets = written(salted_join(clicks.withColumnRenamed(user, "profile"), profiles, ["profile"]), "swing-baskets")
     item_pairs = within_group_pairs(baskets, ["profile"], item, ["mult", "size"]).select(
         "profile", F.col("a").alias("i"), F.col("b").alias("j"), F.col("mult_a").alias("mult"), F.col("size_a").alias("size")
     )
+    item_pairs = written(item_pairs, "swing-items")
     same = F.col("mult") * F.col("mult") if include_self_users else F.col("mult") * (F.col("mult") - 1)
-    own = item_pairs.select("i", "j", (same / (F.lit(alpha) + F.col("size"))).alias("s"))
-    met = within_group_pairs(item_pairs, ["i", "j"], "profile", ["mult"])
+    own = item_pairs.groupBy("i", "j").agg(F.sum(same / (F.lit(alpha) + F.col("size"))).alias("_own"), F.count(F.lit(1)).alias("_n"))
+    # Most item pairs belong to one profile only; just the others can bring profiles together.
+    common_pairs = own.where(F.col("_n") > 1).select("i", "j")
+    meeting = written(item_pairs.select("i", "j", "profile", "mult").join(common_pairs, ["i", "j"], "left_semi"), "swing-meet")
+    met = written(within_group_pairs(meeting, ["i", "j"], "profile", ["mult"]), "swing-met")
     shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_pairs"))
-    common = (1 + F.sqrt(1 + 8 * F.col("_pairs"))) / 2
-    other = salted_join(met, shared, ["a", "b"]).select(
-        "i", "j", (2 * F.col("mult_a") * F.col("mult_b") / (F.lit(alpha) + F.round(common))).alias("s")
+    common = F.round((1 + F.sqrt(1 + 8 * F.col("_pairs"))) / 2)
+    weight = 2 * F.col("mult_a") * F.col("mult_b") / (F.lit(alpha) + common)
+    other = salted_join(met, shared, ["a", "b"]).groupBy("i", "j").agg(F.sum(weight).alias("_other"))
+    score = own.join(other, ["i", "j"], "left").select(
+        "i", "j", (F.col("_own") + F.coalesce("_other", F.lit(0.0))).alias("similarity")
     )
-    score = own.unionByName(other).groupBy("i", "j").agg(F.sum("s").alias("similarity"))
     both = mirror(score.where(F.col("similarity") > 0), "i", "j")
     # Rounded for ranking: the order of a distributed sum must not decide between equal scores.
     ranked = both.withColumn("_r", F.round("similarity", 9))

@@ -10,11 +10,11 @@ from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.text import characters, ngrams_of, normalize_query, paren_text, strip_punctuation, words
+from clickloom.functions.text import ngrams_of, normalize_query, paren_text, strip_punctuation, words
 from clickloom.operators.relational import byte_length_between, threshold_filter
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.skew import mirror, salted_join, within_group_pairs
-from clickloom.session import shared_dir
+from clickloom.plans.stage import written
 
 
 def query_cooccurrence_tfidf(
@@ -30,8 +30,7 @@ def query_cooccurrence_tfidf(
     pairs = within_group_pairs(counted, session, query, ["c"])
     half = pairs.groupBy("a", "b").agg(F.sum(F.col("c_a") * F.col("c_b")).alias("tf"))
     # Totals, document frequencies and scores all read the pair counts: write them once.
-    shared_dir(df.sparkSession)
-    half = half.checkpoint()
+    half = written(half, "cooccurrence")
     tf = mirror(half, "a", "b").withColumnsRenamed({"a": "base_query", "b": "rec_query"})
     docs = tf.groupBy("base_query").agg(F.sum("tf").alias("_total"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
@@ -173,8 +172,7 @@ def intent_pipeline(text: str, label: str, algo: str = "logistic", vocab: int =
 
 
 def with_grams(df: DataFrame, text: str, low: int = 1, high: int = 3) -> DataFrame:
-    chars = df.withColumn("_c", characters(F.col(text)))
-    return chars.withColumn("grams", ngrams_of(F.col("_c"), low, high)).drop("_c")
+    return df.withColumn("grams", ngrams_of(F.col(text), low, high))
 
 
 def intent_fit(df: DataFrame, text: str, label: str, algo: str = "logistic"):
@@ -231,8 +229,7 @@ def text_rank(positions: DataFrame, id: str, pos: str, word: str, window: int =
     out = edges.groupBy("src").agg(F.sum("w").alias("_out"))
     edges = salted_join(edges, out, ["src"]).select("src", "dst", (F.col("w") / F.col("_out")).alias("p"))
     # Written once to the shared folder: every step reads it again.
-    shared_dir(positions.sparkSession)
-    edges = edges.checkpoint()
+    edges = written(edges, "textrank")
     rank = out.select(F.col("src").alias("word"), F.lit(1.0).alias("weight"))
     for _ in range(iters):
         sent = edges.join(rank.withColumnRenamed("word", "src"), "src")

@@ -13,7 +13,7 @@ from clickloom.operators.relational import ITEMS_PER_ROW
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, following_row, previous_row, running_sum
 from clickloom.plans.skew import salted_join
-from clickloom.session import shared_dir
+from clickloom.plans.stage import written
 
 
 def sessionize(df: DataFrame, user: str, ts: str, gap: str = "30 minutes", tie: Sequence[str] = ()) -> DataFrame:
@@ -143,9 +143,9 @@ def random_walks(edges: DataFrame, length: int, walks: int, seed: int) -> DataFr
     table = salted_join(table, total.select(F.col("src").alias("dst"), F.col("_deg").alias("_next_deg")), ["dst"], "left")
     slot = lambda x: F.floor(x * F.col("_deg"))
     table = table.withColumn("_slice", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi")))))
-    # Written once to the shared folder: every step reads it again.
-    shared_dir(edges.sparkSession)
-    table = table.select("src", "_slice", "dst", "_lo", "_hi", F.coalesce("_next_deg", F.lit(0)).alias("_next_deg")).checkpoint()
+    # Every step reads the table again.
+    table = table.select("src", "_slice", "dst", "_lo", "_hi", F.coalesce("_next_deg", F.lit(0)).alias("_next_deg"))
+    table = written(table, "walks")
     walk = total.select(
         F.col("src").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), "src", "_deg"
     ).withColumn("path", F.array("start"))

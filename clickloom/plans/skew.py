@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.session import hot_rows
-
-# Members of one group that meet in one task when pairs are formed.
-PAIR_BLOCK = 2_000
+from clickloom.session import hot_rows, pair_block
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
@@ -58,7 +55,7 @@ def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
 
 
 def within_group_pairs(
-    df: DataFrame, keys: Sequence[str], member: str, carry: Sequence[str] = (), block: int = PAIR_BLOCK
+    df: DataFrame, keys: Sequence[str], member: str, carry: Sequence[str] = (), block: int | None = None
 ) -> DataFrame:
     """Unordered pairs ``(a < b)`` of the distinct members of a group, once each.
 
@@ -68,7 +65,7 @@ def within_group_pairs(
     """
     keys, carry = list(keys), list(carry)
     # A listed group yields at least block * block / 2 pairs, so a job that can finish lists few.
-    large = F.broadcast(hot_keys(df, keys, block))
+    large = F.broadcast(hot_keys(df, keys, block or pair_block(df.sparkSession)))
     blocks = F.coalesce(F.col("_blocks"), F.lit(1))
     sized = df.select(*keys, member, *carry).join(large, keys, "left").withColumns(
         {"_own": F.pmod(F.xxhash64(member), blocks).cast("int"), "_of": blocks}

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 DEFAULT_HOT_ROWS = 5_000_000
+DEFAULT_PAIR_BLOCK = 2_000
 
 
 def build_session(app_name: str = "clickloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,6 +33,11 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.clickloom.hotRows", str(DEFAULT_HOT_ROWS)))
 
 
+def pair_block(spark: SparkSession) -> int:
+    """Members of one group that meet in one task when pairs are formed."""
+    return int(spark.conf.get("spark.clickloom.pairBlock", str(DEFAULT_PAIR_BLOCK)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
