@@ -13,7 +13,7 @@ from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import with_group
 from clickloom.session import fresh_dir
 from clickloom.sources import tables
-from clickloom.streaming import sinks, windows
+from clickloom.streaming import chunks, sinks, windows
 
 
 def sessions_sql(hours: str) -> str:
@@ -73,7 +73,15 @@ def se4(t: Tables) -> DataFrame:
     return sequences.skipgram_pairs(positions(t), ["user_id", "session"], "k", 2).select("user_id", "session", "pos", "centre", "context", "distance")
 
 
-@query("se5_negative_samples")
+@query(
+    "se5_negative_samples",
+    f"WITH p AS (SELECT a.user_id, a.session, a.pos, a.k AS centre, b.k AS context FROM {POS} a JOIN {POS} b ON a.user_id = b.user_id AND a.session = b.session AND abs(a.pos - b.pos) = 1), "
+    f"w AS (SELECT k AS item, CAST(round(pow(count(*), 0.75) * 1000000) AS BIGINT) AS w FROM {EV} e GROUP BY 1), c AS (SELECT item, CAST(sum(w) OVER (ORDER BY w DESC, item) - w AS BIGINT) AS before, "
+    "(SELECT CAST(sum(w) AS BIGINT) FROM w) AS total, lead(item) OVER (ORDER BY w DESC, item) AS nxt, first_value(item) OVER (ORDER BY w DESC, item) AS top FROM w), "
+    "t AS (SELECT item, coalesce(nxt, top) AS nxt, before / total AS lo, coalesce(lead(before) OVER (ORDER BY before) / total, 1.0) AS hi FROM c), "
+    f"d AS (SELECT *, {uniform_sql(11, 'user_id', 'session', 'pos', 'centre', 'context', 'draw')} AS u FROM p, (VALUES (1), (2)) v(draw)) "
+    "SELECT user_id, session, pos, centre, context, draw, CASE WHEN item = context THEN nxt ELSE item END AS negative FROM d JOIN t ON u >= lo AND u < hi",
+)
 def se5(t: Tables) -> DataFrame:
     pairs = sequences.skipgram_pairs(positions(t), ["user_id", "session"], "k", 1)
     pairs = pairs.select("user_id", "session", "pos", "centre", "context")
@@ -117,7 +125,22 @@ def se6_weighted(t: Tables) -> DataFrame:
     return _pooled(t, "weighted")
 
 
-@query("se7_random_walks")
+def _walks_sql(length: int, walks: int, seed: int) -> str:
+    sql = (
+        f"WITH c AS (SELECT DISTINCT user_id, k FROM {EV} e), x AS (SELECT a.k AS src, b.k AS dst, count(*) AS w FROM c a JOIN c b ON a.user_id = b.user_id AND a.k <> b.k GROUP BY 1, 2), "
+        "y AS (SELECT src, dst, CAST(sum(w) OVER (PARTITION BY src ORDER BY dst) - w AS BIGINT) AS before, CAST(sum(w) OVER (PARTITION BY src) AS BIGINT) AS total FROM x), "
+        "t AS (SELECT src, dst, before / total AS lo, coalesce(lead(before) OVER (PARTITION BY src ORDER BY dst) / total, 1.0) AS hi FROM y), "
+        f"w1 AS (SELECT DISTINCT src AS start, CAST(n AS INTEGER) AS walk, src AS node, CAST(src AS VARCHAR) AS path FROM t, range(1, {walks + 1}) r(n))"
+    )
+    for step in range(1, length):
+        u = uniform_sql(seed, "start", "walk", str(step))
+        sql += (
+            f", u{step} AS (SELECT *, {u} AS u FROM w{step}), w{step + 1} AS (SELECT start, walk, dst AS node, path || ',' || dst AS path FROM u{step} JOIN t ON src = node AND u >= lo AND u < hi)"
+        )
+    return sql + f" SELECT start, walk, path FROM w{length}"
+
+
+@query("se7_random_walks", _walks_sql(5, 3, 5))
 def se7(t: Tables) -> DataFrame:
     pairs = recommend.cooccurrence(t.ev, "user_id", "k")
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("cnt").alias("weight")).unionByName(
@@ -551,13 +574,19 @@ def st7(t: Tables) -> DataFrame:
     "SELECT conv_id, turn, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 5) AS BIGINT) AS chunk FROM conversations",
 )
 def st10(t: Tables) -> DataFrame:
-    return windows.flush_chunks(t.conversations.select("conv_id", "turn"), "conv_id", "turn")
+    return chunks.flush_chunks(t.conversations.select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query("st10_flush_by_age")
+@query(
+    "st10_flush_by_age",
+    "WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), g(user_id, event_id, n, began, turns, chunk) AS ("
+    "SELECT user_id, event_id, n, ts, 1, CAST(0 AS BIGINT) FROM r WHERE n = 1 UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN g.turns >= 5 OR r.ts - g.began >= INTERVAL 24 HOUR THEN r.ts ELSE g.began END, "
+    "CASE WHEN g.turns >= 5 OR r.ts - g.began >= INTERVAL 24 HOUR THEN 1 ELSE g.turns + 1 END, g.chunk + CASE WHEN g.turns >= 5 OR r.ts - g.began >= INTERVAL 24 HOUR THEN 1 ELSE 0 END "
+    "FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1) SELECT user_id AS conv_id, event_id AS turn, chunk FROM g",
+)
 def st10_age(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "ts")
-    return windows.flush_chunks(rows, "conv_id", "turn", "ts", 5, 86400).select("conv_id", "turn", "chunk")
+    return chunks.flush_chunks(rows, "conv_id", "turn", "ts", 5, 86400).select("conv_id", "turn", "chunk")
 
 
 @query(

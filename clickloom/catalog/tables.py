@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +18,17 @@ from clickloom.sources import keyed, sinks, tables
 from clickloom.streaming import sinks as stream_sinks
 from clickloom.streaming import windows
 
-DAYS = [f"2024-01-{d:02d}" for d in range(1, 21)]
-
-
-def _days() -> list:
-    return [F.to_date(F.lit(d)) for d in DAYS]
-
-
 @query(
     "io1_scan_events",
-    "SELECT event_id, user_id, event_type, props FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND "
-    "DATE '2024-01-20' AND props LIKE '%5}' AND event_type NOT IN ('error', 'signup') AND user_id IS NOT NULL "
-    "AND props IS NOT NULL AND props <> ''",
+    "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-06-29' "
+    "AND o_orderpriority LIKE '%-%W' AND o_orderstatus NOT IN ('P') AND o_custkey IS NOT NULL AND o_orderpriority IS NOT NULL AND o_orderpriority <> ''",
 )
 def io1(t: Tables) -> DataFrame:
-    dated = t.events.withColumn("day", F.to_date("ts"))
-    out = tables.scan_events(dated, "day", _days(), ("props", "%5}"), ("event_type", ["error", "signup"]), ["user_id", "props"])
-    return out.select("event_id", "user_id", "event_type", "props")
+    days = [datetime(1997, 1, 1) + timedelta(days=d) for d in range(180)]
+    out = tables.scan_events(
+        t.orders, "o_orderdate", days, ("o_orderpriority", "%-%W"), ("o_orderstatus", ["P"]), ["o_custkey", "o_orderpriority"]
+    )
+    return out.select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
 @query("io2_read_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")

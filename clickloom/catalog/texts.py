@@ -38,7 +38,13 @@ def tx2(t: Tables) -> DataFrame:
     return search.recommend_for(tfidf(t), "42", 20).select("rec_query", "rn")
 
 
-@query("tx3_diversify_suggestions")
+@query(
+    "tx3_diversify_suggestions",
+    f"WITH RECURSIVE s AS MATERIALIZED (SELECT * FROM {TFIDF} WHERE rn <= 20), g(base, rn, kept) AS (SELECT DISTINCT base_query, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM s UNION ALL "
+    "SELECT g.base, s.rn, CASE WHEN contains(g.base, rec_query) OR contains(rec_query, g.base) OR len(list_filter(kept, lambda x: contains(rec_query, x) OR contains(x, rec_query) OR levenshtein(rec_query, x) <= 1)) > 0 "
+    "THEN kept ELSE list_append(kept, rec_query) END FROM g JOIN s ON g.base = s.base_query AND s.rn = g.rn + 1), f AS (SELECT base, arg_max(kept, rn) AS kept FROM g GROUP BY 1) "
+    "SELECT base_query, rec_query, s.rn FROM s JOIN f ON s.base_query = f.base WHERE list_contains(f.kept, rec_query) AND tf_idf > 0.0001",
+)
 def tx3(t: Tables) -> DataFrame:
     out = search.diversify_suggestions(tfidf(t), "base_query", "rec_query", "rn", "tf_idf", n=20, min_score=0.0001)
     return out.select("base_query", "rec_query", "rn")
@@ -107,24 +113,35 @@ def gazetteer(t: Tables) -> DataFrame:
     })
 
 
-@query(
-    "tx8_phrase_match",
-    f"WITH g AS (SELECT type, surface, lower(array_to_string(list_filter(list_transform(regexp_split_to_array(surface, '\\s+'), lambda w: regexp_replace(regexp_replace(w, '^{EDGE}', ''), '{EDGE}$', '')), lambda w: w <> ''), ' ')) AS gram FROM {GAZ}), "
+MATCHES = (
+    f"(WITH g AS (SELECT type, surface, lower(array_to_string(list_filter(list_transform(regexp_split_to_array(surface, '\\s+'), lambda w: regexp_replace(regexp_replace(w, '^{EDGE}', ''), '{EDGE}$', '')), lambda w: w <> ''), ' ')) AS gram FROM {GAZ}), "
     f"t AS (SELECT doc_id, unnest(tk) AS tok, generate_subscripts(tk, 1) - 1 AS p FROM {TOKENS}), w AS (SELECT doc_id, p, tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM t) "
-    "SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(p + len(string_split(gram, ' ')) AS INTEGER) AS \"end\", type, surface FROM w JOIN g ON lower(tok) = gram OR lower(tok || ' ' || nxt) = gram",
+    "SELECT doc_id, CAST(p AS INTEGER) AS start, CAST(p + len(string_split(gram, ' ')) AS INTEGER) AS stop, CASE WHEN lower(tok) = gram THEN tok ELSE tok || ' ' || nxt END AS txt, type, surface FROM w JOIN g ON lower(tok) = gram OR lower(tok || ' ' || nxt) = gram)"
 )
+# Longest first, then earliest; a match is kept when none of its tokens is taken.
+RULED = (
+    f"o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stop - start DESC, start) AS n FROM (SELECT doc_id, start, stop, unnest(min((type, surface, txt))) FROM {MATCHES} GROUP BY 1, 2, 3) q(doc_id, start, stop, type, surface, txt)), "
+    "r(doc_id, n, taken, hit) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false FROM o UNION ALL SELECT o.doc_id, o.n, CASE WHEN list_has_any(taken, range(start, stop)) THEN taken ELSE list_concat(taken, range(start, stop)) END, "
+    "NOT list_has_any(taken, range(start, stop)) FROM r JOIN o ON o.doc_id = r.doc_id AND o.n = r.n + 1), k AS (SELECT o.* FROM o JOIN r ON o.doc_id = r.doc_id AND o.n = r.n WHERE r.hit)"
+)
+
+
+@query("tx8_phrase_match", f"SELECT doc_id, start, stop AS \"end\", type, surface FROM {MATCHES}")
 def tx8(t: Tables) -> DataFrame:
     out = entities.phrase_match(t.texts, "doc_id", "text", gazetteer(t))
     return out.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "surface")
 
 
-@query("tx9_entity_ruler")
+@query("tx9_entity_ruler", f"WITH RECURSIVE {RULED} SELECT type, surface, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM k GROUP BY 1, 2")
 def tx9(t: Tables) -> DataFrame:
     out = entities.entity_ruler(t.texts, "doc_id", "text", gazetteer(t))
     return out.groupBy("type", "surface").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("tx10_expand_parents")
+@query(
+    "tx10_expand_parents",
+    f"WITH RECURSIVE {RULED} SELECT entity, type, parent, count(*) AS cnt FROM (SELECT txt AS entity, type, 0 AS parent FROM k UNION ALL SELECT string_split(surface, ' ')[1], 'word', 1 FROM k WHERE type = 'phrase') GROUP BY 1, 2, 3",
+)
 def tx10(t: Tables) -> DataFrame:
     gaz = gazetteer(t)
     found = entities.entity_ruler(t.texts, "doc_id", "text", gaz).select("doc_id", "start", "text", "type", "surface")
@@ -170,7 +187,19 @@ def tx13(t: Tables) -> DataFrame:
     return search.fallback_queries(asked, "query", "n", table)
 
 
-@query("tx14_text_rank")
+def _text_rank_sql(iters: int) -> str:
+    sql = (
+        f"WITH tk AS (SELECT item_id, list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(regexp_replace(w, '^{EDGE}', ''), '{EDGE}$', '')), lambda w: w <> '') AS tk FROM benchmark), "
+        "t AS (SELECT item_id, unnest(tk) AS w, generate_subscripts(tk, 1) AS p FROM tk), h AS (SELECT a.w AS x, b.w AS y FROM t a JOIN t b ON a.item_id = b.item_id AND b.p - a.p BETWEEN 1 AND 2 AND a.w <> b.w), "
+        "e AS (SELECT src, dst, count(*) AS n FROM (SELECT x AS src, y AS dst FROM h UNION ALL SELECT y, x FROM h) GROUP BY 1, 2), p AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS p FROM e), "
+        "r0 AS (SELECT DISTINCT src AS word, 1.0::DOUBLE AS weight FROM p)"
+    )
+    for i in range(iters):
+        sql += f", r{i + 1} AS MATERIALIZED (SELECT dst AS word, 0.15 + 0.85 * sum(p * weight) AS weight FROM p JOIN r{i} ON word = src GROUP BY 1)"
+    return sql + f" SELECT word, round(weight, 6) AS weight FROM r{iters}"
+
+
+@query("tx14_text_rank", _text_rank_sql(5))
 def tx14(t: Tables) -> DataFrame:
     toks = t.benchmark.select("item_id", F.posexplode(entities.tokens(F.lower("text"))).alias("pos", "word"))
     return search.text_rank(toks, "item_id", "pos", "word", iters=5).select("word", r6("weight").alias("weight"))

@@ -59,18 +59,16 @@ def swing(
     )
     item_pairs = written(item_pairs, "swing-items")
     same = F.col("mult") * F.col("mult") if include_self_users else F.col("mult") * (F.col("mult") - 1)
-    own = item_pairs.groupBy("i", "j").agg(F.sum(same / (F.lit(alpha) + F.col("size"))).alias("_own"), F.count(F.lit(1)).alias("_n"))
+    own = item_pairs.select("i", "j", (same / (F.lit(alpha) + F.col("size"))).alias("s"))
     # Most item pairs belong to one profile only; just the others can bring profiles together.
-    common_pairs = own.where(F.col("_n") > 1).select("i", "j")
-    meeting = written(item_pairs.select("i", "j", "profile", "mult").join(common_pairs, ["i", "j"], "left_semi"), "swing-meet")
+    several = item_pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("i", "j")
+    meeting = written(item_pairs.select("i", "j", "profile", "mult").join(several, ["i", "j"], "left_semi"), "swing-meet")
     met = written(within_group_pairs(meeting, ["i", "j"], "profile", ["mult"]), "swing-met")
     shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_pairs"))
     common = F.round((1 + F.sqrt(1 + 8 * F.col("_pairs"))) / 2)
     weight = 2 * F.col("mult_a") * F.col("mult_b") / (F.lit(alpha) + common)
-    other = salted_join(met, shared, ["a", "b"]).groupBy("i", "j").agg(F.sum(weight).alias("_other"))
-    score = own.join(other, ["i", "j"], "left").select(
-        "i", "j", (F.col("_own") + F.coalesce("_other", F.lit(0.0))).alias("similarity")
-    )
+    other = salted_join(met, shared, ["a", "b"]).select("i", "j", weight.alias("s"))
+    score = own.unionByName(other).groupBy("i", "j").agg(F.sum("s").alias("similarity"))
     both = mirror(score.where(F.col("similarity") > 0), "i", "j")
     # Rounded for ranking: the order of a distributed sum must not decide between equal scores.
     ranked = both.withColumn("_r", F.round("similarity", 9))

@@ -74,7 +74,8 @@ def negative_samples(pairs: DataFrame, freq: DataFrame, k: int, seed: int, power
     lookup is an equality join followed by a filter. A draw that hits the true context is moved to the
     next item.
     """
-    weighted = freq.select("item", F.pow(F.col("cnt"), F.lit(power)).alias("_w"))
+    # Whole-number weights, so that their sums do not depend on the order of the rows.
+    weighted = freq.select("item", F.round(F.pow(F.col("cnt"), F.lit(power)) * 1_000_000).cast("long").alias("_w"))
     top = weighted.agg(
         F.sum("_w").alias("_total"), F.count(F.lit(1)).alias("_n"), F.min_by("item", F.struct(-F.col("_w"), "item")).alias("_first")
     )
