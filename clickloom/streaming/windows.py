@@ -16,8 +16,13 @@ def with_event_time(df: DataFrame, epoch_seconds: str, delay: str = "0 seconds",
     return df.withColumn(name, F.timestamp_seconds(epoch_seconds)).withWatermark(name, delay)
 
 
-def _watermarked(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Event time of a stream with its watermark; times without a zone are read in the session's."""
+def _watermarked(df: DataFrame, ts: str, delay: str | None) -> DataFrame:
+    """Event time of a stream with its watermark; times without a zone are read in the session's.
+
+    Without a delay the stream already carries its watermark.
+    """
+    if delay is None:
+        return df
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
@@ -29,7 +34,7 @@ def sliding_score(
     weights: Mapping[str, float],
     size: str = "1 day",
     slide: str = "5 minutes",
-    delay: str = "0 seconds",
+    delay: str | None = "0 seconds",
 ) -> DataFrame:
     """Weighted score per key in every sliding window that holds one of its rows: (window_end, keys, score).
 
@@ -56,7 +61,7 @@ def window_top_n(scored: DataFrame, by: Sequence[str], item: str, score: str, n:
     return top_n(scored, ["window_end", *by], [f"-{score}", item], n)
 
 
-def tumbling_mean(df: DataFrame, ts: str, key: str, value: str, size: str = "15 minutes", delay: str = "0 seconds") -> DataFrame:
+def tumbling_mean(df: DataFrame, ts: str, key: str, value: str, size: str = "15 minutes", delay: str | None = "0 seconds") -> DataFrame:
     rows = _watermarked(df, ts, delay) if df.isStreaming else df
     out = rows.groupBy(F.window(ts, size).alias("w"), key).agg(F.avg(value).alias("mean"), F.count(value).alias("cnt"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "mean", "cnt")
