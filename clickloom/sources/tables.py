@@ -19,7 +19,8 @@ def scan_events(
 ) -> DataFrame:
     """Rows of the listed days; a text column like a pattern, another not in a list, required columns
     neither null nor empty. All of it reaches the scan as partition and row-group filters."""
-    out = df.where(F.col(day).isin(*days))
+    # Values of the column's own type: a cast of the column would keep the filter out of the scan.
+    out = df.where(F.col(day).isin(*[F.lit(d).cast(df.schema[day].dataType) for d in days]))
     if like:
         out = out.where(F.col(like[0]).like(like[1]))
     if exclude:
