@@ -558,7 +558,8 @@ def st5(t: Tables) -> DataFrame:
 def st6(t: Tables) -> DataFrame:
     secs = _stream(t).select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("secs"))
     timed = windows.with_event_time(secs, "secs", name="at").select("event_id", "at")
-    return t.spark.read.parquet(sinks.run_to_table(timed, "append", "timed"))
+    out = t.spark.read.parquet(sinks.run_to_table(timed, "append", "timed"))
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("st7_paced_stream", "SELECT count(*) AS cnt FROM events")

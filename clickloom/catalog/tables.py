@@ -647,7 +647,7 @@ def f9(t: Tables) -> DataFrame:
 @query("f10_epoch_seconds", "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS at FROM events")
 def f10(t: Tables) -> DataFrame:
     secs = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return t.events.select("event_id", F.timestamp_seconds(secs).alias("at"))
+    return t.events.select("event_id", F.timestamp_seconds(secs).cast("timestamp_ntz").alias("at"))
 
 
 @query("f11_hash", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md FROM documents")
