@@ -61,7 +61,7 @@ def se2(t: Tables) -> DataFrame:
 @query("se3_item_embeddings")
 def se3(t: Tables) -> DataFrame:
     seqs = sequences.session_sequences(sessions(t, "3 days"), "user_id", "session", "ts", "k")
-    return sequences.item_embeddings(seqs, "items", dim=16, iters=2).select("word", vector_to_array("vector").alias("vector"))
+    return sequences.item_embeddings(seqs, "items").select("word", vector_to_array("vector").alias("vector"))
 
 
 @query(
@@ -206,7 +206,7 @@ def re2(t: Tables) -> DataFrame:
 @query("re3_als_similar")
 def re3(t: Tables) -> DataFrame:
     ratings = t.ev.withColumn("w", relational.weight_of("event_type", WEIGHTS))
-    return recommend.als_similar(ratings, "user_id", "k", "w", 5).select("query_id", "id", "rn")
+    return recommend.als_similar(ratings, "user_id", "k", "w", 5).select("base_id", "rec_id", "rn")
 
 
 VEC = "(SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -288,12 +288,12 @@ def re9_ttl(t: Tables) -> DataFrame:
 
 TOP_VALUE = (
     "(SELECT user_id, k AS item, CAST(rn AS INTEGER) AS rn FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY round(sum(value), 4) DESC, k) AS rn FROM "
-    + EV + " e WHERE event_type = 'purchase' AND value > 60 GROUP BY 1, 2) WHERE rn <= 10)"
+    + EV + " e WHERE event_type = 'purchase' GROUP BY 1, 2) WHERE rn <= 10)"
 )
 
 
 def _recs(t: Tables) -> DataFrame:
-    bought = t.ev.where("event_type = 'purchase' AND value > 60").groupBy("user_id", F.col("k").alias("item")).agg(r6(F.sum("value"), 4).alias("s"))
+    bought = t.ev.where("event_type = 'purchase'").groupBy("user_id", F.col("k").alias("item")).agg(r6(F.sum("value"), 4).alias("s"))
     return top_n(bought, ["user_id"], ["-s", "item"], 10).select("user_id", "item", "rn")
 
 
@@ -369,20 +369,19 @@ def re14(t: Tables) -> DataFrame:
 
 @query(
     "re15_group_popular",
-    "WITH e AS (SELECT c_nationkey AS g, p_brand AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE p_size > 48), "
-    "own AS (SELECT g, item, 0 AS level, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, item) AS place FROM e GROUP BY 1, 2 QUALIFY place <= 12), "
+    "WITH e AS (SELECT o_custkey AS g, p_brand AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), "
+    "own AS (SELECT g, item, 0 AS level, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, item) AS place FROM e GROUP BY 1, 2 QUALIFY place <= 20), "
     "al AS (SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS place FROM e GROUP BY 1), "
     "un AS (SELECT * FROM own UNION ALL SELECT g, item, 1, place FROM (SELECT DISTINCT g FROM e), al), "
-    "b AS (SELECT g, item, min((level, place)) AS m FROM un GROUP BY 1, 2) SELECT g AS c_nationkey, item, m[1] AS level, row_number() OVER (PARTITION BY g ORDER BY m) AS rn FROM b QUALIFY rn <= 12",
+    "b AS (SELECT g, item, min((level, place)) AS m FROM un GROUP BY 1, 2) SELECT g AS o_custkey, item, m[1] AS level, row_number() OVER (PARTITION BY g ORDER BY m) AS rn FROM b QUALIFY rn <= 20",
 )
 def re15(t: Tables) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey")
     rows = (
-        li.join(t.part.where("p_size > 48").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        li.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     )
-    return recommend.group_popular(rows.select("c_nationkey", "p_brand"), "c_nationkey", "p_brand", 12)
+    return recommend.group_popular(rows.select("o_custkey", "p_brand"), "o_custkey", "p_brand", 20)
 
 
 @query(

@@ -82,9 +82,7 @@ def tx6(t: Tables) -> DataFrame:
 
 @query("tx7_intent_classifier")
 def tx7(t: Tables) -> DataFrame:
-    rows = t.conversations.join(t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id").select(
-        "conv_id", "turn", F.substring_index("text", " ", 12).alias("text"), "role"
-    )
+    rows = t.conversations.select("conv_id", "turn", "text", "role")
     model = search.intent_fit(rows, "text", "role")
     scored = model.transform(search.with_grams(rows, "text"))
     return scored.groupBy("role", "prediction").agg(F.count(F.lit(1)).alias("cnt"))

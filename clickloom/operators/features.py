@@ -42,9 +42,7 @@ def anova_f(df: DataFrame, x: str, group: str) -> DataFrame:
 def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
     """Contingency cells with both margins and the total on every cell."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.groupBy(a).agg(F.sum("n").alias("na"))
-    cols = cells.groupBy(b).agg(F.sum("n").alias("nb"))
-    both = salted_join(salted_join(cells, rows, [a]), cols, [b])
+    both = with_group(with_group(cells, [a], na=F.sum("n")), [b], nb=F.sum("n"))
     return both.withColumn("total", cells.agg(F.sum("n")).scalar())
 
 
@@ -203,22 +201,27 @@ def rolling_stats(
     Every event enters at its time and leaves when its span has passed; a running sum over these marks
     is the count, with no range frame over a whole item.
     """
-    out = df
-    for name, seconds in spans.items():
-        cols = df.columns
-        rows = df.select(F.struct(*cols).alias("_row"), F.col(item).alias("_item"), F.col(ts).alias("_t"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)])
-        ties = [f"_tie{i}" for i in range(len(tie))]
-        kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(d).alias("delta")) for k, d in ((0, -1), (1, 0), (2, 1))]))
-        marks = rows.select("*", kinds.alias("_k")).select(
-            F.when(F.col("_k.kind") == 1, F.col("_row")).alias("_row"), "_item", *ties,
-            F.when(F.col("_k.kind") == 0, F.col("_t") + F.make_dt_interval(secs=F.lit(seconds)) + F.expr("interval 1 microsecond"))
-            .otherwise(F.col("_t")).alias("_t"),
-            "_k.kind", "_k.delta",
-        )
-        scan = OrderedRows(marks, ["_item"], ["_t", "kind", *ties]).add(_c=running_sum(F.col("delta")))
-        got = scan.rows().where(F.col("kind") == 1).select("_row.*", F.col("_c").cast("long").alias(name))
-        out = got if out is df else salted_join(out, got.select(*tie, name), list(tie))
-    return out
+    names = list(spans)
+    ties = [f"_tie{i}" for i in range(len(tie))]
+
+    def mark(kind: int, wait: int, steps: Mapping[str, int]) -> Column:
+        deltas = [F.lit(steps.get(n, 0)).alias(f"_d_{n}") for n in names]
+        return F.struct(F.lit(kind).alias("kind"), F.lit(wait).alias("wait"), *deltas)
+
+    # At one instant: spans that ended, then the event looks, then it counts.
+    marks = [mark(1, 0, {}), mark(2, 0, dict.fromkeys(names, 1)), *[mark(0, spans[n], {n: -1}) for n in names]]
+    rows = df.select(
+        F.struct(*df.columns).alias("_row"), F.col(item).alias("_item"), F.col(ts).alias("_t"),
+        *[F.col(c).alias(t) for c, t in zip(tie, ties, strict=True)], F.inline(F.array(*marks)),
+    )
+    gone = F.col("_t") + F.make_dt_interval(secs=F.col("wait")) + F.expr("interval 1 microsecond")
+    rows = rows.withColumns({
+        "_row": F.when(F.col("kind") == 1, F.col("_row")),
+        "_t": F.when(F.col("kind") == 0, gone).otherwise(F.col("_t")),
+    })
+    scan = OrderedRows(rows, ["_item"], ["_t", "kind", *ties]).add(**{f"_c_{n}": running_sum(F.col(f"_d_{n}")) for n in names})
+    seen = scan.rows().where(F.col("kind") == 1)
+    return seen.select("_row.*", *[F.col(f"_c_{n}").cast("long").alias(n) for n in names])
 
 
 def category_share(
@@ -235,8 +238,7 @@ def category_share(
     age_days = F.date_diff(F.to_date(as_of), F.to_date(ts))
     clicks = df.where((age_days >= 0) & (age_days < long))
     counts = clicks.groupBy(query, cat).agg(F.count(F.lit(1)).alias("_l"), F.count_if(age_days < short).alias("_s"))
-    totals = counts.groupBy(query).agg(F.sum("_l").alias("_tl"), F.sum("_s").alias("_ts"))
-    both = salted_join(counts, totals, [query])
+    both = with_group(counts, [query], _tl=F.sum("_l"), _ts=F.sum("_s"))
     share = lambda n, t: F.when(F.col(t) > 0, F.col(n) / F.col(t)).otherwise(0.0)
     return both.select(query, cat, (w[0] * share("_l", "_tl") + w[1] * share("_s", "_ts")).alias("share"))
 

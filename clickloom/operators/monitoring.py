@@ -13,7 +13,7 @@ from clickloom.functions.numeric import seconds_of
 from clickloom.functions.text import last_segment
 from clickloom.plans.ranks import exact_quantiles
 from clickloom.plans.scans import OrderedRows, running_sum
-from clickloom.plans.skew import salted_join
+from clickloom.plans.skew import salted_join, with_group
 
 # The two log layouts.
 SERVICE_LINE = (
@@ -55,22 +55,20 @@ def parse_proxy_log(df: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
 
 def api_metrics(df: DataFrame, ts: str, path: str, status: str, ms: str, bucket: str = "15 minutes") -> DataFrame:
     """Calls, mean time, error count and share of all calls per bucket and API."""
-    win = F.window(ts, bucket)
-    cells = df.groupBy(win.alias("w"), path).agg(
+    cells = df.groupBy(F.window(ts, bucket).alias("w"), path).agg(
         F.count(F.lit(1)).alias("calls"), F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms"),
         F.count_if(F.col(status) >= 500).alias("errors"),
     )
-    totals = cells.groupBy("w").agg(F.sum("calls").alias("_all"))
-    return salted_join(cells, totals, ["w"]).select(
-        F.col("w.start").alias("bucket"), path, "calls", "mean_ms", "max_ms", "errors", (F.col("calls") / F.col("_all")).alias("share")
-    )
+    cells = cells.select(F.col("w.start").alias("bucket"), path, "calls", "mean_ms", "max_ms", "errors")
+    out = with_group(cells, ["bucket"], _all=F.sum("calls"))
+    return out.withColumn("share", F.col("calls") / F.col("_all")).drop("_all")
 
 
 def status_mix(df: DataFrame, path: str, status: str) -> DataFrame:
     """Share of each response status per API."""
     cells = df.groupBy(path, status).agg(F.count(F.lit(1)).alias("calls"))
-    totals = cells.groupBy(path).agg(F.sum("calls").alias("_all"))
-    return salted_join(cells, totals, [path]).select(path, status, "calls", (F.col("calls") / F.col("_all")).alias("share"))
+    out = with_group(cells, [path], _all=F.sum("calls"))
+    return out.withColumn("share", F.col("calls") / F.col("_all")).drop("_all")
 
 
 def latency_quantiles(df: DataFrame, by: Sequence[str], ms: str) -> DataFrame:

@@ -18,7 +18,7 @@ from clickloom.operators.relational import enrich, exclude, weight_of
 from clickloom.operators.vectors import similar_items
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, running_sum
-from clickloom.plans.skew import mirror, salted_join, within_group_pairs
+from clickloom.plans.skew import mirror, salted_join, with_group, within_group_pairs
 from clickloom.plans.stage import written
 
 
@@ -64,10 +64,10 @@ def swing(
     several = item_pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("i", "j")
     meeting = written(item_pairs.select("i", "j", "profile", "mult").join(several, ["i", "j"], "left_semi"), "swing-meet")
     met = written(within_group_pairs(meeting, ["i", "j"], "profile", ["mult"]), "swing-met")
-    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_pairs"))
+    met = with_group(met, ["a", "b"], _pairs=F.count(F.lit(1)))
     common = F.round((1 + F.sqrt(1 + 8 * F.col("_pairs"))) / 2)
     weight = 2 * F.col("mult_a") * F.col("mult_b") / (F.lit(alpha) + common)
-    other = salted_join(met, shared, ["a", "b"]).select("i", "j", weight.alias("s"))
+    other = met.select("i", "j", weight.alias("s"))
     score = own.unionByName(other).groupBy("i", "j").agg(F.sum("s").alias("similarity"))
     both = mirror(score.where(F.col("similarity") > 0), "i", "j")
     # Rounded for ranking: the order of a distributed sum must not decide between equal scores.
@@ -85,13 +85,19 @@ def cooccurrence(df: DataFrame, basket: str | Sequence[str], item: str) -> DataF
 
 def als_similar(df: DataFrame, user: str, item: str, rating: str, k: int, rank: int = 16, seed: int = 7) -> DataFrame:
     """Similar items by matrix-factorisation item factors."""
-    ratings = df.groupBy(F.col(user).cast("int").alias("user"), F.col(item).cast("int").alias("item")).agg(
-        F.sum(rating).cast("float").alias("rating")
+    summed = df.groupBy(user, item).agg(F.sum(rating).cast("float").alias("rating"))
+    # The factorisation wants small whole numbers as ids, whatever the ids are.
+    users, items = (numbered(summed.select(c).distinct(), [], [c], f"_{c}") for c in (user, item))
+    ratings = salted_join(salted_join(summed, users, [user]), items, [item]).select(
+        F.col(f"_{user}").cast("int").alias("user"), F.col(f"_{item}").cast("int").alias("item"), "rating"
     )
     model = ALS(
         rank=rank, maxIter=5, regParam=0.1, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="rating", seed=seed
     ).fit(ratings)
-    return similar_items(model.itemFactors.select(F.col("id").cast("long").alias("id"), F.col("features").alias("vec")), k)
+    near = similar_items(model.itemFactors.select(F.col("id").cast("long").alias("id"), F.col("features").alias("vec")), k)
+    names = items.select(F.col(f"_{item}").alias("id"), F.col(item))
+    named = salted_join(near, names.withColumnRenamed(item, "rec_id"), ["id"]).drop("id").withColumnRenamed("query_id", "id")
+    return salted_join(named, names.withColumnRenamed(item, "base_id"), ["id"]).select("base_id", "rec_id", "score", "rn")
 
 
 def interest(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.text import ngrams_of, normalize_query, paren_text, strip_punctuation, words
 from clickloom.operators.relational import byte_length_between, threshold_filter
 from clickloom.plans.ranks import numbered, top_n
-from clickloom.plans.skew import mirror, salted_join, within_group_pairs
+from clickloom.plans.skew import mirror, salted_join, with_group, within_group_pairs
 from clickloom.plans.stage import written
 
 
@@ -32,14 +32,11 @@ def query_cooccurrence_tfidf(
     # Totals, document frequencies and scores all read the pair counts: write them once.
     half = written(half, "cooccurrence")
     tf = mirror(half, "a", "b").withColumnsRenamed({"a": "base_query", "b": "rec_query"})
-    docs = tf.groupBy("base_query").agg(F.sum("tf").alias("_total"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    idf = tf.groupBy("rec_query").agg(F.count(F.lit(1)).alias("_df"))
-    idf = idf.withColumn("_n", n_docs).select("rec_query", F.log10(F.col("_n") / F.col("_df")).alias("idf"))
-    scored = salted_join(salted_join(tf, docs, ["base_query"]), idf, ["rec_query"])
-    scored = scored.withColumn("normalized_tf", F.col("tf") / F.col("_total")).withColumn(
-        "tf_idf", F.col("normalized_tf") * F.col("idf")
-    )
+    n_docs = tf.agg(F.countDistinct("base_query")).scalar()
+    scored = with_group(tf, ["base_query"], _total=F.sum("tf"))
+    scored = with_group(scored, ["rec_query"], _df=F.count(F.lit(1))).withColumn("_n", n_docs)
+    scored = scored.withColumn("normalized_tf", F.col("tf") / F.col("_total")).withColumn("idf", F.log10(F.col("_n") / F.col("_df")))
+    scored = scored.withColumn("tf_idf", F.col("normalized_tf") * F.col("idf"))
     # Rounded for ranking, so that equal scores are ordered by the word on every run.
     scored = scored.withColumn("_r", F.round("tf_idf", 9))
     ranked = numbered(scored, ["base_query"], ["-_r", "rec_query"])
@@ -226,11 +223,10 @@ def text_rank(positions: DataFrame, id: str, pos: str, word: str, window: int =
         F.count(F.lit(1)).alias("w")
     )
     edges = mirror(half, "src", "dst")
-    out = edges.groupBy("src").agg(F.sum("w").alias("_out"))
-    edges = salted_join(edges, out, ["src"]).select("src", "dst", (F.col("w") / F.col("_out")).alias("p"))
+    edges = with_group(edges, ["src"], _out=F.sum("w")).select("src", "dst", (F.col("w") / F.col("_out")).alias("p"))
     # Written once to the shared folder: every step reads it again.
     edges = written(edges, "textrank")
-    rank = out.select(F.col("src").alias("word"), F.lit(1.0).alias("weight"))
+    rank = edges.select(F.col("src").alias("word"), F.lit(1.0).alias("weight")).distinct()
     for _ in range(iters):
         sent = edges.join(rank.withColumnRenamed("word", "src"), "src")
         got = sent.groupBy(F.col("dst").alias("word")).agg(F.sum(F.col("p") * F.col("weight")).alias("_g"))

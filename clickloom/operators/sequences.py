@@ -12,7 +12,7 @@ from clickloom.functions.numeric import stable_uniform
 from clickloom.operators.relational import ITEMS_PER_ROW
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, following_row, previous_row, running_sum
-from clickloom.plans.skew import salted_join
+from clickloom.plans.skew import salted_join, with_group
 from clickloom.plans.stage import written
 
 
@@ -133,10 +133,10 @@ def random_walks(edges: DataFrame, length: int, walks: int, seed: int) -> DataFr
     A step is one equality join of (node, slice of the draw) followed by a filter; the edge table already
     knows the degree of the next node. Walks at a much visited node spread over its slices.
     """
-    total = edges.groupBy("src").agg(F.sum("weight").alias("_total"), F.count(F.lit(1)).alias("_deg"))
+    total = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_deg"))
     cum = OrderedRows(edges, ["src"], ["dst"]).add(_before=running_sum(F.col("weight"), inclusive=False))
     cum = cum.add(_after=following_row(F.col("_before"))).rows()
-    table = salted_join(cum, total, ["src"]).select(
+    table = with_group(cum, ["src"], _total=F.sum("weight"), _deg=F.count(F.lit(1))).select(
         "src", "dst", "_deg",
         (F.col("_before") / F.col("_total")).alias("_lo"),
         F.coalesce(F.col("_after") / F.col("_total"), F.lit(1.0)).alias("_hi"),

@@ -13,7 +13,7 @@ from clickloom.functions.numeric import stable_uniform
 from clickloom.operators.relational import enrich, history_before, join_labels, weight_of
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, last_known, next_known
-from clickloom.plans.skew import hot_keys, with_group
+from clickloom.plans.skew import with_blocks, with_group
 from clickloom.session import pair_block
 
 
@@ -73,8 +73,7 @@ def pairwise(df: DataFrame, query: str, label: str, features: Sequence[str], id:
 
     Each row is compared with the rows of other labels only; large queries are joined block by block.
     """
-    blocks = F.broadcast(hot_keys(df, [query], pair_block(df.sparkSession)))
-    sized = df.join(blocks, query, "left").withColumn("_of", F.coalesce("_blocks", F.lit(1)))
+    sized = with_blocks(df, [query], pair_block(df.sparkSession))
     own = F.pmod(F.xxhash64(id), F.col("_of")).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.col("_of") - 1))
     good = sized.select(

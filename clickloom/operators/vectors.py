@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.numeric import dot, stable_uniform
 from clickloom.operators.evaluation import classification_report
 from clickloom.plans.ranks import top_n
-from clickloom.plans.skew import hot_keys
+from clickloom.plans.skew import hot_keys, salted_join
 
 QUERY_BLOCK = 2_048
 VECTOR_BLOCK = 16_384
@@ -75,13 +75,16 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2",
     return _top_of_blocks(q, v, ["qb", "vb"], k, metric, same_table)
 
 
-def _top_of_blocks(q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_table: bool) -> DataFrame:
+def _top_of_blocks(
+    q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_table: bool, once: bool = True
+) -> DataFrame:
+    """Best of the groups' answers; with ``once`` a pair of ids can come from one group only."""
     found = (
         q.groupBy(*keys)
         .cogroup(v.toDF(*v.columns).groupBy(*keys))
         .applyInPandas(_nearest(k, metric, same_table), "query_id long, id long, score double")
     )
-    best = top_n(found.distinct(), ["query_id"], ["score", "id"], k)
+    best = top_n(found if once else found.distinct(), ["query_id"], ["score", "id"], k)
     return best if metric == "l2" else best.withColumn("score", -F.col("score"))
 
 
@@ -109,22 +112,20 @@ def knn_lsh(
         return hashed.select("id", "vec", "tab", vector_to_array("hv")[0].alias("bucket"))
 
     q, v = buckets(queries), buckets(vectors)
-    hot = F.broadcast(hot_keys(v, ["tab", "bucket"], VECTOR_BLOCK))
-    n = F.coalesce("_blocks", F.lit(1))
-    q = q.join(hot, ["tab", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
-    v = v.join(hot, ["tab", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("id"), n).cast("int"))
-    # Queries of one bucket are cut as well, with the vectors of the block repeated for each cut.
-    cuts = F.broadcast(
-        hot_keys(q, ["tab", "bucket", "part"], QUERY_BLOCK).withColumnRenamed("_blocks", "_cuts")
-    )
-    q = q.join(cuts, ["tab", "bucket", "part"], "left").withColumn(
-        "cut", F.pmod(F.xxhash64("id"), F.coalesce("_cuts", F.lit(1))).cast("int")
-    )
-    v = v.join(cuts, ["tab", "bucket", "part"], "left").withColumn(
-        "cut", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))
-    )
-    keys = ["tab", "bucket", "part", "cut"]
-    return _top_of_blocks(q.select(*keys, "id", "vec"), v.select(*keys, "id", "vec"), keys, k, "l2", False)
+    # The vectors of a bucket are cut into parts and its queries into cuts; every part meets every cut.
+    home = ["tab", "bucket"]
+    parts = hot_keys(v, home, VECTOR_BLOCK).withColumnRenamed("_blocks", "_parts")
+    cuts = hot_keys(q, home, QUERY_BLOCK).withColumnRenamed("_blocks", "_cuts")
+
+    def placed(df: DataFrame, own: str, other: str, by: str, across: str) -> DataFrame:
+        sized = salted_join(salted_join(df, parts, home, "left"), cuts, home, "left")
+        mine = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int").alias(by)
+        spread = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(across)
+        return sized.select(*home, mine, spread, "id", "vec")
+
+    v = placed(v, "_parts", "_cuts", "part", "cut")
+    q = placed(q, "_cuts", "_parts", "cut", "part")
+    return _top_of_blocks(q, v, [*home, "part", "cut"], k, "l2", False, once=False)
 
 
 def recall_against(approx: DataFrame, exact: DataFrame) -> DataFrame:

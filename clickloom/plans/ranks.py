@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.plans.scans import OrderedRows, running_sum, sort_columns
-from clickloom.plans.skew import salted_join
+from clickloom.plans.skew import with_group
 
 # Spark keeps at most this many rows per group and task before the shuffle (WindowGroupLimit).
 GROUP_LIMIT = 1_000
@@ -40,11 +40,10 @@ def exact_quantiles(
         df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
     )
     placed = OrderedRows(counted, by, [value]).add(_cum=running_sum(F.col("_cnt"))).rows()
-    totals = counted.groupBy(*by).agg(F.sum("_cnt").alias("_total"))
     if by:
-        placed = salted_join(placed, totals, by)
+        placed = with_group(placed, by, _total=F.sum("_cnt"))
     else:
-        placed = placed.withColumn("_total", totals.select("_total").scalar())
+        placed = placed.withColumn("_total", counted.agg(F.sum("_cnt")).scalar())
     parts, out = [], []
     for p, name in zip(probs, names, strict=True):
         pos = F.lit(float(p)) * (F.col("_total") - 1)

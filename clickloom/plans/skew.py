@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from clickloom.session import hot_rows, pair_block
 
+# Longest list of large groups that is broadcast.
+BROADCAST_ROWS = 200_000
+
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
     """Keys with more than ``rows`` rows, and into how many blocks each should be split.
@@ -49,9 +52,40 @@ def salted_join(
 
 
 def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Add group aggregates to every row without gathering a group in one task."""
-    stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return salted_join(df, stats, keys)
+    """Add group aggregates to every row without gathering a group in one task; null keys are dropped.
+
+    The aggregates are computed once. Those of hot keys (at most total rows / limit) are broadcast and
+    their rows are spread by a salt; all other rows meet their group's aggregates by the key.
+    """
+    keys, limit = list(keys), hot_rows(df.sparkSession)
+    rows = df.dropna(subset=keys) if keys else df
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[a.alias(n) for n, a in aggs.items()])
+    # Both uses read every column in the same order, which makes them one exchange: the aggregate runs once.
+    hot = stats.where(F.col("_rows") > limit).select(*keys, *[F.col(c).alias(f"_h_{c}") for c in ("_rows", *aggs)])
+    left = rows.join(F.broadcast(hot), keys, "left")
+    spread = 1 + row_salt(rows, F.ceil(F.col("_h__rows") / limit))
+    left = left.withColumn("_salt", F.when(F.col("_h__rows").isNull(), 0).otherwise(spread).cast("int"))
+    # Always 0, but not a constant: a constant would leave the join, and the shuffle, without the salt.
+    plain = stats.select(*keys, F.least(F.col("_rows"), F.lit(0)).cast("int").alias("_salt"), *aggs)
+    joined = left.join(plain, keys + ["_salt"], "left")
+    return joined.select(*df.columns, *[F.coalesce(f"_h_{n}", n).alias(n) for n in aggs])
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], block: int, name: str = "_of") -> DataFrame:
+    """Add into how many blocks of about ``block`` rows the row's group should be cut (1 for most).
+
+    The large groups are counted first: with none there is nothing to join, a list of checked length is
+    broadcast, and a longer one is joined by its keys.
+    """
+    large = hot_keys(df, keys, block).withColumnRenamed("_blocks", name)
+    found = large.limit(BROADCAST_ROWS + 1).count()
+    if found == 0:
+        return df.withColumn(name, F.lit(1))
+    if found <= BROADCAST_ROWS:
+        out = df.join(F.broadcast(large), list(keys), "left")
+    else:
+        out = salted_join(df, large, keys, "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(1)))
 
 
 def within_group_pairs(
@@ -64,12 +98,8 @@ def within_group_pairs(
     about ``block`` rows of a group on either side. Symmetric results need only this half of the pairs.
     """
     keys, carry = list(keys), list(carry)
-    # A listed group yields at least block * block / 2 pairs, so a job that can finish lists few.
-    large = F.broadcast(hot_keys(df, keys, block or pair_block(df.sparkSession)))
-    blocks = F.coalesce(F.col("_blocks"), F.lit(1))
-    sized = df.select(*keys, member, *carry).join(large, keys, "left").withColumns(
-        {"_own": F.pmod(F.xxhash64(member), blocks).cast("int"), "_of": blocks}
-    )
+    sized = with_blocks(df.select(*keys, member, *carry), keys, block or pair_block(df.sparkSession))
+    sized = sized.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_of")).cast("int"))
     left = sized.select(
         *keys,
         F.col("_own").alias("_ba"),

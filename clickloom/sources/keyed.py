@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.plans.ranks import top_n
+from clickloom.plans.skew import salted_join
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
@@ -45,7 +46,7 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: s
 def multi_get(df: DataFrame, key: str, keys: DataFrame | Sequence[Any]) -> DataFrame:
     """Rows of the requested keys. A list becomes a pushed-down filter, a table a semi join."""
     if isinstance(keys, DataFrame):
-        return df.join(keys.select(key).distinct(), key, "left_semi")
+        return salted_join(df, keys.select(key).distinct(), [key], "left_semi")
     return df.where(F.col(key).isin(*keys))
 
 

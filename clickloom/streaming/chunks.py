@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.numeric import seconds_of
 from clickloom.operators.sequences import sessionize
 from clickloom.plans.ranks import numbered
-from clickloom.plans.skew import hot_keys
+from clickloom.plans.skew import with_blocks
 
 BLOCK_ROWS = 500_000
 
@@ -83,14 +83,12 @@ def flush_chunks(
     key = f"{conv} {types[conv]}, _island long"
     out = f"{conv} {types[conv]}, {turn} {types[turn]}, _island long, _chunk long"
 
-    # At most all rows / block_rows islands are listed.
-    large = F.broadcast(hot_keys(rows, [conv, "_island"], block_rows))
-    marked = rows.join(large, [conv, "_island"], "left")
-    small = marked.where(F.col("_blocks").isNull()).drop("_blocks")
+    marked = with_blocks(rows, [conv, "_island"], block_rows)
+    small = marked.where(F.col("_of") == 1).drop("_of")
     sorted_rows = small.repartition(F.col(conv), F.col("_island")).sortWithinPartitions(conv, "_island", "_sec", turn)
     chunks = sorted_rows.mapInPandas(_in_order(conv, turn, max_turns, age), out)
 
-    big = marked.where(F.col("_blocks").isNotNull()).drop("_blocks")
+    big = marked.where(F.col("_of") > 1).drop("_of")
     chunks = chunks.unionByName(_blockwise(big, conv, turn, max_turns, age, block_rows, key, out))
 
     firsts = chunks.select(conv, "_island", "_chunk").distinct()

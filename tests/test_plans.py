@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from clickloom.catalog import QUERIES
+from clickloom.plans.skew import with_group
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,6 +35,18 @@ def test_groups_are_limited_before_the_shuffle(spark, name):
     assert "Partial" in text and "WindowGroupLimit" in text
 
 
+def test_group_aggregates_run_once(spark):
+    spark.conf.set("spark.clickloom.hotRows", "20")
+    try:
+        lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_quantity")
+        out = with_group(lines, ["l_suppkey"], total=F.sum("l_quantity"), n=F.count(F.lit(1)))
+        out.collect()
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.clickloom.hotRows")
+    assert "ReusedExchange" in text.split("Initial Plan")[0]
+
+
 PURE = [
     "ag8_behavior_score", "sl4_top_n_score", "se1_sessionize", "se4_skipgram_pairs", "j7_asof_join", "tr4_resolve_conflicts", "re2_cooccurrence",
     "at1_shapley", "fe3_chi_square", "tx6_prefix_suggest", "st1_sliding_score", "mo6_streak_alerts", "re18_fm_score",
