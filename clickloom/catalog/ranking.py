@@ -577,18 +577,39 @@ def st10(t: Tables) -> DataFrame:
     return chunks.flush_chunks(t.conversations.select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query(
-    "st10_flush_by_age",
-    "WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), g(user_id, event_id, n, began, turns, chunk) AS ("
+CHUNKS = (
+    "RECURSIVE r AS MATERIALIZED (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), g(user_id, event_id, n, began, turns, chunk) AS ("
     "SELECT user_id, event_id, n, ts, 1, CAST(0 AS BIGINT) FROM r WHERE n = 1 UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN g.turns >= 5 OR r.ts - g.began >= INTERVAL 24 HOUR THEN r.ts ELSE g.began END, "
     "CASE WHEN g.turns >= 5 OR r.ts - g.began >= INTERVAL 24 HOUR THEN 1 ELSE g.turns + 1 END, g.chunk + CASE WHEN g.turns >= 5 OR r.ts - g.began >= INTERVAL 24 HOUR THEN 1 ELSE 0 END "
-    "FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1) SELECT user_id AS conv_id, event_id AS turn, chunk FROM g",
+    "FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1)"
 )
+
+
+@query("st10_flush_by_age", f"WITH {CHUNKS} SELECT user_id AS conv_id, event_id AS turn, chunk FROM g")
 def st10_age(t: Tables) -> DataFrame:
     rows = t.events.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), "ts")
     return chunks.flush_chunks(rows, "conv_id", "turn", "ts", 5, 86400).select("conv_id", "turn", "chunk")
 
 
+@query(
+    "st10_flush_stream",
+    f"WITH {CHUNKS} SELECT user_id, chunk, arg_min(event_id, n) AS first_turn, arg_max(event_id, n) AS last_turn, CAST(count(*) AS INTEGER) AS turns FROM g GROUP BY user_id, chunk "
+    "HAVING count(*) = 5 OR min(began) + INTERVAL 24 HOUR < (SELECT max(ts) FROM events)",
+)
+def st10_stream(t: Tables) -> DataFrame:
+    flushed = chunks.flush_stream(_stream(t), "user_id", "event_id", "ts", 5, 86400)
+    return t.spark.read.parquet(sinks.run_to_table(flushed, "append", "flushed"))
+
+
+@query("st9_extract_and_commit", "SELECT event_id, lower(event_type) AS kind, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def st9(t: Tables) -> DataFrame:
+    raw = tables.read_topic(t.spark, "parquet", {}, t.events.schema, t.path("events") + "*")
+    picked = tables.decode_json(raw.select("event_id", F.lower("event_type").alias("kind"), "props"), "props", "k int")
+    out = fresh_dir(t.spark, "extract")
+    sinks.process_then_commit(picked, sinks.by_batch(out), fresh_dir(t.spark, "extract-state"), True).awaitTermination()
+    return t.spark.read.parquet(out).drop("batch")
+
+
 @query(
     "st11_live_interest",
     f"SELECT user_id, k, round(sum({WSQL} * pow(0.5, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 1000000.0 / 604800.0)), 6) AS interest FROM {EV} e GROUP BY 1, 2",

@@ -31,8 +31,11 @@ class Tables:
     @property
     def texts(self) -> DataFrame:
         """Documents for work that is heavy per text; a table of few files is spread over all cores first."""
-        docs, cores = self.documents.select("doc_id", "text"), self.spark.sparkContext.defaultParallelism
-        return docs.repartition(4 * cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+        return self.spread(self.documents.select("doc_id", "text"), "doc_id")
+
+    def spread(self, df: DataFrame, *keys: str) -> DataFrame:
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(4 * cores, *keys) if len(df.inputFiles()) < cores else df
 
     @property
     def imp(self) -> DataFrame:

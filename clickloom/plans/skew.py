@@ -58,7 +58,10 @@ def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     their rows are spread by a salt; all other rows meet their group's aggregates by the key.
     """
     keys, limit = list(keys), hot_rows(df.sparkSession)
-    rows = df.dropna(subset=keys) if keys else df
+    if not keys:
+        whole = df.agg(*[a.alias(n) for n, a in aggs.items()])
+        return df.withColumns({n: whole.select(n).scalar() for n in aggs})
+    rows = df.dropna(subset=keys)
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[a.alias(n) for n, a in aggs.items()])
     # Both uses read every column in the same order, which makes them one exchange: the aggregate runs once.
     hot = stats.where(F.col("_rows") > limit).select(*keys, *[F.col(c).alias(f"_h_{c}") for c in ("_rows", *aggs)])
@@ -114,7 +117,10 @@ def within_group_pairs(
         F.col(member).alias("_mb"),
         *[F.col(c).alias(f"_{c}_b") for c in carry],
     )
-    joined = left.join(right, keys + ["_ba", "_bb"]).where(
+    # Rows multiply in this join, so its partitions must not be merged by their input size.
+    parts, cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys + ["_ba", "_bb"]
+    left, right = left.repartition(parts, *cells), right.repartition(parts, *cells)
+    joined = left.join(right, cells).where(
         (F.col("_ba") < F.col("_bb")) | (F.col("_ma") < F.col("_mb"))
     )
     in_order = F.col("_ma") < F.col("_mb")

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clickloom.functions.numeric import seconds_of
 from clickloom.operators.sequences import sessionize
@@ -145,3 +146,52 @@ def _blockwise(
         .mapInPandas(follow, f"{key}, _block long, entry long, base long")
     )
     return spread.groupBy(*ids).cogroup(entered.groupBy(*ids)).applyInPandas(number, out)
+
+
+def flush_stream(
+    df: DataFrame, conv: str, turn: str, ts: str, max_turns: int = 5, max_age_seconds: int = 3600, delay: str | None = "0 seconds"
+) -> DataFrame:
+    """The same rule on a stream: one row per flushed chunk, (conv, chunk, first_turn, last_turn, turns).
+
+    State per conversation is the open chunk, at most ``max_turns`` turns. A chunk left open is flushed
+    when the watermark passes its age.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    t = types[turn]
+    out = f"{conv} {types[conv]}, chunk long, first_turn {t}, last_turn {t}, turns int"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chunk, turns, opened = state.get if state.exists else (0, [], 0.0)
+        turns, done = list(turns), []
+
+        def flush() -> None:
+            nonlocal chunk, turns
+            done.append((key[0], chunk, turns[0], turns[-1], len(turns)))
+            chunk, turns = chunk + 1, []
+
+        if state.hasTimedOut:
+            flush()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["_sec", turn])
+            for x, sec in zip(rows[turn].tolist(), rows["_sec"].tolist(), strict=True):
+                if turns and sec - opened >= max_age_seconds:
+                    flush()
+                opened = opened if turns else sec
+                turns.append(x)
+                if len(turns) == max_turns:
+                    flush()
+        ends = int((opened + max_age_seconds) * 1000) + 1
+        if turns and ends <= state.getCurrentWatermarkMs():
+            flush()
+        state.update((chunk, turns, opened))
+        if turns:
+            state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame(done, columns=[conv, "chunk", "first_turn", "last_turn", "turns"])
+
+    rows = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    if delay is not None:
+        rows = rows.withWatermark(ts, delay)
+    rows = rows.select(conv, turn, ts, seconds_of(F.col(ts)).alias("_sec"))
+    return rows.groupBy(conv).applyInPandasWithState(
+        step, out, f"chunk long, turns array<{t}>, opened double", "append", GroupStateTimeout.EventTimeTimeout
+    )

@@ -47,6 +47,9 @@ def sliding_score(
         out = _watermarked(df, ts, delay).groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(score)
         return out.select(F.col("w.end").alias("window_end"), *keys, "score", "w")
     panes = df.groupBy(F.window(ts, slide).alias("_p"), *keys).agg(score)
+    # A key now has at most one row per pane, however many events it had. Placed by key, its windows are
+    # summed where they are made, and the many window rows are never shuffled.
+    panes = panes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     last = F.col("_p.start") + F.expr(f"interval {size}")
     ends = F.explode(F.sequence(F.col("_p.end"), last, F.expr(f"interval {slide}"))).alias("window_end")
     return panes.select(ends, *keys, "score").groupBy("window_end", *keys).agg(F.sum("score").alias("score"))
