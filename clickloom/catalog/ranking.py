@@ -10,7 +10,7 @@ from clickloom.catalog.registry import EV, WEIGHTS, WSQL, Tables, query, r6, uni
 from clickloom.functions.numeric import sigmoid
 from clickloom.operators import recommend, relational, sequences, vectors
 from clickloom.plans.ranks import top_n
-from clickloom.plans.skew import with_group
+from clickloom.plans.skew import mirror, with_group
 from clickloom.session import fresh_dir
 from clickloom.sources import tables
 from clickloom.streaming import chunks, sinks, windows
@@ -143,9 +143,7 @@ def _walks_sql(length: int, walks: int, seed: int) -> str:
 @query("se7_random_walks", _walks_sql(5, 3, 5))
 def se7(t: Tables) -> DataFrame:
     pairs = recommend.cooccurrence(t.ev, "user_id", "k")
-    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("cnt").alias("weight")).unionByName(
-        pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("cnt").alias("weight"))
-    )
+    edges = mirror(pairs.withColumnsRenamed({"a": "src", "b": "dst", "cnt": "weight"}), "src", "dst")
     out = sequences.random_walks(edges, 5, 3, 5)
     return out.select("start", "walk", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 

@@ -133,6 +133,7 @@ def random_walks(edges: DataFrame, length: int, walks: int, seed: int) -> DataFr
     A step is one equality join of (node, slice of the draw) followed by a filter; the edge table already
     knows the degree of the next node. Walks at a much visited node spread over its slices.
     """
+    edges = written(edges.select("src", "dst", "weight"), "walk-edges")
     total = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_deg"))
     cum = OrderedRows(edges, ["src"], ["dst"]).add(_before=running_sum(F.col("weight"), inclusive=False))
     cum = cum.add(_after=following_row(F.col("_before"))).rows()

@@ -14,7 +14,7 @@ from clickloom.session import fresh_dir
 from clickloom.sources import keyed, sinks, tables
 from clickloom.streaming import sinks as stream_sinks
 from clickloom.streaming import windows
-from clickloom.streaming.chunks import flush_chunks
+from clickloom.streaming.chunks import flush_chunks, flush_stream
 
 T0 = datetime(2024, 1, 1)
 
@@ -163,6 +163,60 @@ def test_chunks_flush_by_turns_and_by_age(frame):
     assert [r.chunk for r in out.orderBy("t").collect()] == [0] * 5 + [1] * 3 + [2]
 
 
+def test_stream_flush_agrees_with_batch(spark, frame):
+    rows = [("c", i, minutes(i)) for i in range(7)] + [("c", 7, minutes(64)), ("c", 8, minutes(200)), ("d", 9, minutes(0)), ("z", 99, minutes(9999))]
+    df = frame(rows, "c string, t int, ts timestamp")
+    batch = flush_chunks(df, "c", "t", "ts").groupBy("c", "chunk").agg(F.count("t").alias("n"), F.min("t").alias("a")).where("c != 'z'")
+    folder = fresh_dir(spark, "turns")
+    df.coalesce(1).write.parquet(folder)
+    stream = tables.read_topic(spark, "parquet", {}, df.schema, folder)
+    out = spark.read.parquet(stream_sinks.run_to_table(flush_stream(stream, "c", "t", "ts"), "append", "flush"))
+    assert {(r.c, r.chunk, r.turns, r.first_turn) for r in out.collect()} == {(r.c, r.chunk, r.n, r.a) for r in batch.collect()}
+
+
+def test_stream_equals_batch_for_closed_windows(spark, frame):
+    df = spark.range(300).select((F.col("id") % 3).alias("k"), (F.col("id") % 11).cast("double").alias("v"), F.timestamp_seconds(F.col("id") * 97).alias("ts"))
+    folder = fresh_dir(spark, "means")
+    df.coalesce(1).write.parquet(folder)
+    stream = tables.read_topic(spark, "parquet", {}, df.schema, folder)
+    got = spark.read.parquet(stream_sinks.run_to_table(windows.tumbling_mean(stream, "ts", "k", "v"), "append", "means-out"))
+    top = df.agg(F.max("ts")).first()[0]
+    want = windows.tumbling_mean(df, "ts", "k", "v").where(F.col("window_end") <= F.lit(top))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_similar_items_by_factors_takes_any_ids(spark):
+    rows = [(f"u{u}", f"i{i}", 1.0) for u in range(12) for i in range(8) if (u + i) % 2 == 0]
+    out = recommend.als_similar(spark.createDataFrame(rows, "u string, i string, r double"), "u", "i", "r", 2, rank=4)
+    got = {r.base_id: r.rec_id for r in out.where("rn = 1").collect()}
+    assert len(got) == 8 and all((int(a[1]) + int(b[1])) % 2 == 0 for a, b in got.items())
+
+
+def test_cold_item_ties_go_to_the_smaller_id(frame):
+    held = frame([(i, "a", p) for i, p in ((1, 10.0), (2, 10.0), (3, 10.0), (4, 12.0), (5, 8.0), (6, 8.0))], "id long, g string, p double")
+    vec = held.select("id", F.array(F.col("id").cast("double")).alias("vector"))
+    new = frame([(100, "a", 11.0), (101, "a", 9.0), (102, "b", 1.0), (103, "a", 10.0)], "id long, g string, p double")
+    got = {r.id: r.vector[0] for r in recommend.cold_item_vector(new, held, vec, ["g"], "id", "p").collect()}
+    assert got == {100: pytest.approx(2.0), 101: pytest.approx(2.0), 103: pytest.approx(2.0)}
+
+
+@pytest.mark.parametrize("parts", ["2", "8"])
+def test_results_do_not_depend_on_shuffle_partitions(spark, parts):
+    df = spark.range(400).select((F.col("id") % 9).alias("u"), (F.col("id") * 7 % 23).alias("i"), F.timestamp_seconds(F.col("id") * 1000 % 77_777).alias("ts"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        sim = sorted((r.base_id, r.rec_id, round(r.similarity, 9)) for r in recommend.swing(df, "u", "i").collect())
+        ses = sorted((r.id, r.session) for r in sequences.sessionize(df, "u", "ts", tie=["id"]).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    seen = _RESULTS.setdefault("swing", (sim, ses))
+    assert seen == (sim, ses)
+
+
+_RESULTS: dict = {}
+
+
 def test_late_rows_are_dropped_in_a_stream(spark, frame):
     folder = fresh_dir(spark, "late")
     schema = "k string, v double, secs long"
