@@ -66,7 +66,7 @@ def se3(t: Tables) -> DataFrame:
 
 @query(
     "se4_skipgram_pairs",
-    f"SELECT a.user_id, a.session, a.pos, a.k AS centre, b.k AS context, b.pos - a.pos AS distance FROM {POS} a JOIN {POS} b ON a.user_id = b.user_id "
+    f"SELECT a.user_id, a.session, a.pos, a.k AS centre, b.k AS context, CAST(b.pos - a.pos AS INTEGER) AS distance FROM {POS} a JOIN {POS} b ON a.user_id = b.user_id "
     "AND a.session = b.session AND abs(a.pos - b.pos) BETWEEN 1 AND 2",
 )
 def se4(t: Tables) -> DataFrame:
@@ -285,7 +285,7 @@ def re9_ttl(t: Tables) -> DataFrame:
 
 
 TOP_VALUE = (
-    "(SELECT user_id, k AS item, CAST(rn AS INTEGER) AS rn FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY round(sum(value), 4) DESC, k) AS rn FROM "
+    "(SELECT user_id, k AS item, rn FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY round(sum(value), 4) DESC, k) AS rn FROM "
     + EV + " e WHERE event_type = 'purchase' GROUP BY 1, 2) WHERE rn <= 10)"
 )
 
@@ -297,7 +297,7 @@ def _recs(t: Tables) -> DataFrame:
 
 @query(
     "re10_fill_cold_users",
-    f"WITH r AS {TOP_VALUE}, p AS (SELECT k AS item, CAST(row_number() OVER (ORDER BY count(*) DESC, k) AS INTEGER) AS rn FROM {EV} e GROUP BY k QUALIFY rn <= 5) "
+    f"WITH r AS {TOP_VALUE}, p AS (SELECT k AS item, row_number() OVER (ORDER BY count(*) DESC, k) AS rn FROM {EV} e GROUP BY k QUALIFY rn <= 5) "
     "SELECT user_id, item, rn, 0 AS fallback FROM r UNION ALL SELECT c_custkey, item, rn, 1 FROM customer, p WHERE c_custkey NOT IN (SELECT user_id FROM r)",
 )
 def re10(t: Tables) -> DataFrame:
@@ -344,8 +344,8 @@ def sl5(t: Tables) -> DataFrame:
     "re13_exploration_slot",
     f"WITH r AS {TOP_VALUE}, x AS (SELECT user_id, k AS item, count(*) AS n FROM {EV} e WHERE event_type = 'view' GROUP BY 1, 2), f AS (SELECT x.* FROM x WHERE NOT EXISTS "
     f"(SELECT 1 FROM r WHERE r.user_id = x.user_id AND r.item = x.item)), d AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(-ln({uniform_sql(9, 'user_id', 'item')}) / (1.0 / (1.0 + n)), 12), item) AS o FROM f), "
-    "g AS (SELECT * FROM d WHERE o = 1 AND user_id IN (SELECT user_id FROM r)) SELECT r.user_id, r.item, CAST(rn + CASE WHEN g.user_id IS NOT NULL AND rn >= 3 THEN 1 ELSE 0 END AS INTEGER) AS rn, 0 AS explored "
-    "FROM r LEFT JOIN g ON r.user_id = g.user_id UNION ALL SELECT user_id, item, 3, 1 FROM g",
+    "g AS (SELECT * FROM d WHERE o = 1 AND user_id IN (SELECT user_id FROM r)) SELECT r.user_id, r.item, CAST(rn + CASE WHEN g.user_id IS NOT NULL AND rn >= 3 THEN 1 ELSE 0 END AS BIGINT) AS rn, 0 AS explored "
+    "FROM r LEFT JOIN g ON r.user_id = g.user_id UNION ALL SELECT user_id, item, CAST(3 AS BIGINT), 1 FROM g",
 )
 def re13(t: Tables) -> DataFrame:
     views = t.ev.where("event_type = 'view'").groupBy("user_id", F.col("k").alias("item")).agg(F.count(F.lit(1)).alias("exposures"))

@@ -144,7 +144,7 @@ def fill_cold_users(recs: DataFrame, users: DataFrame, popular: DataFrame, user:
     """Recommendations (user, item, rn), with the ``n`` popular items for users who have none."""
     cold = users.select(user).distinct().join(recs.select(user).distinct(), user, "left_anti")
     filled = cold.withColumn("_l", _list_of(popular, n)).select(user, F.posexplode("_l").alias("_p", "_i"))
-    filled = filled.select(user, F.col("_i.item").alias("item"), (F.col("_p") + 1).alias("rn"), F.lit(1).alias("fallback"))
+    filled = filled.select(user, F.col("_i.item").alias("item"), (F.col("_p") + 1).cast("long").alias("rn"), F.lit(1).alias("fallback"))
     return recs.select(user, "item", "rn", F.lit(0).alias("fallback")).unionByName(filled)
 
 
@@ -157,7 +157,7 @@ def group_popular(df: DataFrame, group: str, item: str, n: int) -> DataFrame:
     # n own items can hide at most n of the overall list, so 2 n overall items always suffice.
     every = df.select(group).distinct().withColumn("_l", _list_of(overall, 2 * n))
     filler = every.select(group, F.posexplode("_l").alias("_p", "_i")).select(
-        group, F.col("_i.item").alias("item"), F.lit(1).alias("level"), (F.col("_p") + 1).alias("place")
+        group, F.col("_i.item").alias("item"), F.lit(1).alias("level"), (F.col("_p") + 1).cast("long").alias("place")
     )
     best = own.unionByName(filler).groupBy(group, "item").agg(F.min(F.struct("level", "place")).alias("_b"))
     return top_n(best.select(group, "item", "_b.*"), [group], ["level", "place"], n).drop("place")
@@ -215,7 +215,7 @@ def exploration_slot(
         (F.col("rn") + F.when(F.col("_has").isNotNull() & (F.col("rn") >= slot), 1).otherwise(0)).alias("rn"),
         F.lit(0).alias("explored"),
     )
-    added = known.select(user, item, F.lit(slot).alias("rn"), F.lit(1).alias("explored"))
+    added = known.select(user, item, F.lit(slot).cast("long").alias("rn"), F.lit(1).alias("explored"))
     return moved.unionByName(added)
 
 

@@ -17,8 +17,8 @@ from clickloom.operators.evaluation import classification_report
 from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import hot_keys, salted_join
 
-QUERY_BLOCK = 2_048
-VECTOR_BLOCK = 16_384
+QUERY_BLOCK = 1_024
+VECTOR_BLOCK = 8_192
 
 
 def _nearest(k: int, metric: str, same_table: bool) -> Callable[..., pd.DataFrame]:
@@ -44,15 +44,15 @@ def _nearest(k: int, metric: str, same_table: bool) -> Callable[..., pd.DataFram
         qid, vid = q["id"].to_numpy(), v["id"].to_numpy()
         if same_table:
             score[qid[:, None] == vid[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(vid, score.shape), score), axis=1)[:, :k]
-        out = pd.DataFrame(
-            {
-                "query_id": np.repeat(qid, order.shape[1]),
-                "id": vid[order].ravel(),
-                "score": np.take_along_axis(score, order, 1).ravel(),
-            }
-        )
-        return out[np.isfinite(out["score"])]
+        # Everything up to the k-th score of its query, ties included; only that little is sorted.
+        kth = np.partition(score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
+        rows, cols = np.nonzero((score <= kth[:, None]) & np.isfinite(score))
+        picked, ids = score[rows, cols], vid[cols]
+        order = np.lexsort((ids, picked, rows))
+        rows, picked, ids = rows[order], picked[order], ids[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < k
+        return pd.DataFrame({"query_id": qid[rows[keep]], "id": ids[keep], "score": picked[keep]})
 
     return best
 

@@ -28,7 +28,7 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, name:
     if n > GROUP_LIMIT:
         return numbered(df, by, order, name).where(F.col(name) <= n)
     w = Window.partitionBy(*by).orderBy(*sort_columns(order))
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n).withColumn(name, F.col(name).cast("long"))
 
 
 def exact_quantiles(
