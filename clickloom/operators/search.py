@@ -151,7 +151,7 @@ def suggest(index: DataFrame, prefixes: DataFrame, prefix: str) -> DataFrame:
     return asked.where(F.col("prefix") != "").join(index, "prefix").select("typed", "word", "freq", "rn")
 
 
-def intent_pipeline(text: str, label: str, algo: str = "logistic", vocab: int = 20_000) -> Pipeline:
+def intent_stages(text: str, label: str, algo: str = "logistic", vocab: int = 20_000) -> Pipeline:
     """Character 1- to 3-gram counts into a text classifier (logistic, svm, bayes or gbt)."""
     base = {
         "logistic": lambda: LogisticRegression(maxIter=30, regParam=0.01),
@@ -173,7 +173,7 @@ def with_grams(df: DataFrame, text: str, low: int = 1, high: int = 3) -> DataFra
 
 
 def intent_fit(df: DataFrame, text: str, label: str, algo: str = "logistic"):
-    return intent_pipeline(text, label, algo).fit(with_grams(df, text))
+    return intent_stages(text, label, algo).fit(with_grams(df, text))
 
 
 def _deletions(text: Column) -> Column:

@@ -56,8 +56,12 @@ def order_code(df: DataFrame, spec: str) -> Column:
     """A double that never decreases along the sort order; used only to place range bounds."""
     desc, name = spec.startswith("-"), spec.lstrip("-")
     dtype, col = df.schema[name].dataType, F.col(name)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        code = F.unix_micros(col.cast("timestamp")).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        code = F.unix_micros(col).cast("double")
+    elif isinstance(dtype, T.TimestampNTZType):
+        # From its own fields: a cast would go through the session's zone, where clocks can jump.
+        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.extract(F.lit("SECOND"), col)
+        code = F.unix_date(col.cast("date")).cast("double") * 86400 + clock.cast("double")
     elif isinstance(dtype, T.DateType):
         code = F.unix_date(col).cast("double")
     elif isinstance(dtype, T.StringType):

@@ -12,7 +12,6 @@ from clickloom.operators import recommend, sequences
 from clickloom.plans.ranks import exact_quantiles, numbered
 from clickloom.plans.scans import OrderedRows, following_row, last_known, next_known, previous_row, running_sum
 from clickloom.plans.skew import hot_keys, salted_join, with_group, within_group_pairs
-from clickloom.session import build_session  # noqa: F401
 from clickloom.streaming.chunks import flush_chunks
 
 
