@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import byte_bpe, language_id, licenses, line_dedup, mixing, warc
+from clickloom.llm import byte_bpe, language_id, licenses, line_dedup, mixing, segment_search, vp_tree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query
+def op2_vp_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return vp_tree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 @query
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -67,6 +72,21 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.decode(ids, words).select("doc_id", "n_tokens", "ids_sha256", sha256("decoded").alias("decoded_sha256"))
 
 
+@query
+def op6_segment_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", segment_search.integers(F.col("embedding")).alias("embedding"))
+    return segment_search.nearest(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op6_segment_search"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
 @query
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_and_read(table(spark, folder, "pages"))
