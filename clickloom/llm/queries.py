@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import byte_bpe, language_id, licenses, line_dedup, mixing, segment_search, vp_tree, warc
+from clickloom.llm import byte_bpe, language_id, licenses, line_dedup, mixing, segment_search, suffix_dedup, vp_tree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2_vp_tree(spark: SparkSession, folder: str) -> DataFrame:
     return vp_tree.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
