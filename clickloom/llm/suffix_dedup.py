@@ -25,8 +25,7 @@ LENGTH = 200
 ANCHOR = 32
 CHUNK = 4_000_000
 SHARD_BYTES = 3_000_000
-HOT_REGIONS = 2_000
-BROADCAST_BYTES = 48_000_000
+HOT_REGIONS = 20_000
 # Fixed odd factors of the anchor hash.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)
 
@@ -95,10 +94,15 @@ def smaller_than_next(text: np.ndarray, lasts: np.ndarray) -> np.ndarray:
 
     ``lasts`` are the last positions of the stretches.
     """
-    stops = np.union1d(np.flatnonzero(text[:-1] != text[1:]), lasts)
-    smaller = np.append(text, 0)[stops] < np.append(text, 0)[stops + 1]
-    smaller[np.searchsorted(stops, lasts)] = True
-    return smaller[np.searchsorted(stops, np.arange(len(text)))]
+    stop = np.empty(len(text), bool)
+    stop[:-1] = text[:-1] != text[1:]
+    stop[lasts] = True
+    stops = np.flatnonzero(stop)
+    after = np.append(text, 0)
+    smaller = after[stops] < after[stops + 1]
+    at_end = np.zeros(len(text), bool)
+    at_end[lasts] = True
+    return np.repeat(smaller | at_end[stops], np.diff(stops, prepend=-1))
 
 
 def two_stage_order(text: np.ndarray, small: np.ndarray, starts: np.ndarray, ends: np.ndarray, limits: np.ndarray, depth: int) -> np.ndarray:
@@ -115,7 +119,7 @@ def two_stage_order(text: np.ndarray, small: np.ndarray, starts: np.ndarray, end
     is_large = np.zeros(size, bool)
     is_large[places] = ~small[places]
     raw = text.tobytes()
-    limit = limits[np.searchsorted(starts, places, side="right") - 1]
+    limit = np.repeat(limits, ends - starts)
     directly = small[places]
     # Stage one: direct comparison.
     keyed = [raw[p : min(p + depth, e)] for p, e in zip(places[directly].tolist(), limit[directly].tolist(), strict=True)]
@@ -179,8 +183,7 @@ def repeated_starts(regions: list[bytes], counts: np.ndarray, many: np.ndarray,
     places = np.flatnonzero(small)
     ends = places[np.searchsorted(places, starts + counts - 1)] + 1
     order = two_stage_order(text[:-8], small, starts, ends, starts + sizes, length)
-    owner = np.searchsorted(starts, order, side="right") - 1
-    order = order[order - starts[owner] < counts[owner]]
+    order = order[order < np.repeat(starts + counts, sizes)[order]]
     equal = common_prefixes(text, order, length) >= length
     found = np.zeros(len(text), bool)
     found[order[1:][equal]] = True
@@ -193,11 +196,6 @@ def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()
 
 
-def _small_side(df: DataFrame, size: int) -> DataFrame:
-    """Broadcast behind a check of the bytes; beyond the bound the join shuffles."""
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_regions: int = HOT_REGIONS) -> DataFrame:
     """(doc, body, starts, sizes): runs of window starts of each text (doc id, hash of the text) that also start elsewhere."""
     found = written(find_regions(docs, length), "regions")
@@ -209,12 +207,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     # Anchors with very many different regions are not sorted in one shard: their windows are counted by hash (see below).
     hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("cnt")).where(F.col("cnt") > hot_regions).select("anchor", F.lit(True).alias("hot"))
     kinds = kinds.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    total = kinds.agg(F.sum(F.col("n") + length - 1), F.count(F.lit(1))).first()
+    total = kinds.agg(F.sum(F.col("n") + length - 1)).first()
     n_shards = max(1, -(-int(total[0] or 0) // shard_bytes))
     wanted = kinds.groupBy("doc", "body").agg(F.collect_list(F.struct("start", "n", "anchor", "region", "many", "hot")).alias("wanted"))
     wanted = written(wanted, "wanted").withColumnsRenamed({"doc": "_doc", "body": "_body"})
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body"))
-    texts = docs.join(_small_side(wanted, 48 * int(total[1])), same).select("text", "wanted")
+    texts = docs.join(wanted, same).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "anchor", "region", "many", "hot", "n", "data"]
@@ -279,9 +277,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError(f"length must be a multiple of 8 of at least {ANCHOR + 8}")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     spans = written(repeated_spans(rows, length, shard_bytes, hot_regions), "spans").withColumnsRenamed({"doc": "_doc", "body": "_body"})
-    size = spans.agg(F.sum(8 * F.size("starts") + 64)).first()[0] or 0
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body"))
-    joined = rows.join(_small_side(spans, int(size)), same, "left").select("doc", "text", "starts", "sizes")
+    joined = rows.join(spans, same, "left").select("doc", "text", "starts", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
