@@ -200,6 +200,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     """(doc, body, starts, sizes): runs of window starts of each text (doc id, hash of the text) that also start elsewhere."""
     found = written(find_regions(docs, length), "regions")
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select("anchor")
+    shared = written(shared, "shared-anchors")  # a plain shuffle on both sides lets adaptive execution split hot anchors
     found = written(found.join(shared, "anchor", "left_semi"), "shared-regions")
     # Equal regions count once; the first place stands for them.
     kinds = found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("doc", "body", "start", "n")).alias("at"))
@@ -249,7 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
     # Windows of a hot anchor: one row per window, spread by the window's own hash.
     twice = each.groupBy("window").agg(F.count(F.lit(1)).alias("cnt"), F.max("many").alias("any")).where("cnt > 1 OR any").select("window")
     hot_runs = each.join(twice, "window").select("anchor", "region", F.array("start").alias("starts"), F.array(F.lit(1)).alias("sizes"))
-    runs = sorted_runs.union(hot_runs)
+    runs = written(sorted_runs.union(hot_runs), "runs")
     placed = found.join(runs, ["anchor", "region"]).select("doc", "body", F.transform("starts", lambda s: s + F.col("start")).alias("starts"), "sizes")
     return placed.groupBy("doc", "body").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("sizes")).alias("sizes"))
 
