@@ -18,8 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PIECES = 200_000
-CACHED_PAIRS = 500_000
+from clickloom.llm.batches import short_batches
+
+CACHED_PIECES = 100_000
+CACHED_PAIRS = 200_000
 
 
 class Vocabulary(NamedTuple):
@@ -90,16 +92,17 @@ class Encoder:
         for i, t in enumerate(self.tokens):
             self.machine.add_word(t.decode("latin-1"), i)
         self.machine.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.cached_pieces, self.cached_pairs = cached_pieces, cached_pairs
 
     def _fit(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        pair = a * len(self.tokens) + b
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= self.cached_pairs:
                 self.pairs.clear()
-            known = self.pairs[a, b] = _compatible(a, b, self.made, self.left, self.right)
+            known = self.pairs[pair] = _compatible(a, b, self.made, self.left, self.right)
         return known
 
     def merge(self, piece: bytes) -> list[int]:
@@ -157,7 +160,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
             ids = pa.array((encoder.encode(t.as_py() or "") for t in b.column(text)), pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), ids], names=[*kept, "ids"])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept, F.lit(b"").alias("ids")).schema)
+    return short_batches(docs).select(*kept).mapInArrow(run, docs.select(*kept, F.lit(b"").alias("ids")).schema)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
@@ -174,4 +177,4 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFra
                 out.append(b"".join([tokens[i] for i in memoryview(packed).cast("I")]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept, F.lit(b"").alias("decoded")).schema)
+    return short_batches(docs).select(*kept).mapInArrow(run, docs.select(*kept, F.lit(b"").alias("decoded")).schema)

@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.llm.batches import short_batches
+
 UNKNOWN = "und"
 SAMPLE_DOCUMENTS = 64
 PIECE_CHARS = 2_000
@@ -99,4 +101,4 @@ def classify(docs: DataFrame, dictionaries: Mapping[str, bytes], text: str = "te
             ]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + new, names=[*kept, "lang_pred", "score", "accepted"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return short_batches(docs).select(*kept).mapInArrow(run, schema)

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.batches import short_batches
 from clickloom.plans.stage import written
 
 LENGTH = 200
@@ -276,7 +277,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if length < ANCHOR + 8 or length % 8:
         raise ValueError(f"length must be a multiple of 8 of at least {ANCHOR + 8}")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    rows = short_batches(docs).select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     spans = written(repeated_spans(rows, length, shard_bytes, hot_regions), "spans").withColumnsRenamed({"doc": "_doc", "body": "_body"})
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body"))
     joined = rows.join(spans, same, "left").select("doc", "text", "starts", "sizes")

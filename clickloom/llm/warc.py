@@ -18,6 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.batches import short_batches
 from clickloom.plans.stage import written
 from clickloom.session import fresh_dir
 
@@ -121,7 +122,7 @@ def write_archives(records: DataFrame, folder: str | None = None, archive_bytes:
             sink.close()
 
     # Files are complete before the index is read: the index is the output of the tasks that wrote them.
-    return written(records.mapInArrow(run, INDEX), "warc-index")
+    return written(short_batches(records).mapInArrow(run, INDEX), "warc-index")
 
 
 def _ranges(rows: list[dict], range_bytes: int, gap_bytes: int) -> Iterator[list[dict]]:
