@@ -115,11 +115,12 @@ def inherit(files: DataFrame, found: DataFrame, licence_files: DataFrame, path:
     climbs = dirs.select("dir", F.posexplode(above).alias("depth", "up")).join(held, "up")
     nearest = climbs.groupBy("dir").agg(F.max(F.struct("depth", "_file")).alias("_near")).select("dir", F.col("_near._file").alias("_file"))
     own = found.select(F.col("path").alias("_own"), F.col("license").alias("_license"), F.col("cosine").alias("_cosine"))
-    out = files.select(*kept, directory_of(F.col(path)).alias("_dir"))
-    out = out.join(own, F.col(path) == F.col("_own"), "left").join(nearest, F.col("_dir") == F.col("dir"), "left")
+    # The row travels as one struct, so its column names cannot clash with those of the joins.
+    out = files.select(F.struct(*kept).alias("row"), directory_of(F.col(path)).alias("_dir"))
+    out = out.join(own, F.col(f"row.{path}") == F.col("_own"), "left").join(nearest, F.col("_dir") == F.col("dir"), "left")
     mine, theirs = F.col("_own").isNotNull(), F.col("_file").isNotNull()
     return out.select(
-        *kept,
+        "row.*",
         F.coalesce("_license", "_file.license").alias("license"),
         F.col("_cosine").alias("cosine"),
         F.when(mine, "own").when(theirs, "inherited").alias("how"),

@@ -27,10 +27,10 @@ def line_key(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(_doc, _line, _h1, _h2): a row per line whose key is long enough; the key is a 128-bit hash. Rows without an id have none."""
-    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_doc"), F.posexplode(F.split(text, "\n")).alias("_line", "_text"))
-    keys = lines.select("_doc", "_line", line_key(F.col("_text")).alias("_key")).where(F.char_length("_key") >= min_chars)
-    return keys.select("_doc", "_line", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second"), "_key").alias("_h2"))
+    """(_doc, _body, _line, _h1, _h2): a row per line whose key is long enough; the key is a 128-bit hash, ``_body`` a hash of the text. Rows without an id have none."""
+    lines = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_body"), F.posexplode(F.split(text, "\n")).alias("_line", "_text"))
+    keys = lines.select("_doc", "_body", "_line", line_key(F.col("_text")).alias("_key")).where(F.char_length("_key") >= min_chars)
+    return keys.select("_doc", "_body", "_line", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("second"), "_key").alias("_h2"))
 
 
 class LineRuns:
@@ -56,7 +56,7 @@ class LineRuns:
             self._put(self._write(merged), level + 1)
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Take in a batch of ``line_rows`` and return its lines to drop: (_doc, _line).
+        """Take in a batch of ``line_rows`` and return its lines to drop: (_doc, _body, _line).
 
         Within a batch the smallest document holds the key; documents of later batches must not have smaller ids.
         """
@@ -67,20 +67,21 @@ class LineRuns:
         self._put(self._write(firsts))
         # Each key is in one run, so this is a look-up; the lines of a hot key are split by adaptive execution.
         seen = reduce(DataFrame.union, self.runs())
-        return lines.join(seen, KEY).where(F.col("_first") < F.col("_doc")).select("_doc", "_line")
+        return lines.join(seen, KEY).where(F.col("_first") < F.col("_doc")).select("_doc", "_body", "_line")
 
 
 def drop_lines(docs: DataFrame, drops: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``text`` rewritten, ``n_lines`` (before) and ``n_dropped``. Rows without drops stay as they are."""
-    gone = drops.groupBy("_doc").agg(F.collect_set("_line").alias("_gone"))
+    gone = drops.groupBy("_doc", "_body").agg(F.collect_set("_line").alias("_gone"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*kept, F.split(F.coalesce(text, F.lit("")), "\n").alias("_lines"))
-    rows = rows.join(gone, F.col(doc_id) == F.col("_doc"), "left")
+    # The row travels as one struct, so its column names cannot clash with those of the join.
+    rows = docs.select(F.struct(*kept).alias("row"), F.split(F.coalesce(text, F.lit("")), "\n").alias("_lines"))
+    rows = rows.join(gone, (F.col(f"row.{doc_id}") == F.col("_doc")) & (F.xxhash64(f"row.{text}") == F.col("_body")), "left")
     # Positions that stay, by hashing; then one look-up per line: linear in the text however much is dropped.
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.col("_lines")[i]), "\n")
     return rows.select(
-        *[(F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(c) if c == text else F.col(c)) for c in kept],
+        *[(F.when(F.col("_gone").isNull(), F.col(f"row.{c}")).otherwise(rest).alias(c) if c == text else F.col(f"row.`{c}`")) for c in kept],
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
@@ -104,5 +105,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             part = part.where(F.col(doc_id) > low)
         if high is not None:
             part = part.where(F.col(doc_id) <= high)
-        drops.append(store.add(line_rows(part, doc_id, text, min_chars)))
+        drops.append(store.add(written(line_rows(part, doc_id, text, min_chars), "lines")))
     return drop_lines(docs, reduce(DataFrame.union, drops), doc_id, text)

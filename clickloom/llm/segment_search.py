@@ -22,7 +22,9 @@ EXACT = 2.0**53
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of every component, as doubles (exact integers)."""
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    # From 2^53 on every double is an integer; NaN and infinities stay what they are.
+    return F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < F.lit(EXACT), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
 
 
 def segments(x: np.ndarray, parts: int) -> np.ndarray:

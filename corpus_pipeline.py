@@ -35,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = ngram_join.near_duplicates(docs)
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("body").alias("body"))
     unnamed = groups.where("doc_id IS NULL AND component_id IS NULL").select("doc_id", "body").distinct()
-    stay = written(first.union(unnamed), "stay").select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_body"))
+    stay = written(first.union(unnamed), "stay")
+    same = docs["doc_id"].eqNullSafe(stay["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == stay["body"])
     return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
