@@ -1,8 +1,8 @@
 """License scan: sparse TF-IDF cosine of text lines to notice templates, then inheritance from the nearest directory with a licence file.
 
-Lines are matched as bags of terms. A line that shares only the light terms of a template cannot reach the threshold, so lines
-without one of the others (a list as bounded as the templates) are left out before anything is shuffled. Directories inherit
-by an equi-join of every ancestor path with the licensed directories; the deepest one counts.
+Lines are matched as bags of terms. A line's cosines need nothing but the line and the templates, so they are taken where the text is
+read: only hits leave the task, no text and no term is shuffled. Directories inherit by an equi-join of every ancestor path with the
+licensed directories; the deepest one counts.
 """
 
 from __future__ import annotations
@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.llm.batches import short_batches
 from clickloom.plans.stage import written
 
 # Public licence notices, as they stand in file headers and licence files.
@@ -33,22 +35,17 @@ TEMPLATES = {
 }
 MIN_COSINE = 0.8
 FILE_WORDS = 40
-SPLIT = "[^a-z0-9.]+"
+TERM = re.compile(rb"[a-z0-9.]+")
 
 
-def _terms(line: str) -> list[str]:
-    return [t for t in (x.strip(".") for x in re.split(SPLIT, re.sub("[A-Z]", lambda m: m[0].lower(), line))) if t]
-
-
-def terms_of(line: Column) -> Column:
-    """Lower-case runs of letters, digits and inner points."""
-    lower = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_remove(F.transform(F.split(lower, SPLIT), lambda t: F.btrim(t, F.lit("."))), "")
+def terms_of(line: bytes) -> list[bytes]:
+    """Runs of ASCII letters, lower-cased, digits and inner points of a line in UTF-8."""
+    return [t for t in (x.strip(b".") for x in TERM.findall(line.lower())) if t]
 
 
 def template_weights(templates: Mapping[str, str] = TEMPLATES) -> list[tuple[str, str, str, float, float]]:
     """(template, license, term, weight, idf): unit vectors; a term's idf is ln((1 + templates) / (1 + templates with it)) + 1."""
-    counts = {name: Counter(_terms(text)) for name, text in sorted(templates.items())}
+    counts = {name: Counter(t.decode() for t in terms_of(text.encode())) for name, text in sorted(templates.items())}
     df = Counter(t for c in counts.values() for t in c)
     idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
     out = []
@@ -70,6 +67,37 @@ def telling_terms(weights: list[tuple[str, str, str, float, float]], min_cosine:
     return sorted(out)
 
 
+def matcher(templates: Mapping[str, str], min_cosine: float) -> Callable[[bytes], tuple[str, float] | None]:
+    """A function that gives the best (license, cosine) over the lines of a text, or None."""
+    weights = template_weights(templates)
+    unseen = math.log(1 + len(templates)) + 1
+    idf = {w[2].encode(): w[4] for w in weights}
+    rows: dict[bytes, list[tuple[str, float]]] = {}
+    for name, _, term, weight, _ in weights:
+        rows.setdefault(term.encode(), []).append((name, weight))
+    license_of = {w[0]: w[1] for w in weights}
+    telling = {t.encode() for t in telling_terms(weights, min_cosine)}
+
+    def best(text: bytes) -> tuple[str, float] | None:
+        found = None
+        for line in text.split(b"\n"):
+            bag = Counter(terms_of(line))
+            if telling.isdisjoint(bag):
+                continue
+            norm = math.sqrt(sum((n * idf.get(t, unseen)) ** 2 for t, n in bag.items()))
+            dots: dict[str, float] = {}
+            for term in bag.keys() & rows.keys():
+                for name, weight in rows[term]:
+                    dots[name] = dots.get(name, 0.0) + bag[term] * idf[term] * weight
+            for name, dot in dots.items():
+                hit = (-round(dot / norm, 9), license_of[name])
+                if -hit[0] >= min_cosine and (found is None or hit < found):
+                    found = hit
+        return found and (found[1], -found[0])
+
+    return best
+
+
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: Mapping[str, str] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(path, license, cosine): the best license of each file that has a line with cosine ``min_cosine`` or more to a template.
 
@@ -77,21 +105,18 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: Ma
     ending in ``-short`` are further texts of the same license; ties go to the first license name. Files without a hit, with a
     null text or a null path have no row; rows that share a path are one file.
     """
-    spark = files.sparkSession
-    weights = template_weights(templates)
-    unseen = math.log(1 + len(templates)) + 1
-    # Both lists are as large as the templates: broadcast.
-    known = F.broadcast(spark.createDataFrame([w[:4] for w in weights], "template string, license string, term string, tw double"))
-    idf = F.broadcast(spark.createDataFrame(sorted({(w[2], w[4]) for w in weights}), "term string, idf double"))
-    lines = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.explode(F.split(text, "\n")).alias("line"))
-    bags = lines.withColumn("terms", terms_of(F.col("line")))
-    bags = bags.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in telling_terms(weights, min_cosine)]))).dropDuplicates(["path", "line"])
-    tf = bags.select("path", "line", F.explode("terms").alias("term")).groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norm = w.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = w.join(known, "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    score = dot.join(norm, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine"))
-    best = score.where(F.col("cosine") >= min_cosine).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("below"), "license")).alias("top"))
+    templates = dict(templates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = matcher(templates, min_cosine)
+        for b in batches:
+            hits = [(p.as_py(), *hit) for p, t in zip(b.column(0), b.column(1), strict=True) if (hit := best(t.as_py()))]
+            arrays = [pa.array([h[i] for h in hits], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["path", "license", "cosine"])
+
+    rows = files.where(F.col(path).isNotNull() & F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(text).cast("binary").alias("text"))
+    hits = short_batches(rows).mapInArrow(run, "path string, license string, cosine double")
+    best = hits.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("below"), "license")).alias("top"))
     return best.select("path", F.col("top.license").alias("license"), (-F.col("top.below")).alias("cosine"))
 
 
