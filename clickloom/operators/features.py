@@ -42,6 +42,7 @@ def anova_f(df: DataFrame, x: str, group: str) -> DataFrame:
 def _cells(df: DataFrame, a: str, b: str) -> DataFrame:
     """Contingency cells with both margins and the total on every cell."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.dropna(subset=[a, b])
     both = with_group(with_group(cells, [a], na=F.sum("n")), [b], nb=F.sum("n"))
     return both.withColumn("total", cells.agg(F.sum("n")).scalar())
 
@@ -236,9 +237,11 @@ def category_share(
 ) -> DataFrame:
     """Predicted category of a query: weighted mean of its click shares over two look-back spans."""
     age_days = F.date_diff(F.to_date(as_of), F.to_date(ts))
-    clicks = df.where((age_days >= 0) & (age_days < long))
+    # Bounds of the column's own type reach the scan, which a function of the column would not.
+    day = lambda back: F.date_sub(F.to_date(as_of), back).cast(df.schema[ts].dataType)
+    clicks = df.where((F.col(ts) >= day(long - 1)) & (F.col(ts) < day(-1)))
     counts = clicks.groupBy(query, cat).agg(F.count(F.lit(1)).alias("_l"), F.count_if(age_days < short).alias("_s"))
-    both = with_group(counts, [query], _tl=F.sum("_l"), _ts=F.sum("_s"))
+    both = with_group(counts.dropna(subset=[query]), [query], _tl=F.sum("_l"), _ts=F.sum("_s"))
     share = lambda n, t: F.when(F.col(t) > 0, F.col(n) / F.col(t)).otherwise(0.0)
     return both.select(query, cat, (w[0] * share("_l", "_tl") + w[1] * share("_s", "_ts")).alias("share"))
 

@@ -60,14 +60,14 @@ def api_metrics(df: DataFrame, ts: str, path: str, status: str, ms: str, bucket:
         F.count_if(F.col(status) >= 500).alias("errors"),
     )
     cells = cells.select(F.col("w.start").alias("bucket"), path, "calls", "mean_ms", "max_ms", "errors")
-    out = with_group(cells, ["bucket"], _all=F.sum("calls"))
+    out = with_group(cells.dropna(subset=["bucket"]), ["bucket"], _all=F.sum("calls"))
     return out.withColumn("share", F.col("calls") / F.col("_all")).drop("_all")
 
 
 def status_mix(df: DataFrame, path: str, status: str) -> DataFrame:
     """Share of each response status per API."""
     cells = df.groupBy(path, status).agg(F.count(F.lit(1)).alias("calls"))
-    out = with_group(cells, [path], _all=F.sum("calls"))
+    out = with_group(cells.dropna(subset=[path]), [path], _all=F.sum("calls"))
     return out.withColumn("share", F.col("calls") / F.col("_all")).drop("_all")
 
 

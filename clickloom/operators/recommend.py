@@ -129,7 +129,7 @@ def filter_served(
         recent = top_n(requests, [user], ["-_at", f"-{request}"], last_requests).select(user, request)
         held = served.join(recent, [user, request], "left_semi")
     else:
-        held = served.where(F.col(served_at) + F.expr(f"interval {ttl}") > now)
+        held = served.where(F.col(served_at) > now - F.expr(f"interval {ttl}"))
     return exclude(cands, held, [user, item])
 
 

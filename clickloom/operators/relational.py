@@ -110,10 +110,11 @@ def exclude(df: DataFrame, served: DataFrame, keys: Sequence[str]) -> DataFrame:
 def compute_missing(df: DataFrame, content: str, cache: DataFrame, fn, now: Column, ttl: str = "30 days") -> DataFrame:
     """Result per row by content hash; ``fn`` runs once per distinct content absent from the cache.
 
-    ``cache`` holds (hash, result, stored_at); entries older than ``ttl`` do not count. ``fn`` maps a
-    (hash, content) DataFrame to (hash, result).
+    ``cache`` holds (hash, result, stored_at); entries older than ``ttl`` do not count, and of several for
+    one hash the newest does. ``fn`` maps a (hash, content) DataFrame to (hash, result).
     """
-    live = cache.where(F.col("stored_at") + F.expr(f"interval {ttl}") > now).select("hash", "result")
+    live = cache.where(F.col("stored_at") > now - F.expr(f"interval {ttl}"))
+    live = live.groupBy("hash").agg(F.max_by("result", F.struct("stored_at", "result")).alias("result"))
     hashed = df.withColumn("hash", F.sha2(F.col(content), 256))
     todo = (
         hashed.join(live, "hash", "left_anti").groupBy("hash").agg(F.first(content).alias(content))

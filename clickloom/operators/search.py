@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,8 +151,8 @@ def suggest(index: DataFrame, prefixes: DataFrame, prefix: str) -> DataFrame:
     return asked.where(F.col("prefix") != "").join(index, "prefix").select("typed", "word", "freq", "rn")
 
 
-def intent_stages(text: str, label: str, algo: str = "logistic", vocab: int = 20_000) -> Pipeline:
-    """Character 1- to 3-gram counts into a text classifier (logistic, svm, bayes or gbt)."""
+def intent_stages(text: str, label: str, algo: str = "logistic", width: int = 1 << 16) -> Pipeline:
+    """Character 1- to 3-gram counts, hashed to ``width`` columns, into a text classifier (logistic, svm, bayes or gbt)."""
     base = {
         "logistic": lambda: LogisticRegression(maxIter=30, regParam=0.01),
         "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.01)),
@@ -162,7 +162,7 @@ def intent_stages(text: str, label: str, algo: str = "logistic", vocab: int = 20
     return Pipeline(
         stages=[
             StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocab, minDF=2),
+            HashingTF(inputCol="grams", outputCol="features", numFeatures=width),
             base,
         ]
     )
@@ -203,9 +203,12 @@ def correct_queries(df: DataFrame, query: str, vocab: DataFrame, word: str, freq
 
 
 def fallback_queries(df: DataFrame, query: str, n_results: str, synonyms: DataFrame) -> DataFrame:
-    """Synonym or hypernym to run instead where a query found nothing; (query, term) in ``synonyms``."""
+    """Synonym or hypernym to run instead where a query found nothing; (query, term) in ``synonyms``.
+
+    Of several terms for a query the first in alphabetical order counts; every row stays one row.
+    """
     table = synonyms.select(F.col(synonyms.columns[0]).alias(query), F.col(synonyms.columns[1]).alias("_term"))
-    joined = df.join(table, query, "left")
+    joined = df.join(table.groupBy(query).agg(F.min("_term").alias("_term")), query, "left")
     used = F.when((F.col(n_results) == 0) & F.col("_term").isNotNull(), F.col("_term")).otherwise(F.col(query))
     return joined.withColumn("run_query", used).drop("_term")
 

@@ -26,7 +26,7 @@ def cap_per_user(df: DataFrame, user: str, cap: int, seed: int, id: Sequence[str
 def skip_above(df: DataFrame, request: Sequence[str], pos: str, clicked: str) -> DataFrame:
     """Clicks, and the unclicked items above the last clicked position; the rest is dropped."""
     last = F.max(F.when(F.col(clicked) == 1, F.col(pos)))
-    seen = with_group(df, request, _last=last)
+    seen = with_group(df.dropna(subset=list(request)), request, _last=last)
     return seen.where((F.col(clicked) == 1) | (F.col(pos) < F.col("_last"))).drop("_last")
 
 

@@ -19,6 +19,7 @@ from clickloom.plans.skew import hot_keys, salted_join
 
 QUERY_BLOCK = 1_024
 VECTOR_BLOCK = 8_192
+EXACT_ROWS = 65_536
 
 
 def _nearest(k: int, metric: str, same_table: bool) -> Callable[..., pd.DataFrame]:
@@ -33,8 +34,19 @@ def _nearest(k: int, metric: str, same_table: bool) -> Callable[..., pd.DataFram
         qm = np.stack(q["vec"].to_numpy()).astype("float64")
         vm = np.stack(v["vec"].to_numpy()).astype("float64")
         if metric == "l2":
-            score = (qm**2).sum(1)[:, None] + (vm**2).sum(1)[None, :] - 2 * qm @ vm.T
-            score = np.sqrt(np.maximum(score, 0))
+            q2, v2 = (qm**2).sum(1), (vm**2).sum(1)
+            score = q2[:, None] + v2[None, :] - 2 * qm @ vm.T
+            if same_table:
+                score[q["id"].to_numpy()[:, None] == v["id"].to_numpy()[None, :]] = np.inf
+            # Expanding the square loses digits: all that can be among the k best are taken again, exactly.
+            last = min(k, score.shape[1]) - 1
+            edge = np.partition(score, last, axis=1)[:, last] + 1e-13 * qm.shape[1] * (q2 + v2.max())
+            near = score <= edge[:, None]
+            score[~near] = np.inf
+            rows, cols = np.nonzero(near & np.isfinite(score))
+            for i in range(0, len(rows), EXACT_ROWS):
+                r, c = rows[i : i + EXACT_ROWS], cols[i : i + EXACT_ROWS]
+                score[r, c] = np.sqrt(((qm[r] - vm[c]) ** 2).sum(1))
         else:
             if metric == "cosine":
                 qm /= np.linalg.norm(qm, axis=1, keepdims=True)

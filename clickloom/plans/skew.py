@@ -52,7 +52,7 @@ def salted_join(
 
 
 def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Add group aggregates to every row without gathering a group in one task; null keys are dropped.
+    """Add group aggregates to every row without gathering a group in one task; null is a group of its own.
 
     The aggregates are computed once. Those of hot keys (at most total rows / limit) are broadcast and
     their rows are spread by a salt; all other rows meet their group's aggregates by the key.
@@ -61,16 +61,19 @@ def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     if not keys:
         whole = df.agg(*[a.alias(n) for n, a in aggs.items()])
         return df.withColumns({n: whole.select(n).scalar() for n in aggs})
-    rows = df.dropna(subset=keys)
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[a.alias(n) for n, a in aggs.items()])
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[a.alias(n) for n, a in aggs.items()])
     # Both uses read every column in the same order, which makes them one exchange: the aggregate runs once.
-    hot = stats.where(F.col("_rows") > limit).select(*keys, *[F.col(c).alias(f"_h_{c}") for c in ("_rows", *aggs)])
-    left = rows.join(F.broadcast(hot), keys, "left")
-    spread = 1 + row_salt(rows, F.ceil(F.col("_h__rows") / limit))
+    hot = stats.where(F.col("_rows") > limit).select(
+        *[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_h_{c}") for c in ("_rows", *aggs)]
+    )
+    left = df.join(F.broadcast(hot), [F.col(k).eqNullSafe(F.col(f"_hk{i}")) for i, k in enumerate(keys)], "left")
+    spread = 1 + row_salt(df, F.ceil(F.col("_h__rows") / limit))
     left = left.withColumn("_salt", F.when(F.col("_h__rows").isNull(), 0).otherwise(spread).cast("int"))
     # Always 0, but not a constant: a constant would leave the join, and the shuffle, without the salt.
-    plain = stats.select(*keys, F.least(F.col("_rows"), F.lit(0)).cast("int").alias("_salt"), *aggs)
-    joined = left.join(plain, keys + ["_salt"], "left")
+    zero = F.least(F.col("_rows"), F.lit(0)).cast("int").alias("_zero")
+    plain = stats.select(*[F.col(k).alias(f"_pk{i}") for i, k in enumerate(keys)], zero, *aggs)
+    same = [F.col(k).eqNullSafe(F.col(f"_pk{i}")) for i, k in enumerate(keys)]
+    joined = left.join(plain, [*same, F.col("_salt") == F.col("_zero")], "left")
     return joined.select(*df.columns, *[F.coalesce(f"_h_{n}", n).alias(n) for n in aggs])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.session import fresh_dir
@@ -13,8 +13,9 @@ from clickloom.session import fresh_dir
 
 def export(df: DataFrame, path: str, fmt: str = "parquet") -> int:
     """Write everything; returns the number of rows written."""
-    df.write.mode("overwrite").format(fmt).save(path)
-    return df.sparkSession.read.format(fmt).load(path).count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").format(fmt).save(path)
+    return seen.get["n"]
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -46,13 +47,13 @@ def bulk_load(
     casts: Mapping[str, str] | None = None,
     jdbc: Mapping[str, str] | None = None,
 ) -> None:
-    """Load columns in a fixed order, in batches; into a database when ``jdbc`` options are given."""
+    """Load columns in a fixed order; into a database, in batches, when ``jdbc`` options are given."""
     typed = df.select(*[F.col(c).cast(casts[c]).alias(c) if casts and c in casts else F.col(c) for c in columns])
     mode = "overwrite" if truncate else "append"
     if jdbc is not None:
         typed.write.format("jdbc").options(dbtable=target, batchsize=batch_size, truncate=truncate, **jdbc).mode(mode).save()
     else:
-        typed.write.option("maxRecordsPerFile", batch_size).mode(mode).parquet(target)
+        typed.write.mode(mode).parquet(target)
 
 
 def replace_table(df: DataFrame, target: str, rename: Mapping[str, str]) -> None:

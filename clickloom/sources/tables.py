@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,11 +49,14 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
 
 
 def read_labelled_text(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
-    """One sentence per line; the label of a line is that of its file or folder: (text, label)."""
+    """One sentence per line; the label of a line is that of its file or folder: (text, label).
+
+    Paths match whole segments; of nested folders the innermost gives the label.
+    """
     label: Column | None = None
-    name = F.col("_metadata.file_path")
-    for lab, path in files.items():
-        hit = name.contains("/" + path.rstrip("/").rsplit("/", 1)[-1])
+    name = F.concat("_metadata.file_path", F.lit("/"))
+    for lab, path in sorted(files.items(), key=lambda f: -len(f[1].rstrip("/"))):
+        hit = name.contains("/" + re.sub("^[a-z0-9]+:(//[^/]*)?", "", path).strip("/") + "/")
         label = F.when(hit, lab) if label is None else label.when(hit, lab)
     return spark.read.text(list(files.values())).select(F.trim("value").alias("text"), label.alias("label")).where(F.col("text") != "")
 

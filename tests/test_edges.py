@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.operators import evaluation, features, monitoring, recommend, relational, search, sequences, training
+from clickloom.operators import evaluation, features, monitoring, recommend, relational, search, sequences, training, vectors
 from clickloom.plans.ranks import exact_quantiles, top_n
+from clickloom.plans.skew import with_group
 from clickloom.session import fresh_dir
 from clickloom.sources import keyed, sinks, tables
 from clickloom.streaming import sinks as stream_sinks
@@ -334,3 +335,57 @@ def test_fm_model_agrees_with_its_expression(spark):
     both = model.transform(recommend.fm_apply(df, ["a", "b"], model).withColumn("features", array_to_vector(F.array("a", "b"))))
     gap = both.select(F.max(F.abs(F.col("prob") - vector_to_array("probability")[1]))).first()[0]
     assert gap < 1e-9
+
+
+def test_rows_without_a_group_stay(frame):
+    df = frame([(1, "a", 1.0), (2, None, 3.0), (3, None, 5.0), (4, "a", 2.0)], "id int, g string, v double")
+    parts = training.hash_split(df, ["id"], {"a": 0.5, "b": 0.5}, 1, "g").collect()
+    assert sorted(r.id for r in parts) == [1, 2, 3, 4] and len({r.part for r in parts if r.g is None}) == 2
+    assert {r.id: r.encoded for r in features.target_mean(df, "g", "v").collect()} == {1: 1.5, 2: 4.0, 3: 4.0, 4: 1.5}
+    assert {r.id: r.scaled for r in features.min_max(df, "v", ["g"]).collect()} == {1: 0.0, 2: 0.0, 3: 1.0, 4: 1.0}
+
+
+def test_hot_null_group_is_spread_and_kept(spark, frame):
+    df = frame([(i, None if i % 3 else "a") for i in range(90)], "id int, g string")
+    spark.conf.set("spark.clickloom.hotRows", "7")
+    try:
+        got = {r.id: r.n for r in with_group(df, ["g"], n=F.count(F.lit(1))).collect()}
+    finally:
+        spark.conf.unset("spark.clickloom.hotRows")
+    assert got == {i: 60 if i % 3 else 30 for i in range(90)}
+
+
+def test_one_synonym_per_query(frame):
+    df = frame([("a", 5), ("a", 0), ("b", 0), (None, 0)], "q string, n int")
+    table = frame([("a", "z"), ("a", "y"), ("c", "x")], "q string, term string")
+    got = search.fallback_queries(df, "q", "n", table).collect()
+    assert sorted((r.q or "", r.n, r.run_query or "") for r in got) == [("", 0, ""), ("a", 0, "y"), ("a", 5, "a"), ("b", 0, "b")]
+
+
+def test_labels_follow_whole_path_segments(spark, tmp_path):
+    for name, line in (("ask.txt", "one"), ("ask.txt2", "two"), ("more/ask.txt", "three")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(line)
+    out = tables.read_labelled_text(spark, {"ask": f"{tmp_path}/ask.txt", "other": f"file:{tmp_path}/ask.txt2", "more": f"{tmp_path}/more/"})
+    assert {(r.text, r.label) for r in out.collect()} == {("one", "ask"), ("two", "other"), ("three", "more")}
+
+
+def test_newest_cache_entry_counts_once(frame):
+    rows = frame([("x",)], "c string")
+    key = rows.select(F.sha2("c", 256).alias("hash"))
+    cache = key.crossJoin(frame([("old", minutes(1)), ("new", minutes(2))], "result string, stored_at timestamp"))
+    work = lambda todo: todo.select("hash", F.lit("made").alias("result"))
+    run = lambda now: [r.result for r in relational.compute_missing(rows, "c", cache, work, F.lit(now), "1 hour").collect()]
+    assert run(minutes(3)) == ["new"] and run(minutes(61.5)) == ["new"] and run(minutes(62)) == ["made"]
+
+
+def test_copies_are_at_distance_zero(spark, frame):
+    vecs = [[1000.0 + i * 1e-3, 999.0, 1e-4 * i] for i in range(5)]
+    df = frame([(i, v) for i, v in enumerate(vecs)] + [(9, vecs[3])], "id long, vec array<double>")
+    got = vectors.knn(df.where("id = 3"), df, k=2).collect()
+    assert [(r["id"], r["score"]) for r in sorted(got, key=lambda r: r["id"])] == [(3, 0.0), (9, 0.0)]
+
+
+def test_export_counts_what_it_writes(spark, tmp_path):
+    assert sinks.export(spark.range(7).repartition(3), f"{tmp_path}/out") == 7
+    assert sinks.export(spark.range(0), f"{tmp_path}/none") == 0
