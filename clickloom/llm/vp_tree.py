@@ -2,7 +2,8 @@
 
 Largest inner product becomes smallest distance by one more component, which brings all vectors of a shard to one norm. Inside a
 ball tree the triangle inequality bounds the distance to a subtree from below; a subtree is left out if the bound exceeds
-``factor`` times the k-th distance so far. Factor 1 is exact; smaller factors leave out more.
+``factor`` times the k-th distance so far. Factor 1 is exact on any vectors; smaller ones lose neighbours where norms differ,
+vectors form clusters or lie in few dimensions.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from clickloom.llm.blocks import BLOCK_ROWS, SHARD_ROWS, best, blocks, meet, name_ids, shards, unpack, usable
 
 LEAF = 128
-FACTOR = 0.2
+FACTOR = 1.0
 
 
 class Node(NamedTuple):

@@ -55,6 +55,23 @@ def test_vp_tree_recall_on_the_table(spark):
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
 
 
+def spread(kind):
+    """4,096 vectors of 32 dimensions on which a bound that leaves out too much loses neighbours."""
+    r = np.random.default_rng(3)
+    plain, centres = r.normal(size=(4_096, 32)), r.normal(size=(40, 32)) * r.uniform(0.3, 3, (40, 1))
+    unit = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    return {"gaussian": plain, "clustered": centres[np.arange(4_096) % 40] + 0.3 * plain, "mixed norms": unit * r.uniform(0.1, 5, (4_096, 1)), "low dimension": plain[:, :6] @ r.normal(size=(6, 32))}[kind]
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clustered", "mixed norms", "low dimension"])
+def test_vp_tree_recall_on_uneven_vectors_over_shards(spark, kind):
+    x = spread(kind)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in vp_tree.nearest(d, F.col("vec_id") % 20 == 0, 20, shard_rows=1_024).collect()}
+    want = {(q, int(j)) for q in range(0, len(x), 20) for j in [j for j in np.argsort(-(x @ x[q])) if j != q][:20]}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
 @pytest.mark.parametrize("shard,block", [(8_192, 512), (40, 7)])
 def test_segment_search(spark, shard, block):
     d, rows = vectors(spark)
