@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 import struct
+import textwrap
 
 import numpy as np
 import pytest
@@ -291,6 +292,39 @@ def test_license_scan_and_inheritance(spark):
     assert licenses.scan_tree(d.limit(0)).count() == 0
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+import os
+"""
+
+
+@pytest.mark.parametrize("text,license", [
+    (GPL_HEADER, "GPL-3.0"),
+    ("dnl Licensed under the Apache License,\ndnl Version 2.0.\n", "Apache-2.0"),
+    (licenses.TEMPLATES["MIT"] + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of it", "MIT"),
+    ("Released under the MIT License. Please send bug reports and further wishes to the list of the project.", "MIT"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("we use this file and the software under the rules of the shop, free of charge to any person", None),
+])
+def test_license_of_wrapped_and_long_notices(text, license):
+    hit = licenses.matcher(licenses.TEMPLATES, licenses.MIN_COSINE)(text.encode())
+    assert (hit and hit[0]) == license
+
+
+def test_license_files_of_full_length(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 A. Writer\n\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT-text"], 70))
+    gpl = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\n" + "further terms of the licence\n" * 40
+    code = "\n".join(f"value{i} = call{i}(x{i})" for i in range(60))
+    files = [("m/LICENSE", mit), ("m/x.py", "code"), ("n/17", mit), ("n/x.py", "code"), ("g/3", gpl), ("g/x.py", "code"), ("h/a.py", GPL_HEADER + code), ("h/x.py", "code"), ("c/COPYING.txt", "Notes of the project. " * 30 + "\n" + GPL_HEADER), ("c/x.py", "code")]
+    got = {r["path"]: (r["license"], r["how"]) for r in licenses.scan_tree(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["m/LICENSE"] == got["n/17"] == ("MIT", "own") and got["m/x.py"] == got["n/x.py"] == ("MIT", "inherited")
+    assert got["g/x.py"] == got["c/x.py"] == ("GPL-3.0", "inherited")
+    assert got["h/a.py"] == ("GPL-3.0", "own") and got["h/x.py"] == (None, None)
+
+
 def test_license_prefilter_is_exact():
     weights = licenses.template_weights()
     for c in (0.5, 0.8):
