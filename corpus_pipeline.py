@@ -14,7 +14,7 @@ from clickloom.llm import byte_bpe, language_id, line_dedup, mixing, ngram_join
 from clickloom.llm.queries import POWERS, topic, vocabulary
 from clickloom.plans.stage import written
 
-# Expected tokens of the mix as a part of all tokens, before cells that hold too few are cut to what they have.
+# Expected tokens of the mix as a part of all tokens; a value that holds too few for its target gives all it has.
 BUDGET = 1.0
 
 

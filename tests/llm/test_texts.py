@@ -279,6 +279,26 @@ def test_mixing_meets_marginals(spark):
     assert mixing.mix(d.limit(0), ["source", "lang"], targets, 0.3).count() == 0
 
 
+def test_mixing_sample_meets_marginals_of_uneven_sources(spark):
+    sizes = {("a", "en"): 6_000, ("a", "fr"): 1_500, ("b", "en"): 1_500, ("b", "fr"): 800, (None, "en"): 2_500, (None, "fr"): 200}
+    rows = [(i, s, g, n // 10) for i, ((s, g), n) in enumerate((k, n) for k, n in sizes.items() for _ in range(10))]
+    d = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long")
+    cells = mixing.cell_tokens(d, ["source", "lang"])
+    targets = {x: mixing.flattened(cells, x, 0.5) for x in ("source", "lang")}
+    cut = mixing.mix(d, ["source", "lang"], targets, 0.6, calibrated=False)
+    out = mixing.mix(d, ["source", "lang"], targets, 0.6)
+    p = out.toPandas()
+    assert p.probability.between(0, 1).all() and (p.probability == 1).any()
+    assert abs((p.tokens * p.probability).sum() / (0.6 * p.tokens.sum()) - 1) < 1e-3
+    share = mixing.marginals(out, targets).toPandas()
+    assert len(share) == 5 and np.allclose(share.target, share.expected, atol=1e-3)
+    missed = mixing.marginals(cut, targets).toPandas()
+    assert not np.allclose(missed.target, missed.expected, atol=1e-3)
+    all_of_it = mixing.mix(d, ["source", "lang"], targets, 1.0, rounds=3)
+    left = mixing.marginals(all_of_it, targets).toPandas()
+    assert (left.target - left.expected).abs().max() > 0.01  # a budget that cannot be met is told
+
+
 # --- licenses
 
 
