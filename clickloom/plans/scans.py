@@ -1,24 +1,22 @@
 """Ordered scans per key: running totals, previous / next rows, last known values.
 
-For ordinary keys these are plain window functions. A key with more rows than the session's hot limit
-is cut into consecutive ranges of its sort column; each range is a window partition of its own and a
-short summary per range carries the state into the next one, so the result is the same as that of one
-long window while no task has to sort the whole key.
+A small input (by the size of the files behind it) is scanned with plain window functions. A larger one is dealt by
+``repartitionByRange`` over all keys and sort columns, so a key with many rows spreads over as many partitions as it needs,
+whatever its values look like. Each partition is a window partition of its own, and one short row per partition carries the
+state of its last (or first) key into the next (or previous) one. Spark samples the ranges anew whenever such a plan runs, so
+the dealt rows are written once to the shared folder: rows and carries must see the same ranges. Nothing is collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from clickloom.session import hot_rows
-
-_FANOUT = 64
+from clickloom.plans.stage import written
+from clickloom.session import input_bytes, scan_bytes
 
 
 @dataclass(frozen=True)
@@ -29,6 +27,11 @@ class Carry:
     value: Column
     inclusive: bool = True
 
+    @property
+    def upward(self) -> bool:
+        """Whether the state comes from later rows."""
+        return self.kind in ("next", "next_row")
+
 
 def running_sum(value: Column, inclusive: bool = True) -> Carry:
     return Carry("sum", value, inclusive)
@@ -52,27 +55,6 @@ def following_row(value: Column) -> Carry:
     return Carry("next_row", value, False)
 
 
-def order_code(df: DataFrame, spec: str) -> Column:
-    """A double that never decreases along the sort order; used only to place range bounds."""
-    desc, name = spec.startswith("-"), spec.lstrip("-")
-    dtype, col = df.schema[name].dataType, F.col(name)
-    if isinstance(dtype, T.TimestampType):
-        code = F.unix_micros(col).cast("double")
-    elif isinstance(dtype, T.TimestampNTZType):
-        # From its own fields: a cast would go through the session's zone, where clocks can jump.
-        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.extract(F.lit("SECOND"), col)
-        code = F.unix_date(col.cast("date")).cast("double") * 86400 + clock.cast("double")
-    elif isinstance(dtype, T.DateType):
-        code = F.unix_date(col).cast("double")
-    elif isinstance(dtype, T.StringType):
-        lead = F.rpad(F.substring(F.hex(F.encode(col, "UTF-8")), 1, 12), 12, "0")
-        code = F.conv(lead, 16, 10).cast("double")
-    else:
-        code = col.cast("double")
-    code = F.coalesce(code, F.lit(float("-inf")))
-    return -code if desc else code
-
-
 def sort_columns(order: Sequence[str], reverse: bool = False) -> list[Column]:
     cols = []
     for spec in order:
@@ -82,110 +64,55 @@ def sort_columns(order: Sequence[str], reverse: bool = False) -> list[Column]:
 
 
 class OrderedRows:
-    """Rows grouped by ``keys`` and sorted by ``order`` (``"-name"`` sorts descending).
+    """Rows grouped by ``keys`` and sorted by ``order`` (``"-name"`` sorts descending, nulls first ascending and last descending).
 
-    The order should be total within a key; rows equal on the leading sort column stay in one range.
+    The order should be total within a key. Rows that agree on all of it are told apart by a hash of their values; only rows that
+    agree in everything stay in one partition.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys, self.order = list(keys), list(order)
-        self.df, self.split = self._cut(df)
-
-    def _cut(self, df: DataFrame) -> tuple[DataFrame, bool]:
-        spark, limit = df.sparkSession, hot_rows(df.sparkSession)
-        # At most total/limit keys come back to the driver.
-        large = (
-            df.groupBy(*self.keys)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > limit)
-            .collect()
-        )
-        if not large:
-            return df, False
-        key_type = T.StructType([df.schema[k] for k in self.keys])
-        pieces = {tuple(r[k] for k in self.keys): min(ceil(r["_n"] / limit), _FANOUT**2) for r in large}
-        steps = max(pieces.values())
-        marked = df.withColumn("_code", order_code(df, self.order[0]))
-        if self.keys:
-            hot = spark.createDataFrame(list(pieces), key_type)
-            hot_only = marked.join(F.broadcast(hot), self.keys)
-        else:
-            hot_only = marked
-        fractions = [i / steps for i in range(1, steps)]
-        found = (
-            hot_only.groupBy(*self.keys)
-            .agg(F.percentile_approx("_code", fractions, max(10_000, 4 * steps)).alias("_q"))
-            .collect()
-        )
-        rows = []
-        for r in found:
-            key = tuple(r[k] for k in self.keys)
-            mine = pieces[key]
-            bounds = sorted({r["_q"][min(len(r["_q"]) - 1, i * steps // mine - 1)] for i in range(1, mine)})
-            groups = [bounds[i : i + _FANOUT] for i in range(0, len(bounds), _FANOUT)]
-            rows.append((*key, [g[-1] for g in groups], groups))
-        schema = T.StructType(
-            [
-                *key_type.fields,
-                T.StructField("_tops", T.ArrayType(T.DoubleType())),
-                T.StructField("_bounds", T.ArrayType(T.ArrayType(T.DoubleType()))),
-            ]
-        )
-        bounds_df = F.broadcast(spark.createDataFrame(rows, schema))
-        if self.keys:
-            marked = marked.join(bounds_df, self.keys, "left")
-        else:
-            marked = marked.withColumns(
-                {
-                    "_tops": F.lit([float(x) for x in rows[0][0]]),
-                    "_bounds": F.array(*[F.lit([float(x) for x in g]) for g in rows[0][1]]),
-                }
-            )
-        # Two short steps instead of one long list: the group of bounds, then the place inside it.
-        group = F.size(F.filter("_tops", lambda b: b < F.col("_code")))
-        inner = F.size(F.filter(F.get("_bounds", F.col("_g")), lambda b: b < F.col("_code")))
-        marked = marked.withColumn("_g", group)
-        split = F.when(F.col("_tops").isNull(), F.lit(-1)).otherwise(
-            F.col("_g") * _FANOUT + F.when(F.col("_g") < F.size("_tops"), inner).otherwise(0)
-        )
-        return marked.withColumn("_split", split).drop("_code", "_tops", "_bounds", "_g"), True
+        self.split = input_bytes(df) > scan_bytes(df.sparkSession)
+        self.df = self._dealt(df) if self.split else df
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """The rows with their place over all (``_at``) and their partition (``_part``), in key and sort order."""
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+        marked = df.withColumn("_tie", F.xxhash64(*plain))
+        where = [*sort_columns(self.keys), *sort_columns(self.order), F.col("_tie")]
+        dealt = marked.repartitionByRange(parts, *where).sortWithinPartitions(*where).drop("_tie")
+        placed = dealt.withColumn("_at", F.monotonically_increasing_id())
+        return written(placed.withColumn("_part", F.shiftright("_at", 33).cast("int")), "dealt")
 
     def _window(self, reverse: bool = False) -> WindowSpec:
-        parts = self.keys + (["_split"] if self.split else [])
-        return Window.partitionBy(*parts).orderBy(*sort_columns(self.order, reverse))
+        if self.split:
+            return Window.partitionBy(*self.keys, "_part").orderBy(*sort_columns(["_at"], reverse))
+        return Window.partitionBy(*self.keys).orderBy(*sort_columns(self.order, reverse))
 
-    def _local(self, c: Carry) -> Column:
-        back, ahead = self._window(), self._window(reverse=True)
+    def _local(self, c: Carry, value: Column) -> Column:
         end = 0 if c.inclusive else -1
-        first = Window.unboundedPreceding
+        frame = (Window.unboundedPreceding, end)
         if c.kind == "sum":
-            return F.sum(c.value).over(back.rowsBetween(first, end))
+            return F.sum(value).over(self._window().rowsBetween(*frame))
         if c.kind == "last":
-            return F.last(c.value, ignorenulls=True).over(back.rowsBetween(first, end))
+            return F.last(value, ignorenulls=True).over(self._window().rowsBetween(*frame))
         if c.kind == "next":
-            return F.last(c.value, ignorenulls=True).over(ahead.rowsBetween(first, end))
+            return F.last(value, ignorenulls=True).over(self._window(reverse=True).rowsBetween(*frame))
         if c.kind == "prev_row":
-            return F.lag(F.struct(c.value.alias("v"))).over(back)
-        return F.lead(F.struct(c.value.alias("v"))).over(back)
-
-    def _range_value(self, c: Carry) -> Column:
-        """The value a whole range hands on to its neighbours."""
-        whole = (Window.unboundedPreceding, Window.unboundedFollowing)
-        if c.kind == "last":
-            return F.last(c.value, ignorenulls=True).over(self._window().rowsBetween(*whole))
-        if c.kind == "next":
-            return F.last(c.value, ignorenulls=True).over(self._window(True).rowsBetween(*whole))
-        if c.kind == "prev_row":
-            return F.last(F.struct(c.value.alias("v"))).over(self._window().rowsBetween(*whole))
-        return F.first(F.struct(c.value.alias("v"))).over(self._window().rowsBetween(*whole))
+            return F.lag(F.struct(value.alias("v"))).over(self._window())
+        return F.lead(F.struct(value.alias("v"))).over(self._window())
 
     def add(self, **carries: Carry) -> OrderedRows:
         """Add one column per carry; the new columns can feed the next ``add``."""
         out = object.__new__(OrderedRows)
         out.keys, out.order, out.split = self.keys, self.order, self.split
-        local = self.df.withColumns({n: self._local(c) for n, c in carries.items()})
         if self.split:
-            local = self._carry_over(local, carries)
+            local = self.df.withColumns({f"_v_{n}": c.value for n, c in carries.items()})
+            local = local.withColumns({n: self._local(c, F.col(f"_v_{n}")) for n, c in carries.items()})
+            local = self._carry_over(local, carries).drop(*[f"_v_{n}" for n in carries])
+        else:
+            local = self.df.withColumns({n: self._local(c, c.value) for n, c in carries.items()})
         done = {}
         for n, c in carries.items():
             if c.kind == "sum":
@@ -195,41 +122,39 @@ class OrderedRows:
         out.df = local.withColumns(done) if done else local
         return out
 
+    def _handed_on(self, name: str, c: Carry) -> Column:
+        """What the outermost row of a partition hands on: the state including that row."""
+        value, so_far = F.col(f"_v_{name}"), F.col(name)
+        if c.kind.endswith("_row"):
+            return F.struct(value.alias("v"))
+        if c.kind == "sum":
+            return F.coalesce(so_far, F.lit(0)) + (F.lit(0) if c.inclusive else F.coalesce(value, F.lit(0)))
+        return so_far if c.inclusive else F.coalesce(value, so_far)
+
     def _carry_over(self, local: DataFrame, carries: dict[str, Carry]) -> DataFrame:
-        keys = self.keys + ["_split"]
-        hot = self.df.where(F.col("_split") >= 0)
-        sums = {n: c for n, c in carries.items() if c.kind == "sum"}
-        edges = {n: c for n, c in carries.items() if c.kind != "sum"}
-        if edges:
-            hot = hot.withColumns({f"_e_{n}": self._range_value(c) for n, c in edges.items()})
-        summary = hot.groupBy(*keys).agg(
-            *[F.sum(c.value).alias(f"_e_{n}") for n, c in sums.items()],
-            *[F.first(f"_e_{n}", ignorenulls=True).alias(f"_e_{n}") for n in edges],
-        )
-        # One row per range of a hot key: at most 2 * total / limit rows in all.
-        before = Window.partitionBy(*self.keys).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-        after = (
-            Window.partitionBy(*self.keys)
-            .orderBy(F.col("_split").desc())
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = []
-        for n, c in carries.items():
-            if c.kind == "sum":
-                carried.append(F.sum(f"_e_{n}").over(before).alias(f"_c_{n}"))
-            elif c.kind in ("next", "next_row"):
-                carried.append(F.last(f"_e_{n}", ignorenulls=True).over(after).alias(f"_c_{n}"))
-            else:
-                carried.append(F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}"))
-        carry = summary.select(*keys, *carried)
-        joined = local.join(F.broadcast(carry), keys, "left")
+        out, before = local, (Window.unboundedPreceding, Window.currentRow)
+        for upward in (False, True):
+            mine = {n: c for n, c in carries.items() if c.upward == upward}
+            if not mine:
+                continue
+            # One row per partition: its outermost key and the state there.
+            state = F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], *[self._handed_on(n, c).alias(f"_c_{n}") for n, c in mine.items()])
+            edges = local.groupBy("_part").agg((F.min_by if upward else F.max_by)(state, "_at").alias("_edge")).select("_part", "_edge.*")
+            names = [f"_k{i}" for i in range(len(self.keys))]
+            along = F.col("_part").desc() if upward else F.col("_part").asc()
+            same = Window.partitionBy(*names).orderBy(along).rowsBetween(*before)
+            totals = [(F.sum(f"_c_{n}") if c.kind == "sum" else F.last(f"_c_{n}", ignorenulls=True)).over(same).alias(f"_c_{n}") for n, c in mine.items()]
+            # The neighbour that goes on; a window over as many rows as there are partitions.
+            edges = edges.select(F.lead("_part").over(Window.orderBy(along)).alias("_to"), *names, *totals)
+            on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)] + [F.col("_part") == F.col("_to")]
+            out = out.join(F.broadcast(edges), on, "left").drop("_to", *names)
         merged = {}
         for n, c in carries.items():
             if c.kind == "sum":
                 merged[n] = F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
             else:
                 merged[n] = F.coalesce(F.col(n), F.col(f"_c_{n}"))
-        return joined.withColumns(merged).drop(*[f"_c_{n}" for n in carries])
+        return out.withColumns(merged).drop(*[f"_c_{n}" for n in carries])
 
     def rows(self) -> DataFrame:
-        return self.df.drop("_split") if self.split else self.df
+        return self.df.drop("_at", "_part") if self.split else self.df

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_HOT_ROWS = 5_000_000
 DEFAULT_PAIR_BLOCK = 2_000
+DEFAULT_SCAN_BYTES = 256 << 20
 
 
 def build_session(app_name: str = "clickloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,6 +34,17 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.clickloom.hotRows", str(DEFAULT_HOT_ROWS)))
 
 
+def scan_bytes(spark: SparkSession) -> int:
+    """Bytes of input above which an ordered scan is dealt by ranges instead of by key."""
+    return int(spark.conf.get("spark.clickloom.scanBytes", str(DEFAULT_SCAN_BYTES)))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of all tables behind the rows as Spark's planner knows it; without statistics it counts as huge. No job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def pair_block(spark: SparkSession) -> int:
     """Members of one group that meet in one task when pairs are formed."""
     return int(spark.conf.get("spark.clickloom.pairBlock", str(DEFAULT_PAIR_BLOCK)))

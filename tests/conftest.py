@@ -17,6 +17,7 @@ def spark():
         "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            "spark.sql.defaultSizeInBytes": "1000000",  # frames made of tuples count as small
             "spark.driver.memory": "6g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
@@ -29,10 +30,12 @@ def spark():
 
 @pytest.fixture
 def tiny_limits(spark):
-    """Treat every key of a few rows as hot, so the split paths run on small data."""
+    """Treat every key of a few rows as hot and every input as large, so the split paths run on small data."""
+    spark.conf.set("spark.clickloom.scanBytes", "0")
     spark.conf.set("spark.clickloom.hotRows", "7")
     spark.conf.set("spark.clickloom.pairBlock", "3")
     yield spark
+    spark.conf.unset("spark.clickloom.scanBytes")
     spark.conf.unset("spark.clickloom.hotRows")
     spark.conf.unset("spark.clickloom.pairBlock")
 
