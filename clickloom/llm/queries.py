@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import byte_bpe, language_id, licenses, line_dedup, mixing, ngram_join, segment_search, suffix_dedup, vp_tree, warc
+from clickloom.llm import byte_bpe, hash_ring, language_id, licenses, line_dedup, mixing, ngram_join, segment_search, suffix_dedup, vp_tree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,51 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.g = b
 reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON r.other = l.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(r.m, s.doc_id)) AS component_id
 FROM s LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r USING (doc_id)"""
+
+
+SHARDS = 40
+
+
+@query
+def op11_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
+    placed = hash_ring.place(table(spark, folder, "documents").select("doc_id", "text"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _ring_sql() -> str:
+    cells, low = 1 << hash_ring.CELL_BITS, hash_ring.POINT_BITS - hash_ring.CELL_BITS
+    point = lambda text: f"CAST('0x' || substr(md5({text}), 1, {hash_ring.POINT_BITS // 4}) AS BIGINT)"
+    crc_step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    crc_table = "SELECT range AS b0, range AS c0 FROM range(256)"
+    for i in range(8):
+        crc_table = f"SELECT b0, {crc_step.format('c0')} AS c0 FROM ({crc_table}) AS r{i}"
+    return f"""
+WITH crc_table AS (SELECT list(c0 ORDER BY b0) AS t FROM ({crc_table})),
+texts AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
+bytes AS (SELECT text, list_transform(range(octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS b FROM texts),
+sums AS (SELECT text, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS crc FROM bytes, crc_table),
+doc AS (SELECT doc_id, CAST(octet_length(encode(coalesce(d.text, ''))) + 16 AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32 FROM documents AS d JOIN sums ON sums.text = coalesce(d.text, '')),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1 AS nth FROM doc),
+keyed AS (SELECT *, {point(f"'key:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32 || ':' || (nth // {hash_ring.COPIES})")} AS point FROM numbered),
+spots AS (SELECT {point(f"'node:' || (range % {SHARDS}) || ':' || (range // {SHARDS})")} >> {low} AS spot, min(range % {SHARDS}) AS shard FROM range({SHARDS * hash_ring.NODES}) GROUP BY ALL),
+nodes AS (SELECT spot, shard, row_number() OVER (ORDER BY spot) - 1 AS node FROM spots),
+homed AS (SELECT keyed.*, coalesce(n.node, 0) AS node, coalesce(n.shard, (SELECT shard FROM nodes WHERE node = 0)) AS home,
+    (((point >> {low}) - (SELECT max(spot) FROM nodes) - 1) % {cells} + {cells}) % {cells} AS turned
+    FROM keyed ASOF LEFT JOIN nodes AS n ON (point >> {low}) <= n.spot),
+own AS (SELECT range AS shard, coalesce(c, 0) AS own, sum(coalesce(c, 0)) OVER () AS total FROM range({SHARDS}) LEFT JOIN (SELECT home, count(*) AS c FROM homed GROUP BY home) ON home = range),
+bounds AS (SELECT shard, own, total // {SHARDS} + CAST(row_number() OVER (ORDER BY own DESC, shard) <= total % {SHARDS} AS INTEGER) AS bound FROM own),
+ranked AS (SELECT h.*, bound, row_number() OVER (PARTITION BY home ORDER BY point & {(1 << low) - 1}, doc_id NULLS FIRST, size, text_crc32, nth) - 1 AS slot FROM homed AS h JOIN bounds ON shard = home),
+walkers AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY turned, point, doc_id NULLS FIRST, size, text_crc32, slot) - 1 AS nth_here FROM ranked WHERE slot >= bound),
+room AS (SELECT node, shard, least(own, bound) AS own, greatest(bound - own, 0) AS room, row_number() OVER (PARTITION BY shard ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY shard) AS n FROM nodes JOIN bounds USING (shard)),
+flow AS (SELECT node, shard, own, room // n + CAST(i < room % n AS INTEGER) AS free, coalesce(walk, 0) AS walk FROM room LEFT JOIN (SELECT node, count(*) AS walk FROM walkers GROUP BY node) USING (node)),
+levels AS (SELECT *, sum(walk - free) OVER (ORDER BY node) AS level, count(*) OVER () AS n FROM flow),
+turned AS (SELECT *, (node - (SELECT arg_min(node, struct_pack(a := level, b := -node)) FROM levels) - 1 + n) % n AS turn FROM levels),
+places AS (SELECT node, shard, free, coalesce(sum(walk) OVER w, 0) AS first_walk, coalesce(sum(free) OVER w, 0) AS first_free, own + coalesce(sum(free) OVER s, 0) AS first_slot FROM turned
+    WINDOW w AS (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY shard ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+moved AS (SELECT w.doc_id, w.size, w.text_crc32, t.shard, t.first_slot + p.first_walk + w.nth_here - t.first_free AS slot FROM walkers AS w JOIN places AS p ON p.node = w.node
+    JOIN places AS t ON p.first_walk + w.nth_here >= t.first_free AND p.first_walk + w.nth_here < t.first_free + t.free)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(slot AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM (
+    SELECT doc_id, size, text_crc32, home AS shard, slot FROM ranked WHERE slot < bound UNION ALL SELECT * FROM moved)"""
+
+
+ORACLES["op11_hash_ring"] = _ring_sql()
