@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import byte_bpe, hash_ring, language_id, licenses, line_dedup, mixing, ngram_join, segment_search, suffix_dedup, vp_tree, warc
+from clickloom.llm import byte_bpe, hard_negatives, hash_ring, language_id, licenses, line_dedup, mixing, ngram_join, segment_search, suffix_dedup, treap_search, vp_tree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -258,3 +258,44 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
 
 
 ORACLES["op11_hash_ring"] = _ring_sql()
+
+
+def noisy_labels(vectors: DataFrame) -> DataFrame:
+    """Integer vectors, and the next label where the id is divisible by 7."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vectors.select("vec_id", moved.alias("label"), segment_search.integers(F.col("embedding")).alias("embedding"))
+
+
+@query
+def op12_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = noisy_labels(table(spark, folder, "embeddings"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+ORACLES["op12_cover_tree"] = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(coalesce(list_inner_product(a.e, c.e), 0) AS BIGINT) AS score
+    FROM v AS a JOIN v AS c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.e) = len(a.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+
+@query
+def op13_k2_treap(spark: SparkSession, folder: str) -> DataFrame:
+    return treap_search.rank(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"), 20)
+
+
+_TERMS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{treap_search.TERM}')"
+ORACLES["op13_k2_treap"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+total AS (SELECT count(*) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, CAST(floor(1000 * ln((2.0 * any_value(nn) + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY t),
+items AS (SELECT item_id, text, t, count(*) AS times FROM (SELECT item_id, text, unnest({_TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+s AS (SELECT item_id, text, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+    FROM items JOIN df USING (t) JOIN tf USING (t), total GROUP BY item_id, text, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20"""
