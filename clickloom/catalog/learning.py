@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clickloom.catalog.registry import EV, IMP, WEIGHTS, WSQL, Tables, query, r6, uniform_sql
 from clickloom.functions.numeric import sigmoid
-from clickloom.operators import evaluation, features, training
+from clickloom.operators import evaluation, features, training, trees
 
 LABELLED = "(SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_linestatus, l_returnflag, CAST(l_returnflag = 'R' AS INTEGER) AS label, p_type, p_brand, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
@@ -93,6 +93,15 @@ def fe7(t: Tables) -> DataFrame:
     return features.one_hot(t.events.select("event_id", "event_type"), "event_type", ["click", "view"]).drop("event_type")
 
 
+@query(
+    "fe7_one_hot_levels",
+    "SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS o_orderstatus_F, CAST(o_orderstatus = 'O' AS INTEGER) AS o_orderstatus_O, CAST(o_orderstatus = 'P' AS INTEGER) AS o_orderstatus_P FROM orders",
+)
+def fe7_levels(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    return features.one_hot(rows, "o_orderstatus", features.levels_of(rows, "o_orderstatus")).drop("o_orderstatus")
+
+
 @query("fe8_cross", "SELECT p_partkey, p_brand || '_' || p_type AS bt FROM part")
 def fe8(t: Tables) -> DataFrame:
     return features.cross(t.part, "p_brand", "p_type", "bt").select("p_partkey", "bt")
@@ -249,6 +258,47 @@ def tr7_fit(t: Tables) -> DataFrame:
     return scaled.select("request", "pos", r6(score).alias("score"))
 
 
+BOOSTED = ["l_quantity", "l_extendedprice"]
+
+
+def _boost_sql(depth: int = 3, eta: float = 0.1, bins: int = 32, reg: float = 1.0, least: float = 1.0) -> str:
+    """The first tree, level by level: gradients of equal scores, histograms, best splits."""
+    cuts = ", ".join(f"cut{i} AS (SELECT list(DISTINCT c ORDER BY c) AS c{i} FROM (SELECT round(unnest(quantile_cont(CAST({f} AS DOUBLE), [{', '.join(f'{b}.0 / {bins}' for b in range(1, bins))}])), 6) AS c FROM imp))" for i, f in enumerate(BOOSTED))
+    bin_of = ", ".join(f"len(list_filter(c{i}, lambda c: c < {f})) AS b{i}" for i, f in enumerate(BOOSTED))
+    steps, last = [], "n0"
+    for d in range(depth):
+        steps.append(
+            f"h{d} AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h FROM (SELECT node, g, h, unnest([0, 1]) AS f, unnest([b0, b1]) AS bin FROM {last}) GROUP BY ALL), "
+            f"w{d} AS (SELECT node, f, bin, sum(g) OVER a AS gl, sum(h) OVER a AS hl, sum(g) OVER p AS ga, sum(h) OVER p AS ha FROM h{d} WINDOW a AS (PARTITION BY node, f ORDER BY bin), p AS (PARTITION BY node, f)), "
+            f"s{d} AS (SELECT node, f, bin, round((gl * gl / (hl + {reg}) + (ga - gl) * (ga - gl) / (ha - hl + {reg}) - ga * ga / (ha + {reg})) / 2, 9) AS gain FROM w{d}, cut0, cut1 "
+            f"WHERE bin < CASE WHEN f = 0 THEN len(c0) ELSE len(c1) END AND hl >= {least} AND ha - hl >= {least} AND gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1), "
+            f"n{d + 1} AS (SELECT n.* REPLACE (CASE WHEN s.node IS NULL THEN n.node ELSE 2 * n.node + CAST(CASE WHEN s.f = 0 THEN b0 ELSE b1 END > s.bin AS INTEGER) END AS node) FROM {last} AS n LEFT JOIN s{d} AS s USING (node))"
+        )
+        last = f"n{d + 1}"
+    inner = " UNION ALL ".join(f"SELECT s.node, f, bin, cover FROM s{d} AS s JOIN (SELECT node, sum(h) AS cover FROM n{d} GROUP BY node) USING (node)" for d in range(depth))
+    names = " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(BOOSTED))
+    return (
+        f"WITH imp AS (SELECT * FROM {IMP}), {cuts}, "
+        "slopes AS (SELECT a.request, a.pos, sum(CASE WHEN a.clicked > b.clicked THEN -0.5 ELSE 0.5 END) AS g, 0.25 * count(*) AS h FROM imp AS a JOIN imp AS b ON a.request = b.request AND a.clicked <> b.clicked GROUP BY ALL), "
+        f"n0 AS (SELECT 1 AS node, CAST(coalesce(g, 0) AS DOUBLE) AS g, CAST(coalesce(h, 0) AS DOUBLE) AS h, {bin_of} FROM imp LEFT JOIN slopes USING (request, pos), cut0, cut1), "
+        f"{', '.join(steps)} "
+        f"SELECT node, CASE f {names} END AS feature, round(CASE WHEN f = 0 THEN c0[bin + 1] ELSE c1[bin + 1] END, 6) AS threshold, NULL::DOUBLE AS value, round(cover, 6) AS cover FROM ({inner}), cut0, cut1 "
+        f"UNION ALL SELECT node, NULL, NULL, round(-{eta} * sum(g) / (sum(h) + {reg}), 6), round(sum(h), 6) FROM {last} GROUP BY node"
+    )
+
+
+@query("tr7_boosted_first_tree", _boost_sql())
+def tr7_first_tree(t: Tables) -> DataFrame:
+    model = trees.boost_pairwise(t.imp, "request", "pos", "clicked", BOOSTED, rounds=1)
+    return model.select(F.col("node"), "feature", r6("threshold").alias("threshold"), r6("value").alias("value"), r6("cover").alias("cover"))
+
+
+@query("tr7_boosted_scores")
+def tr7_boosted(t: Tables) -> DataFrame:
+    model = trees.boost_pairwise(t.imp, "request", "pos", "clicked", BOOSTED)
+    return t.imp.select("request", "pos", r6(trees.tree_score(model)).alias("score"))
+
+
 @query("tr8_label_weight", f"SELECT event_id, {WSQL} AS weight FROM events")
 def tr8(t: Tables) -> DataFrame:
     return training.label_weight(t.events.select("event_id", "event_type"), "event_type", WEIGHTS).drop("event_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clickloom.catalog.registry import EV, WEIGHTS, WSQL, Tables, query, r6, uniform_sql
 from clickloom.functions.numeric import sigmoid
-from clickloom.operators import recommend, relational, sequences, vectors
+from clickloom.operators import recommend, relational, sequences, trees, vectors
 from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import mirror, with_group
 from clickloom.session import fresh_dir
@@ -242,6 +242,51 @@ def re7(t: Tables) -> DataFrame:
     return vectors.knn(_vec(t), _vec(t), 10, "dot").withColumn("score", r6("score", 5))
 
 
+# Every 40th vector is a coarse centre, and ten lists are probed.
+CENTRE_EVERY, PROBES = 40, 10
+UNIT = f"(SELECT id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM {VEC} WHERE list_inner_product(v, v) > 0)"
+
+
+def _ivf_sql(score: str, direction: str, k: int, vec: str = VEC, other: str = "") -> str:
+    return (
+        f"WITH v AS {vec}, c AS (SELECT id AS centre, v FROM v WHERE id % {CENTRE_EVERY} = 0), "
+        "lists AS (SELECT e.id, e.v, centre FROM v AS e, c QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY round(list_distance(e.v, c.v), 9), centre) = 1), "
+        f"probes AS (SELECT q.id, q.v, centre FROM v AS q, c AS e QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round({score}, 9) {direction}, centre) <= {PROBES}), "
+        f"s AS (SELECT q.id AS query_id, e.id, round({score}, 9) AS s FROM probes AS q JOIN lists AS e USING (centre){other}) "
+        f"SELECT query_id, id, round(s, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s {direction}, id) AS rn FROM s QUALIFY rn <= {k}"
+    )
+
+
+def _ivf(t: Tables, vec: DataFrame, k: int, metric: str, same_table: bool = False) -> DataFrame:
+    centres = vec.where(F.col("id") % CENTRE_EVERY == 0).select(F.col("id").alias("centre"), "vec")
+    return vectors.ivf_search(vec, vectors.inverted_lists(vec, centres), centres, k, PROBES, metric, same_table)
+
+
+@query("re4_ivf_similar_items", _ivf_sql("list_cosine_similarity(q.v, e.v)", "DESC", 10, UNIT, " WHERE q.id <> e.id"))
+def re4_ivf(t: Tables) -> DataFrame:
+    return _ivf(t, vectors.unit_length(_vec(t)), 10, "cosine", same_table=True).withColumn("score", r6("score", 5))
+
+
+@query("re6_ivf_l2", _ivf_sql("list_distance(q.v, e.v)", "", 5))
+def re6_ivf(t: Tables) -> DataFrame:
+    return _ivf(t, _vec(t), 5, "l2").withColumn("score", r6("score", 5))
+
+
+@query(
+    "re6_ivf_recall",
+    f"SELECT e.query_id, round(avg(CAST(a.id IS NOT NULL AS INTEGER)), 6) AS recall FROM ({_knn_sql('list_distance(q.v, e.v)', '', 5)}) AS e "
+    f"LEFT JOIN ({_ivf_sql('list_distance(q.v, e.v)', '', 5)}) AS a USING (query_id, id) GROUP BY 1",
+)
+def re6_ivf_recall(t: Tables) -> DataFrame:
+    found = vectors.recall_against(_ivf(t, _vec(t), 5, "l2"), vectors.knn(_vec(t), _vec(t), 5))
+    return found.withColumn("recall", r6("recall"))
+
+
+@query("re7_ivf_inner_product", _ivf_sql("list_inner_product(q.v, e.v)", "DESC", 10))
+def re7_ivf(t: Tables) -> DataFrame:
+    return _ivf(t, _vec(t), 10, "dot").withColumn("score", r6("score", 5))
+
+
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -335,7 +380,26 @@ def _posterior(t: Tables) -> DataFrame:
     return recommend.beta_posterior(rows, ["user_id", "k"], "hit")
 
 
-@query("sl5_thompson_rank")
+def _gamma_sql(shape: str, seed: str) -> str:
+    """The same draw in SQL: the first accepted attempt."""
+    u = lambda use: f"((CAST('0x' || substr(md5('{seed}:' || user_id || ':' || k || ':' || i || '{use}'), 1, 13) AS UBIGINT) + 0.5) / 4503599627370496.0)"
+    d = f"({shape} - 1.0 / 3)"
+    return (
+        f"list_filter(list_transform(list_transform(list_transform(range({recommend.ATTEMPTS}), lambda i: struct_pack(x := sqrt(-2 * ln({u('a')})) * cos(2 * pi() * {u('b')}), u := {u('c')})), "
+        f"lambda s: struct_pack(x := s.x, u := s.u, t := 1 + s.x / sqrt(9 * {d}))), lambda s: CASE WHEN s.t > 0 AND ln(s.u) < s.x * s.x / 2 + {d} - {d} * s.t * s.t * s.t + 3 * {d} * ln(abs(s.t)) "
+        f"THEN {d} * s.t * s.t * s.t END), lambda v: v IS NOT NULL)[1]"
+    )
+
+
+_HITS = "sum(CAST(event_type IN ('click', 'purchase') AS INTEGER))"
+
+
+@query(
+    "sl5_thompson_rank",
+    f"WITH p AS (SELECT user_id, k, CAST({_HITS} + 1 AS DOUBLE) AS a, CAST(count(*) - {_HITS} + 1 AS DOUBLE) AS b FROM {EV} e GROUP BY 1, 2), "
+    f"d AS (SELECT user_id, k, {_gamma_sql('a', '7x')} AS x, {_gamma_sql('b', '7y')} AS y FROM p) "
+    "SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY round(x / (x + y), 12) DESC, k) AS rn FROM d QUALIFY rn <= 10",
+)
 def sl5(t: Tables) -> DataFrame:
     return recommend.thompson_rank(_posterior(t), "user_id", "k").select("user_id", "k", "rn")
 
@@ -460,6 +524,33 @@ def re21(t: Tables) -> DataFrame:
     return out.select(F.col("c_custkey").alias("id"), "feature", r6("contribution", 4).alias("contribution"))
 
 
+# Two small trees: (tree, node, feature, threshold, value, cover).
+TREES = [
+    (0, 1, "c_acctbal", 4000.0, None, 100.0), (0, 2, "c_nationkey", 10.0, None, 45.0), (0, 3, "c_acctbal", 7000.0, None, 55.0), (0, 4, None, None, 1.5, 20.0),
+    (0, 5, None, None, -0.5, 25.0), (0, 6, None, None, 0.25, 30.0), (0, 7, None, None, 2.0, 25.0),
+    (1, 1, "c_nationkey", 17.0, None, 80.0), (1, 2, None, None, -1.0, 60.0), (1, 3, "c_acctbal", 0.0, None, 20.0), (1, 6, None, None, 0.75, 5.0), (1, 7, None, None, -0.25, 15.0),
+]
+# The same as leaves with conditions, and the Shapley sum over subsets.
+_TREE_SQL = """
+WITH leaf(leaf, value, m) AS (VALUES (4, 1.5, 2), (5, -0.5, 2), (6, 0.25, 1), (7, 2.0, 1), (12, -1.0, 1), (16, 0.75, 2), (17, -0.25, 2)),
+cond(leaf, j, feature, lo, hi, share) AS (VALUES (4, 0, 'c_acctbal', NULL, 4000.0, 0.45), (4, 1, 'c_nationkey', NULL, 10.0, 20.0 / 45), (5, 0, 'c_acctbal', NULL, 4000.0, 0.45),
+    (5, 1, 'c_nationkey', 10.0, NULL, 25.0 / 45), (6, 0, 'c_acctbal', 4000.0, 7000.0, 0.3), (7, 0, 'c_acctbal', 7000.0, NULL, 0.25), (12, 0, 'c_nationkey', NULL, 17.0, 0.75),
+    (16, 0, 'c_nationkey', 17.0, NULL, 0.25), (16, 1, 'c_acctbal', NULL, 0.0, 0.25), (17, 0, 'c_nationkey', 17.0, NULL, 0.25), (17, 1, 'c_acctbal', 0.0, NULL, 0.75)),
+x AS (SELECT c_custkey AS id, 'c_acctbal' AS feature, CAST(c_acctbal AS DOUBLE) AS x FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer),
+f AS (SELECT id, leaf, j, feature, CAST(share AS DOUBLE) AS share, CASE WHEN (lo IS NULL OR x > lo) AND (hi IS NULL OR x <= hi) THEN 1.0 ELSE 0.0 END AS one FROM cond JOIN x USING (feature)),
+v AS (SELECT id, leaf, mask, product(CASE WHEN (mask >> j) & 1 = 1 THEN one ELSE share END) AS p FROM (SELECT leaf, unnest(range(1 << m)) AS mask FROM leaf) JOIN f USING (leaf) GROUP BY ALL),
+c AS (SELECT f.id, f.feature, CAST(value AS DOUBLE) * factorial(CAST(bit_count(a.mask) AS INTEGER)) * factorial(CAST(m - bit_count(a.mask) - 1 AS INTEGER)) / factorial(m) * (b.p - a.p) AS part
+    FROM f JOIN leaf USING (leaf) JOIN v AS a ON a.id = f.id AND a.leaf = f.leaf AND (a.mask >> j) & 1 = 0 JOIN v AS b ON b.id = f.id AND b.leaf = f.leaf AND b.mask = a.mask + (1 << j))
+SELECT x.id, x.feature, round(sum(coalesce(part, 0)), 6) AS contribution FROM x LEFT JOIN c USING (id, feature) GROUP BY ALL"""
+
+
+@query("re21_tree_contributions", _TREE_SQL)
+def re21_trees(t: Tables) -> DataFrame:
+    model = t.spark.createDataFrame(TREES, trees.MODEL)
+    out = trees.tree_contributions(t.customer, "c_custkey", model, ["c_acctbal", "c_nationkey"])
+    return out.withColumn("contribution", r6("contribution"))
+
+
 # ---- windows over event time ------------------------------------------------------------------------
 
 
@@ -500,13 +591,19 @@ def st1_stream(t: Tables) -> DataFrame:
     return _no_zone(t.spark.read.parquet(sinks.run_to_table(scored, "append", "sliding")))
 
 
+# One row per window stands for all its ranked rows, of which there are millions: their number, scores and a sum over all columns.
 @query(
     "st2_window_top_n",
-    f"SELECT window_end, user_id, k, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY window_end, user_id ORDER BY score DESC, k) AS rn FROM ({_windows_sql('1 DAY', '30 MINUTE')})) WHERE rn <= 3",
+    "SELECT window_end, count(*) AS cells, CAST(sum(score) AS BIGINT) AS score, CAST(sum(score * (k + 1) * (user_id + 1) * rn) AS BIGINT) AS checksum FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY window_end, user_id ORDER BY score DESC, k) AS rn FROM ({_windows_sql('1 DAY', '5 MINUTE')})) WHERE rn <= 3 GROUP BY 1",
 )
 def st2(t: Tables) -> DataFrame:
-    cells = windows.sliding_score(t.ev, "ts", ["user_id", "k"], "event_type", WEIGHTS, slide="30 minutes")
-    return windows.window_top_n(cells, ["user_id"], "k", "score")
+    cells = windows.sliding_score(t.ev, "ts", ["user_id", "k"], "event_type", WEIGHTS)
+    best = windows.window_top_n(cells, ["user_id"], "k", "score")
+    return best.groupBy("window_end").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum("score").alias("score"),
+        F.sum(F.col("score") * (F.col("k") + 1) * (F.col("user_id") + 1) * F.col("rn")).alias("checksum"),
+    )
 
 
 @query(

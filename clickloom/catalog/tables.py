@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from clickloom.catalog.registry import EV, IMP, WEIGHTS, WSQL, Tables, query, r6
 from clickloom.functions import numeric, text
-from clickloom.operators import features, monitoring, relational, search
+from clickloom.operators import features, monitoring, relational, search, summaries
 from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import with_group, within_group_pairs
 from clickloom.session import fresh_dir
@@ -39,6 +39,15 @@ def io2(t: Tables) -> DataFrame:
     return tables.read_csv(t.spark, path, schema)
 
 
+@query("io2_read_csv_inferred", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def io2_inferred(t: Tables) -> DataFrame:
+    path = fresh_dir(t.spark, "csv-inferred")
+    t.orders.drop("o_orderdate").write.option("header", True).csv(path)
+    raw = tables.read_csv(t.spark, path)
+    assert dict(raw.dtypes)["o_totalprice"] == "double" and dict(raw.dtypes)["o_orderkey"] in ("int", "bigint"), raw.dtypes
+    return raw.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")})
+
+
 @query(
     "io3_read_delimited",
     "SELECT user_id, k AS item, value AS rating, CAST(0 AS BIGINT) AS malformed FROM " + EV + " e WHERE event_type <> 'error' "
@@ -435,6 +444,30 @@ def ag4(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users")).withColumn("all_users", overall)
 
 
+@query(
+    "ag4_daily_sketches",
+    "SELECT event_type, count(*) AS rows, min(value) AS lowest, max(value) AS highest, true AS members_close, true AS median_close, true AS p90_close "
+    "FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-21' GROUP BY 1",
+)
+def ag4_sketches(t: Tables) -> DataFrame:
+    path = fresh_dir(t.spark, "daily")
+    summaries.store_days(summaries.summarize_days(t.events, "ts", ["event_type"], "user_id", "value"), path)
+    est = summaries.over_days(t.spark, path, ["event_type"], "2024-01-03", "2024-01-20", {"median": 0.5, "p90": 0.9})
+    # How far the estimates are from the rows they stand for: three standard errors at most.
+    rows = t.events.where((F.col("ts") >= F.lit("2024-01-03").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz")))
+    both = rows.select("event_type", "user_id", "value").join(est, "event_type")
+    below = lambda q: F.avg((F.col("value") <= F.col(q)).cast("double"))
+    exact = both.groupBy("event_type").agg(F.countDistinct("user_id").alias("n"), below("median").alias("m"), below("p90").alias("p"), F.first("members").alias("members"))
+    slack = 1.0 / F.col("rows")
+    exact = exact.join(est.select("event_type", "rows", "lowest", "highest"), "event_type")
+    return exact.select(
+        "event_type", "rows", "lowest", "highest",
+        (F.abs(F.col("members") - F.col("n")) <= 3 * summaries.DISTINCT_ERROR * F.col("n") + 1).alias("members_close"),
+        (F.abs(F.col("m") - 0.5) <= 3 * summaries.RANK_ERROR + slack).alias("median_close"),
+        (F.abs(F.col("p") - 0.9) <= 3 * summaries.RANK_ERROR + slack).alias("p90_close"),
+    )
+
+
 @query(
     "ag5_collect_sorted",
     "SELECT user_id, CAST(floor((rn - 1) / 50) AS BIGINT) AS part, string_agg(k, ',' ORDER BY k) AS items FROM (SELECT user_id, k, row_number() OVER "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.catalog.registry import EV, Tables, query, r6
-from clickloom.operators import attribution, entities, monitoring, records, search
+from clickloom.operators import attribution, calibration, entities, monitoring, records, search
 from clickloom.sources import keyed
 
 TFIDF = (
@@ -88,6 +88,32 @@ def tx7(t: Tables) -> DataFrame:
     return scored.groupBy("role", "prediction").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+# Calibration of a plain score, the length of a text, against the quality label; SQL pools by the largest of the smallest means.
+_CODE = "least(999, CAST(floor(1000.0 / (1 + exp(-((n_chars - 1500) / 1000.0)))) AS INTEGER))"
+_BINS = f"(SELECT {_CODE} AS code, count(*) AS n, CAST(sum(quality) AS BIGINT) AS positives FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1)"
+
+
+def _quality(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", ((F.col("n_chars") - 1500) / 1000).alias("score")).join(t.labels, "doc_id")
+
+
+@query(
+    "tx7_calibration",
+    f"WITH b AS (SELECT *, sum(n) OVER (ORDER BY code) AS cn, sum(positives) OVER (ORDER BY code) AS cp FROM {_BINS}), "
+    "m AS (SELECT j.code AS j, k.code AS k, (k.cp - j.cp + j.positives) / (k.cn - j.cn + j.n) AS mean FROM b AS j JOIN b AS k ON j.code <= k.code), "
+    "low AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM m) "
+    "SELECT b.code, b.n, b.positives, round(max(low), 9) AS rate FROM b JOIN low ON low.k = b.code GROUP BY ALL",
+)
+def tx7_calibration(t: Tables) -> DataFrame:
+    return calibration.calibration_table(_quality(t), "score", "quality").withColumn("rate", r6("rate", 9))
+
+
+@query("tx7_calibrated_report")
+def tx7_report(t: Tables) -> DataFrame:
+    rows = t.spread(t.conversations.select("conv_id", "turn", "text", "role"), "conv_id", "turn")
+    return calibration.calibrated_intents(rows, ["conv_id", "turn"], "text", "role")[1]
+
+
 # A gazetteer taken from the benchmark texts: their opening word pairs and every longer word.
 GAZ = (
     "(SELECT DISTINCT 'phrase' AS type, list_extract(w, 1) || ' ' || list_extract(w, 2) AS surface FROM (SELECT regexp_split_to_array(text, '[ \\n]+') AS w FROM benchmark) "
@@ -222,11 +248,13 @@ def service_lines(t: Tables) -> DataFrame:
 
 @query(
     "mo1_parse_service_log",
-    f"SELECT event_id, '10.0.' || (user_id % 250) || '.7' AS client_ip, date_trunc('second', ts) AS ts, '/api/' || event_type AS path, 200 AS status, CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(trunc(value * 100) AS BIGINT) END AS bytes, CAST(event_id AS INTEGER) AS response_time FROM {HITS} h WHERE event_type <> 'error'",
+    f"SELECT event_id, '10.0.' || (user_id % 250) || '.7' AS client_ip, date_trunc('second', ts) AS ts, '/api/' || event_type AS path, 200 AS status, CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(trunc(value * 100) AS BIGINT) END AS bytes, CAST(event_id AS INTEGER) AS response_time, 0 AS rejected FROM {HITS} h WHERE event_type <> 'error' "
+    f"UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM {HITS} h WHERE event_type = 'error'",
 )
 def mo1(t: Tables) -> DataFrame:
-    out = monitoring.parse_service_log(service_lines(t), "line").drop("method")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    good, bad = monitoring.parse_service_log(service_lines(t), "line")
+    good = good.drop("method").withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("rejected", F.lit(0))
+    return good.unionByName(bad.select("event_id", F.lit(1).alias("rejected")), allowMissingColumns=True)
 
 
 def proxy_lines(t: Tables) -> DataFrame:

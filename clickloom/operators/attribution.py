@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from clickloom.plans.skew import salted_join
 
+# By how much the logarithm of a group's product may change within one panel; 32 nodes are exact to a double's digits there.
+PANEL = 16.0
+
 
 def shapley(df: DataFrame, group: Sequence[str], player: str, gain: str, nodes: int = 32) -> DataFrame:
     """Shapley value of each player for the gain ``prod(1 + x) - 1`` of its group, and its share.
@@ -17,24 +20,40 @@ def shapley(df: DataFrame, group: Sequence[str], player: str, gain: str, nodes:
     For this gain the average over all orders equals ``x_i`` times the integral over t in [0, 1] of
     ``prod over the others of (1 + t x_j)``. The product at a fixed t is a sum of logarithms, i.e. an
     ordinary partial aggregate, so no subset is listed and no group is gathered. Gauss-Legendre with
-    ``nodes`` points is exact up to ``2 nodes`` players, beyond which the error stays far below double
-    precision for gains of a sensible size. Gains must be above -1.
+    ``nodes`` points is exact up to ``2 nodes`` players. In a larger group the interval is cut into panels, as many as the
+    group's sum of ``abs(log1p(x))`` asks for, so that the logarithm of the product changes by about ``PANEL`` in each; (group, panel)
+    rows hold the sums, and values stay in log scale until they are divided by the group's own product. A product or
+    value beyond the range of a double is infinite, the share is not touched by that. Gains must be above -1, and a player
+    of a large group stands once in it.
     """
     points, weights = np.polynomial.legendre.leggauss(nodes)
-    points, weights = (points + 1) / 2, weights / 2
-    x = F.col(gain)
-    logs = [F.sum(F.log1p(F.lit(float(t)) * x)).alias(f"_l{i}") for i, t in enumerate(points)]
-    stats = df.groupBy(*group).agg(*logs, F.sum(F.log1p(x)).alias("_v"))
+    points, weights = ((points + 1) / 2).tolist(), (weights / 2).tolist()
+    x, keys = F.col(gain), list(group)
+    grows = F.sum(F.abs(F.log1p(x)))
+    panels = F.when(F.count(F.lit(1)) <= 2 * nodes, F.lit(1)).otherwise(F.ceil(grows / PANEL) + 1).cast("int").alias("_panels")
+    rows = df.select(*keys, player, gain)
+
+    small = rows.groupBy(*keys).agg(*[F.sum(F.log1p(F.lit(t) * x)).alias(f"_l{i}") for i, t in enumerate(points)], F.sum(F.log1p(x)).alias("_v"), panels)
     sums = F.array(*[f"_l{i}" for i in range(nodes)])
-    joined = salted_join(df.select(*group, player, gain), stats.select(*group, sums.alias("_logs"), "_v"), group)
-    terms = F.lit(0.0)
-    for i, (t, w) in enumerate(zip(points, weights, strict=True)):
-        terms = terms + F.lit(float(w)) * F.exp(F.col("_logs")[i]) / (1.0 + F.lit(float(t)) * x)
+    few = salted_join(rows, small.where("_panels = 1").select(*keys, sums.alias("_logs"), "_v"), keys)
+    terms = sum((F.lit(w) * F.exp(F.col("_logs")[i]) / (1.0 + F.lit(t) * x) for i, (t, w) in enumerate(zip(points, weights, strict=True))), F.lit(0.0))
     total = F.expm1("_v")
-    out = joined.withColumn("shapley", x * terms)
-    return out.select(
-        *group, player, gain, "shapley", F.when(total != 0, F.col("shapley") / total).alias("share")
-    )
+    few = few.withColumn("shapley", x * terms).withColumn("share", F.when(total != 0, F.col("shapley") / total))
+
+    large = small.where("_panels > 1").select(*keys, "_panels", "_v")
+    cut = salted_join(rows, large, keys).withColumn("_panel", F.explode(F.sequence(F.lit(0), F.col("_panels") - 1)))
+    at = [(F.col("_panel") + F.lit(t)) / F.col("_panels") for t in points]
+    logs = cut.groupBy(*keys, "_panel").agg(*[F.sum(F.log1p(t * x)).alias(f"_l{i}") for i, t in enumerate(at)])
+    cut = salted_join(cut, logs.select(*keys, "_panel", sums.alias("_logs")), [*keys, "_panel"])
+    # Relative to the product of all, which a share divides by.
+    scale = F.greatest(F.col("_v"), F.lit(0.0))
+    part = sum((F.lit(w) * F.exp(F.col("_logs")[i] - scale) / (1.0 + t * x) for i, (t, w) in enumerate(zip(at, weights, strict=True))), F.lit(0.0))
+    many = cut.withColumn("_part", part / F.col("_panels")).groupBy(*keys, player, gain).agg(F.sum("_part").alias("_scaled"), F.max("_v").alias("_v"))
+    scaled, whole = x * F.col("_scaled"), F.exp(F.col("_v") - scale) - F.exp(-scale)
+    many = many.withColumn("shapley", scaled * F.exp(scale)).withColumn("share", F.when(whole != 0, scaled / whole))
+
+    columns = [*keys, player, gain, "shapley", "share"]
+    return few.select(*columns).unionByName(many.select(*columns))
 
 
 def reward_split(shares: DataFrame, share: str, base: float | Column, project_ratio: float) -> DataFrame:

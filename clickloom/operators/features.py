@@ -118,6 +118,14 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{col}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in levels})
 
 
+def levels_of(df: DataFrame, col: str, most: int = 1_000) -> list:
+    """The different values of a column in order, null left out; more than ``most`` are an error, not a cut."""
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} levels")
+    return sorted(found)
+
+
 def cross(df: DataFrame, a: str, b: str, name: str | None = None) -> DataFrame:
     return df.withColumn(name or f"{a}_x_{b}", F.concat_ws("_", F.col(a).cast("string"), F.col(b).cast("string")))
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,34 +23,44 @@ SERVICE_LINE = (
 PROXY_LINE = r"^([^\s\[\]]+)-\[([^\]]+)\]-(\S+) (\S+)(?: [^\s]+)?-(\d{3})-(\d+(?:\.\d+)?)$"
 
 
-def _with_fields(df: DataFrame, line: str, pattern: str, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({n: F.regexp_extract(F.trim(F.col(line)), pattern, i) for i, n in enumerate(names, 1)})
+# Stands between the fields of a matched line; lines that hold it themselves do not fit any pattern.
+_MARK = "\x01"
 
 
-def parse_service_log(df: DataFrame, line: str) -> DataFrame:
-    """Client, time, method, path, status, bytes and response time; ``-`` means null, other lines are dropped."""
-    raw = _with_fields(df, line, SERVICE_LINE, ["client_ip", "_time", "method", "path", "_status", "_bytes", "_ms"])
-    ok = raw.where(F.col("client_ip") != "")
-    return ok.select(
+def _fields(df: DataFrame, line: str, pattern: str, names: Sequence[str]) -> DataFrame:
+    """The rows with ``_f``, the pattern's groups by name, or null where the line does not fit; one regular expression pass per line."""
+    text = F.trim(F.col(line))
+    parts = F.split(F.regexp_replace(text, pattern, _MARK.join(f"${i}" for i in range(1, len(names) + 1))), _MARK)
+    fits = (F.size(parts) == len(names)) & ~F.contains(text, F.lit(_MARK))
+    # A list of one element gives the split line a name, so it is split once for all its fields.
+    named = F.transform(F.array(parts), lambda p: F.struct(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(names)]))
+    return df.withColumn("_f", F.when(fits, F.get(named, 0)))
+
+
+def parse_service_log(df: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, lines that do not fit): client, time, method, path, status, bytes and response time; ``-`` means null."""
+    raw = _fields(df, line, SERVICE_LINE, ["client_ip", "time", "method", "path", "status", "bytes", "ms"])
+    good = raw.where(F.col("_f").isNotNull()).select(
         *[c for c in df.columns if c != line],
-        "client_ip",
-        F.to_timestamp("_time", "dd/MMM/yyyy:HH:mm:ss Z").alias("ts"),
-        "method",
-        "path",
-        F.col("_status").try_cast("int").alias("status"),
-        F.col("_bytes").try_cast("long").alias("bytes"),
-        F.col("_ms").try_cast("int").alias("response_time"),
+        "_f.client_ip",
+        F.to_timestamp("_f.time", "dd/MMM/yyyy:HH:mm:ss Z").alias("ts"),
+        "_f.method",
+        "_f.path",
+        F.col("_f.status").try_cast("int").alias("status"),
+        F.col("_f.bytes").try_cast("long").alias("bytes"),
+        F.col("_f.ms").try_cast("int").alias("response_time"),
     )
+    return good, raw.where(F.col("_f").isNull()).select(*df.columns)
 
 
 def parse_proxy_log(df: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
     """(parsed rows, lines that do not fit); the time is turned into milliseconds."""
-    raw = _with_fields(df, line, PROXY_LINE, ["source", "_time", "method", "_uri", "status", "_sec"])
+    raw = _fields(df, line, PROXY_LINE, ["source", "time", "method", "uri", "status", "sec"])
     rest = [c for c in df.columns if c != line]
-    good = raw.where(F.col("source") != "").select(
-        *rest, "source", "method", "status", last_segment(F.col("_uri")).alias("path"), (F.col("_sec").cast("double") * 1000).alias("ms")
+    good = raw.where(F.col("_f").isNotNull()).select(
+        *rest, "_f.source", "_f.method", "_f.status", last_segment(F.col("_f.uri")).alias("path"), (F.col("_f.sec").cast("double") * 1000).alias("ms")
     )
-    return good, raw.where(F.col("source") == "").select(*df.columns)
+    return good, raw.where(F.col("_f").isNull()).select(*df.columns)
 
 
 def api_metrics(df: DataFrame, ts: str, path: str, status: str, ms: str, bucket: str = "15 minutes") -> DataFrame:
@@ -78,29 +88,23 @@ def latency_quantiles(df: DataFrame, by: Sequence[str], ms: str) -> DataFrame:
 def table_check(
     spark: SparkSession, tables: Mapping[str, DataFrame | str], date: str, threshold: int = 10_000, columns: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Row count of one date per table: ok above the threshold, else low; a table that cannot be read is
-    reported and does not stop the others.
+    """Row count of one date per table: ok above the threshold, else low; a table that cannot be read or fails while it
+    is counted is reported and does not stop the others.
 
-    The date column is ``dt`` for names ending in ``_feature`` and ``biz_date`` otherwise, unless given.
+    Every table is one job of its own, run here, and only its count comes back. The date column is ``dt`` for names ending in
+    ``_feature`` and ``biz_date`` otherwise, unless given.
     """
-    parts = []
+    rows = []
     for name, source in tables.items():
         try:
             df = spark.read.parquet(source) if isinstance(source, str) else source
             day = (columns or {}).get(name) or ("dt" if name.endswith("_feature") else "biz_date")
-            count = df.where(F.to_date(F.col(day)) == F.to_date(F.lit(date))).agg(F.count(F.lit(1)).alias("cnt"))
-            status = F.when(F.col("cnt") > threshold, "ok").otherwise("low")
-            row = count.select(F.lit(name).alias("table_name"), F.lit(date).alias("day"), "cnt", status.alias("status"))
-            row.schema  # resolve the plan here, so that a broken table is caught
-            parts.append(row)
-        except AnalysisException as e:
-            parts.append(
-                spark.range(1).select(
-                    F.lit(name).alias("table_name"), F.lit(date).alias("day"), F.lit(None).cast("long").alias("cnt"),
-                    F.lit(f"error: {e.getCondition() or 'unreadable'}").alias("status"),
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+            count = df.where(F.to_date(F.col(day)) == F.to_date(F.lit(date))).count()
+            rows.append((name, date, count, "ok" if count > threshold else "low"))
+        except (PySparkException, Py4JJavaError) as e:
+            reason = e.getCondition() if isinstance(e, PySparkException) else None
+            rows.append((name, date, None, f"error: {reason or 'unreadable'}"))
+    return spark.createDataFrame(rows, "table_name string, day string, cnt long, status string")
 
 
 def streak_alerts(

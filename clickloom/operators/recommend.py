@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clickloom.functions.numeric import seconds_of, sigmoid, stable_uniform
 from clickloom.operators.relational import enrich, exclude, weight_of
 from clickloom.operators.vectors import similar_items
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, running_sum
-from clickloom.plans.skew import mirror, salted_join, with_group, within_group_pairs
+from clickloom.plans.skew import BROADCAST_ROWS, mirror, salted_join, within_group_pairs
 from clickloom.plans.stage import written
+from clickloom.session import pair_block
+
+# Attempts of a rejection sampler that takes over 95 % of them.
+ATTEMPTS = 32
+# Items in the baskets that meet in one group; columns of a dense matrix.
+BASKET_BLOCK = 1_000_000
+ITEM_SPAN = 4_096
 
 
 def _profiles(clicks: DataFrame, user: str, item: str) -> DataFrame:
@@ -40,6 +47,50 @@ def _profiles(clicks: DataFrame, user: str, item: str) -> DataFrame:
     )
 
 
+class _Baskets:
+    """Profiles of one block: their multiplicities and their items as positions in a common list."""
+
+    def __init__(self, t: pa.Table, items: np.ndarray):
+        lists = t.column("items").combine_chunks()
+        self.mult = t.column("mult").to_numpy().astype(np.float64)
+        self.rows = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        self.columns = np.searchsorted(items, lists.flatten().to_numpy(zero_copy_only=False))
+
+    def dense(self, start: int, stop: int) -> np.ndarray:
+        """The 0/1 matrix of profiles and the items from ``start`` to ``stop``."""
+        out = np.zeros((len(self.mult), stop - start))
+        here = (self.columns >= start) & (self.columns < stop)
+        out[self.rows[here], self.columns[here] - start] = 1.0
+        return out
+
+
+def _partial_swing(alpha: float, self_users: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What the profiles of an item add to its similarity with every larger item: sums over pairs of profiles of one or two blocks."""
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = left.schema.field("i").type if left.num_rows else right.schema.field("i").type
+        same = left.num_rows > 0 and left.column("a")[0] == left.column("b")[0]
+        right = left if same else right
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], kind), pa.array([], kind), pa.array([], pa.float64())], names=["i", "j", "s"])
+        flat = [t.column("items").combine_chunks().flatten().to_numpy(zero_copy_only=False) for t in (left, right)]
+        items = np.unique(np.concatenate(flat))
+        x = _Baskets(left, items)
+        y = x if same else _Baskets(right, items)
+        spans = [(c, min(c + ITEM_SPAN, len(items))) for c in range(0, len(items), ITEM_SPAN)]
+        common = sum(x.dense(*c) @ y.dense(*c).T for c in spans)
+        pairs = x.mult[:, None] * y.mult[None, :] * (1.0 if same else 2.0)
+        if same and not self_users:
+            np.fill_diagonal(pairs, x.mult * (x.mult - 1))
+        weight = pairs / (alpha + common)
+        # Both profiles of a pair have the item itself, so what counts for j are the pairs in which both have j.
+        sums = np.concatenate([(x.dense(*c) * (weight @ y.dense(*c))).sum(axis=0) for c in spans])
+        keep = (np.arange(len(items)) > np.searchsorted(items, left.column("i")[0].as_py())) & (sums > 0)
+        return pa.table([pa.array([left.column("i")[0].as_py()] * int(keep.sum()), kind), pa.array(items[keep], kind), pa.array(sums[keep], pa.float64())], names=["i", "j", "s"])
+
+    return add
+
+
 def swing(
     df: DataFrame, user: str, item: str, alpha: float = 1.0, top_k: int = 30, include_self_users: bool = True
 ) -> DataFrame:
@@ -47,29 +98,31 @@ def swing(
 
     Ordered user pairs, a user paired with itself included unless told otherwise. Only users with two
     items or more can add to a pair of different items, and users with equal item sets count once with
-    their number. Profiles then meet on *pairs* of items, so two users who share a single (possibly
-    very common) item never meet; c shared items show up as c (c - 1) / 2 shared item pairs.
+    their number. The profiles of an item meet as 0/1 matrices: one product gives the numbers of shared items, a
+    second one the sums for all items j. Pairs of profiles are never rows; an item with many profiles is cut into blocks, every
+    pair of blocks is a group of its own, and their partial sums are added up.
     """
     clicks = df.select(user, item).where(F.col(user).isNotNull() & F.col(item).isNotNull()).distinct()
     clicks = written(clicks, "swing-clicks")
     profiles = _profiles(clicks, user, item)
-    baskets = written(salted_join(clicks.withColumnRenamed(user, "profile"), profiles, ["profile"]), "swing-baskets")
-    item_pairs = within_group_pairs(baskets, ["profile"], item, ["mult", "size"]).select(
-        "profile", F.col("a").alias("i"), F.col("b").alias("j"), F.col("mult_a").alias("mult"), F.col("size_a").alias("size")
-    )
-    item_pairs = written(item_pairs, "swing-items")
-    same = F.col("mult") * F.col("mult") if include_self_users else F.col("mult") * (F.col("mult") - 1)
-    own = item_pairs.select("i", "j", (same / (F.lit(alpha) + F.col("size"))).alias("s"))
-    # Most item pairs belong to one profile only; just the others can bring profiles together.
-    several = item_pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("i", "j")
-    meeting = written(item_pairs.select("i", "j", "profile", "mult").join(several, ["i", "j"], "left_semi"), "swing-meet")
-    met = written(within_group_pairs(meeting, ["i", "j"], "profile", ["mult"]), "swing-met")
-    met = with_group(met, ["a", "b"], _pairs=F.count(F.lit(1)))
-    common = F.round((1 + F.sqrt(1 + 8 * F.col("_pairs"))) / 2)
-    weight = 2 * F.col("mult_a") * F.col("mult_b") / (F.lit(alpha) + common)
-    other = met.select("i", "j", weight.alias("s"))
-    score = own.unionByName(other).groupBy("i", "j").agg(F.sum("s").alias("similarity"))
-    both = mirror(score.where(F.col("similarity") > 0), "i", "j")
+    held = salted_join(clicks.withColumnRenamed(user, "profile"), profiles, ["profile"])
+    baskets = held.groupBy("profile").agg(F.first("mult").alias("mult"), F.collect_list(item).alias("items"))
+    baskets = written(baskets, "swing-baskets")
+    # Blocks of an item by the number of its profiles and of the items they hold; most items have one.
+    sized = baskets.select(F.explode("items").alias("i"), F.size("items").alias("n")).groupBy("i")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / pair_block(df.sparkSession)), F.ceil(F.sum("n") / BASKET_BLOCK)).cast("int")
+    large = written(sized.agg(blocks.alias("of")).where("of > 1"), "swing-blocks")
+    members = baskets.select(F.explode("items").alias("i"), "profile", "mult", "items")
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    members = members.join(F.broadcast(large) if few else large, "i", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    members = members.withColumn("own", F.pmod(F.xxhash64("profile"), F.col("of")).cast("int"))
+    left = members.select("i", F.col("own").alias("a"), F.explode(F.sequence(F.col("own"), F.col("of") - 1)).alias("b"), "mult", "items")
+    right = members.where("own > 0").select("i", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("a"), F.col("own").alias("b"), "mult", "items")
+    kind = df.schema[item].dataType.simpleString()
+    right = right.toDF(*right.columns)
+    partial = left.groupBy("i", "a", "b").cogroup(right.groupBy("i", "a", "b")).applyInArrow(_partial_swing(alpha, include_self_users), f"i {kind}, j {kind}, s double")
+    score = partial.groupBy("i", "j").agg(F.sum("s").alias("similarity"))
+    both = mirror(score, "i", "j")
     # Rounded for ranking: the order of a distributed sum must not decide between equal scores.
     ranked = both.withColumn("_r", F.round("similarity", 9))
     out = top_n(ranked, ["i"], ["-_r", "j"], top_k)
@@ -183,18 +236,39 @@ def beta_posterior(
     return out.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
-@F.pandas_udf(T.DoubleType())
-def _beta_draw(alpha: pd.Series, beta: pd.Series, seed: pd.Series) -> pd.Series:
-    draws = [
-        np.random.Generator(np.random.Philox(key=int(s) & 0xFFFFFFFFFFFFFFFF)).beta(a, b)
-        for a, b, s in zip(alpha, beta, seed, strict=True)
-    ]
-    return pd.Series(draws, dtype="float64")
+def gamma_draw(shape: Column, seed: str, *keys: Column) -> Column:
+    """One draw from the gamma distribution of this shape; it depends on the values and the seed only.
+
+    Rejection from a squeezed normal: with d = shape - 1/3 and v = (1 + x / sqrt(9 d))^3 the value d v is taken if
+    ln u < x^2 / 2 + d - d v + d ln v, which holds in over 95 % of the attempts; further attempts are only computed after a
+    rejection, ``ATTEMPTS`` at most. Shapes below 1 are drawn one higher and scaled back. Uniforms are hashes, so SQL can repeat
+    them and no row keeps a generator.
+    """
+    d = F.when(shape < 1, shape + 1).otherwise(shape) - 1.0 / 3
+    uniform = lambda i, use: stable_uniform(seed, *keys, F.concat(i.cast("string"), F.lit(use)))
+    # A list of one element gives its value a name inside the expression, so hashes are computed once.
+    named = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+
+    def attempt(i: Column) -> Column:
+        def judge(s: Column) -> Column:
+            accepted = (s["t"] > 0) & (F.log(s["u"]) < s["x"] * s["x"] / 2 + d - d * s["t"] * s["t"] * s["t"] + 3 * d * F.log(s["t"]))
+            return F.when(accepted, d * s["t"] * s["t"] * s["t"])
+
+        x = F.sqrt(-2 * F.log(uniform(i, "a"))) * F.cos(2 * math.pi * uniform(i, "b"))
+        placed = named(x, lambda x: F.struct(x.alias("x"), (1 + x / F.sqrt(9 * d)).alias("t"), uniform(i, "c").alias("u")))
+        return named(placed, judge)
+
+    tries = F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))
+    drawn = F.aggregate(tries, F.lit(None).cast("double"), lambda found, i: F.when(found.isNotNull(), found).otherwise(attempt(i)))
+    small = F.pow(stable_uniform(seed, *keys, F.lit("d")), 1 / shape)
+    return F.when(shape < 1, drawn * small).otherwise(drawn)
 
 
 def thompson_rank(post: DataFrame, user: str, item: str, n: int = 10, seed: int = 7) -> DataFrame:
     """Top ``n`` items per user by one draw from each posterior; the draw depends on (user, item, seed)."""
-    drawn = post.withColumn("draw", _beta_draw("alpha", "beta", F.xxhash64(F.lit(seed), user, item)))
+    keys = (F.col(user), F.col(item))
+    a, b = gamma_draw(F.col("alpha"), f"{seed}x", *keys), gamma_draw(F.col("beta"), f"{seed}y", *keys)
+    drawn = post.withColumns({"_a": a, "_b": b}).withColumn("draw", F.round(F.col("_a") / (F.col("_a") + F.col("_b")), 12)).drop("_a", "_b")
     return top_n(drawn, [user], ["-draw", item], n)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,88 +16,190 @@ from clickloom.functions.numeric import dot, stable_uniform
 from clickloom.operators.evaluation import classification_report
 from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import hot_keys, salted_join
+from clickloom.plans.stage import written
+from clickloom.session import fresh_dir
 
 QUERY_BLOCK = 1_024
 VECTOR_BLOCK = 8_192
 EXACT_ROWS = 65_536
+MOST_CENTRES = 65_536
 
 
-def _nearest(k: int, metric: str, same_table: bool) -> Callable[..., pd.DataFrame]:
-    """The ``k`` best vectors per query inside one block pair; smaller score is better."""
-
-    def best(_key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "id": [], "score": []}).astype(
-            {"query_id": "int64", "id": "int64", "score": "float64"}
-        )
-        if q.empty or v.empty:
-            return empty
-        qm = np.stack(q["vec"].to_numpy()).astype("float64")
-        vm = np.stack(v["vec"].to_numpy()).astype("float64")
-        if metric == "l2":
-            q2, v2 = (qm**2).sum(1), (vm**2).sum(1)
-            score = q2[:, None] + v2[None, :] - 2 * qm @ vm.T
-            if same_table:
-                score[q["id"].to_numpy()[:, None] == v["id"].to_numpy()[None, :]] = np.inf
-            # Expanding the square loses digits: all that can be among the k best are taken again, exactly.
-            last = min(k, score.shape[1]) - 1
-            edge = np.partition(score, last, axis=1)[:, last] + 1e-13 * qm.shape[1] * (q2 + v2.max())
-            near = score <= edge[:, None]
-            score[~near] = np.inf
-            rows, cols = np.nonzero(near & np.isfinite(score))
-            for i in range(0, len(rows), EXACT_ROWS):
-                r, c = rows[i : i + EXACT_ROWS], cols[i : i + EXACT_ROWS]
-                score[r, c] = np.sqrt(((qm[r] - vm[c]) ** 2).sum(1))
-        else:
-            if metric == "cosine":
-                qm /= np.linalg.norm(qm, axis=1, keepdims=True)
-                vm /= np.linalg.norm(vm, axis=1, keepdims=True)
-            score = -(qm @ vm.T)
-        score = np.round(score, 9)
-        qid, vid = q["id"].to_numpy(), v["id"].to_numpy()
-        if same_table:
-            score[qid[:, None] == vid[None, :]] = np.inf
-        # Everything up to the k-th score of its query, ties included; only that little is sorted.
-        kth = np.partition(score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
-        rows, cols = np.nonzero((score <= kth[:, None]) & np.isfinite(score))
-        picked, ids = score[rows, cols], vid[cols]
-        order = np.lexsort((ids, picked, rows))
-        rows, picked, ids = rows[order], picked[order], ids[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = place < k
-        return pd.DataFrame({"query_id": qid[rows[keep]], "id": ids[keep], "score": picked[keep]})
-
-    return best
+def _scores(qm: np.ndarray, vm: np.ndarray, k: int, metric: str, same: np.ndarray | None) -> np.ndarray:
+    """Scores of all vectors for each query, smaller is better; infinite where they cannot be among the ``k`` best."""
+    if metric == "l2":
+        q2, v2 = (qm**2).sum(1), (vm**2).sum(1)
+        score = q2[:, None] + v2[None, :] - 2 * qm @ vm.T
+        if same is not None:
+            score[same] = np.inf
+        # Expanding the square loses digits: all that can be among the k best are taken again, exactly.
+        last = min(k, score.shape[1]) - 1
+        edge = np.partition(score, last, axis=1)[:, last] + 1e-13 * qm.shape[1] * (q2 + v2.max())
+        near = score <= edge[:, None]
+        score[~near] = np.inf
+        rows, cols = np.nonzero(near & np.isfinite(score))
+        for i in range(0, len(rows), EXACT_ROWS):
+            r, c = rows[i : i + EXACT_ROWS], cols[i : i + EXACT_ROWS]
+            score[r, c] = np.sqrt(((qm[r] - vm[c]) ** 2).sum(1))
+    else:
+        if metric == "cosine":
+            qm = qm / np.linalg.norm(qm, axis=1, keepdims=True)
+            vm = vm / np.linalg.norm(vm, axis=1, keepdims=True)
+        score = -(qm @ vm.T)
+    score = np.round(score, 9)
+    if same is not None:
+        score[same] = np.inf
+    return score
+
+
+def _best(qm: np.ndarray, qid: np.ndarray, vm: np.ndarray, vid: np.ndarray, k: int, metric: str, same_table: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the ``k`` best vectors per query, ties to the smaller id."""
+    score = _scores(qm, vm, k, metric, qid[:, None] == vid[None, :] if same_table else None)
+    place_of = np.unique(vid, return_inverse=True)[1]
+    # Everything up to the k-th score of its query, ties included; only that little is sorted.
+    last = min(k, score.shape[1]) - 1
+    kth = np.partition(score, last, axis=1)[:, last]
+    rows, cols = np.nonzero((score <= kth[:, None]) & np.isfinite(score))
+    picked = score[rows, cols]
+    order = np.lexsort((place_of[cols], picked, rows))
+    rows, cols, picked = rows[order], cols[order], picked[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return qid[rows[keep]], vid[cols[keep]], picked[keep]
+
+
+def _matrix(vec: pa.Array, rows: int) -> np.ndarray:
+    return vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def _met(q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_table: bool) -> DataFrame:
+    """Best vectors of every group for the group's queries: (query_id, id, score).
+
+    Vectors are dealt by ``keys`` once and come first inside their group, the queries run past them in batches: a task holds the
+    vectors of one group and one batch of queries, however many queries there are. Groups must have bounded numbers of vectors.
+    """
+    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = [*keys, "dim"]
+
+    def tagged(df: DataFrame, kind: int) -> DataFrame:
+        return df.where("vec IS NOT NULL").select(*keys, F.size("vec").alias("dim"), F.lit(kind).alias("kind"), "id", "vec")
+
+    both = tagged(v, 0).union(tagged(q, 1)).repartition(parts, *groups).sortWithinPartitions(*groups, "kind")
+    id_type = v.schema["id"].dataType.simpleString()
+    schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {id_type}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, ready = None, [], None
+        for b in batches:
+            new = np.zeros(b.num_rows, bool)
+            new[:1] = True
+            for c in (*groups, "kind"):
+                column = b.column(c).to_numpy(zero_copy_only=False)
+                new[1:] |= column[1:] != column[:-1]
+            starts = np.flatnonzero(new)
+            for start, stop in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                here = tuple(b.column(c)[start].as_py() for c in groups)
+                if here != group:
+                    group, held, ready = here, [], None
+                ids = b.column("id").slice(start, stop - start)
+                vec = _matrix(b.column("vec").slice(start, stop - start), stop - start)
+                if b.column("kind")[start].as_py() == 0:
+                    held.append((ids, vec))
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    ready = pa.concat_arrays([i for i, _ in held]).to_numpy(zero_copy_only=False), np.concatenate([m for _, m in held])
+                for i in range(0, len(vec), QUERY_BLOCK):
+                    mine = slice(i, i + QUERY_BLOCK)
+                    found = _best(vec[mine], ids.to_numpy(zero_copy_only=False)[mine], ready[1], ready[0], k, metric, same_table)
+                    types = (ids.type, held[0][0].type, pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types, strict=True)], names=["query_id", "id", "score"])
+
+    return both.mapInArrow(run, schema)
+
+
+def _top(found: DataFrame, k: int, metric: str) -> DataFrame:
+    best = top_n(found, ["query_id"], ["score", "id"], k)
+    return best if metric == "l2" else best.withColumn("score", -F.col("score"))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2", same_table: bool = False) -> DataFrame:
     """Exact ``k`` nearest vectors (id, vec) for every query (id, vec): (query_id, id, score, rn).
 
-    Both tables are cut into blocks and every pair of blocks is one group. A group hands back only its
-    ``k`` best per query, so pairs are compared in memory but never written out. ``metric`` is ``l2``
-    (distance), ``dot`` or ``cosine`` (similarity); ties go to the smaller id.
+    Vectors are dealt into blocks once, every query visits all blocks, and a block hands back only its ``k`` best per query.
+    ``metric`` is ``l2`` (distance), ``dot`` or ``cosine`` (similarity); ties go to the smaller id. Rows without a vector take no
+    part; vectors of different length never meet.
     """
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    v_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
-    q = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("qb")).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)).cast("array<bigint>"))
-    )
-    v = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(v_blocks)).alias("vb")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))
-    )
-    return _top_of_blocks(q, v, ["qb", "vb"], k, metric, same_table)
+    blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    q = queries.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
+    v = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("vb"))
+    return _top(_met(q, v, ["vb"], k, metric, same_table), k, metric)
 
 
-def _top_of_blocks(
-    q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_table: bool, once: bool = True
-) -> DataFrame:
-    """Best of the groups' answers; with ``once`` a pair of ids can come from one group only."""
-    found = (
-        q.groupBy(*keys)
-        .cogroup(v.toDF(*v.columns).groupBy(*keys))
-        .applyInPandas(_nearest(k, metric, same_table), "query_id long, id long, score double")
-    )
-    best = top_n(found if once else found.distinct(), ["query_id"], ["score", "id"], k)
-    return best if metric == "l2" else best.withColumn("score", -F.col("score"))
+def coarse_centres(vectors: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """``n`` vectors drawn by a seeded hash of their id, as (centre, vec): fixed coarse centres for ``inverted_lists``."""
+    drawn = vectors.where("vec IS NOT NULL").withColumn("_u", stable_uniform(seed, F.col("id")))
+    return drawn.orderBy("_u", "id").limit(n).select(F.col("id").alias("centre"), "vec")
+
+
+def nearest_centres(df: DataFrame, centres: DataFrame, n: int, metric: str = "l2") -> DataFrame:
+    """The rows (id, vec) once for each of their ``n`` nearest centres: (id, vec, centre); ties go to the smaller centre.
+
+    The centres come to every task: their number is a parameter of the index, checked against ``MOST_CENTRES``.
+    """
+    known = centres.orderBy("centre").limit(MOST_CENTRES + 1).toArrow()
+    if known.num_rows > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
+    names = known.column("centre").combine_chunks()
+    points = _matrix(known.column("vec").combine_chunks(), known.num_rows) if known.num_rows else np.empty((0, 0))
+    schema = df.select("id", "vec", F.lit(None).cast(centres.schema["centre"].dataType).alias("centre")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(i, QUERY_BLOCK)
+                vec = _matrix(part.column("vec"), part.num_rows)
+                rows, near, _ = _best(vec, np.arange(len(vec)), points, np.arange(len(points)), n, metric, False)
+                taken = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("vec"), names.take(pa.array(near))], names=["id", "vec", "centre"])
+
+    if not known.num_rows:
+        return df.select("id", "vec", F.lit(None).cast(centres.schema["centre"].dataType).alias("centre")).limit(0)
+    return df.where(F.size("vec") == points.shape[1]).select("id", "vec").mapInArrow(run, schema)
+
+
+def inverted_lists(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """Every vector at its nearest centre, written once and partitioned by centre: (id, vec, centre, part).
+
+    A list longer than ``VECTOR_BLOCK`` is cut into parts by a hash of the id, so a centre that draws a third of all vectors costs
+    no task more than the others.
+    """
+    spark = vectors.sparkSession
+    placed = written(nearest_centres(vectors, centres, 1), "placed")
+    # One row per centre, a number that the index fixes.
+    sizes = placed.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts"))
+    cut = placed.join(F.broadcast(sizes), "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    path = fresh_dir(spark, "inverted")
+    cut.select("id", "vec", "centre", "part", "parts").write.partitionBy("centre").parquet(path)
+    return spark.read.schema(cut.select("id", "vec", "part", "parts", "centre").schema).parquet(path)
+
+
+def ivf_search(queries: DataFrame, lists: DataFrame, centres: DataFrame, k: int = 5, probes: int = 10, metric: str = "l2", same_table: bool = False) -> DataFrame:
+    """The ``k`` nearest vectors among the lists of the ``probes`` nearest centres, by exact scores: (query_id, id, score, rn).
+
+    Probing is a join of queries and list parts on the centre. With as many probes as centres the search is exact. For
+    ``cosine`` give vectors of one length to the index and the search; ``dot`` probes the centres with the largest product.
+    """
+    probed = nearest_centres(queries, centres, probes, metric)
+    parts = lists.groupBy("centre").agg(F.max("parts").alias("parts"))
+    q = probed.join(F.broadcast(parts), "centre").select("id", "vec", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return _top(_met(q, lists.select("id", "vec", "centre", "part"), ["centre", "part"], k, metric, same_table), k, metric)
+
+
+def unit_length(vectors: DataFrame) -> DataFrame:
+    """(id, vec) with vectors divided by their length; zero vectors leave."""
+    length = F.sqrt(dot(F.col("vec"), F.col("vec")))
+    return vectors.withColumn("_l", length).where("_l > 0").select("id", F.transform("vec", lambda x: x.cast("double") / F.col("_l")).alias("vec"))
 
 
 def similar_items(vectors: DataFrame, k: int) -> DataFrame:
@@ -108,10 +210,7 @@ def similar_items(vectors: DataFrame, k: int) -> DataFrame:
 def knn_lsh(
     queries: DataFrame, vectors: DataFrame, k: int = 5, width: float = 1.0, tables: int = 4, seed: int = 7
 ) -> DataFrame:
-    """Approximate ``k`` nearest by L2: exact search among vectors that share a hash bucket.
-
-    A bucket with many vectors is spread over blocks and its queries are repeated per block.
-    """
+    """Approximate ``k`` nearest by L2: exact search among vectors that share a hash bucket."""
     def as_ml(df: DataFrame) -> DataFrame:
         return df.select("id", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
 
@@ -124,20 +223,13 @@ def knn_lsh(
         return hashed.select("id", "vec", "tab", vector_to_array("hv")[0].alias("bucket"))
 
     q, v = buckets(queries), buckets(vectors)
-    # The vectors of a bucket are cut into parts and its queries into cuts; every part meets every cut.
+    # The vectors of a bucket are cut into parts; its queries visit them all.
     home = ["tab", "bucket"]
     parts = hot_keys(v, home, VECTOR_BLOCK).withColumnRenamed("_blocks", "_parts")
-    cuts = hot_keys(q, home, QUERY_BLOCK).withColumnRenamed("_blocks", "_cuts")
-
-    def placed(df: DataFrame, own: str, other: str, by: str, across: str) -> DataFrame:
-        sized = salted_join(salted_join(df, parts, home, "left"), cuts, home, "left")
-        mine = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int").alias(by)
-        spread = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(across)
-        return sized.select(*home, mine, spread, "id", "vec")
-
-    v = placed(v, "_parts", "_cuts", "part", "cut")
-    q = placed(q, "_cuts", "_parts", "cut", "part")
-    return _top_of_blocks(q, v, [*home, "part", "cut"], k, "l2", False, once=False)
+    v = salted_join(v, parts, home, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    q = salted_join(q, parts, home, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    # A pair can meet in several tables.
+    return _top(_met(q, v, [*home, "part"], k, "l2", False).distinct(), k, "l2")
 
 
 def recall_against(approx: DataFrame, exact: DataFrame) -> DataFrame:

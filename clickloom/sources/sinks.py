@@ -64,10 +64,10 @@ def replace_table(df: DataFrame, target: str, rename: Mapping[str, str]) -> None
 def publish(
     spark: SparkSession, alias: str, build: Callable[[str], None], validate: Callable[[DataFrame], bool], pointer_dir: str | None = None
 ) -> str:
-    """Build the standby copy, check it, and only then let the view name point to it.
+    """Build the standby copy, check it, and only then let the catalog's view point to it.
 
-    The copies are ``<folder>/blue`` and ``<folder>/green``; the view shows which one is live. If the
-    check fails the live copy stays, and the error names the standby.
+    The copies are ``<folder>/blue`` and ``<folder>/green``; the view is replaced in one step, every session of the catalog sees it,
+    and its files show which copy is live. If the check fails the live copy stays, and the error names the standby.
     """
     folder = pointer_dir or fresh_dir(spark, alias)
     live = None
@@ -83,5 +83,5 @@ def publish(
     fresh = spark.read.parquet(target)
     if not validate(fresh):
         raise RuntimeError(f"{target} failed its check, {alias} is unchanged")
-    fresh.createOrReplaceTempView(alias)
+    spark.sql(f"CREATE OR REPLACE VIEW {alias} AS SELECT * FROM parquet.`{target}`")
     return target

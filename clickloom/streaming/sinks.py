@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators.recommend import interest
 from clickloom.session import fresh_dir
-from clickloom.sources.keyed import upsert
 from clickloom.streaming.windows import window_top_n
 
 
@@ -57,27 +56,32 @@ def start_window_top_n(
 
 
 class KeyedStore:
-    """A keyed table for dashboards, kept as one parquet version per batch with an expiry per key.
+    """A keyed table for dashboards: every micro-batch adds its rows as a partition, readers take each key's newest values.
 
-    The newest whole version is the store. A repeated batch that is already the newest is left alone;
-    after a restart the last good version is passed in.
+    Nothing is rewritten and nothing is kept in the driver: a batch that was committed before is left alone, one that broke
+    off is written again, and any session can read the folder.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], version: str | None = None):
-        self.spark, self.path, self.keys, self.version = spark, path, list(keys), version
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
+        self.spark, self.path, self.keys = spark, path, list(keys)
+
+    def _exists(self, path: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.version) if self.version else None
+        """One row per key, each field as the newest batch that has a value for it says."""
+        if not self._exists(self.path):
+            return None
+        rows = self.spark.read.option("basePath", self.path).parquet(self.path)
+        fields = [c for c in rows.columns if c not in (*self.keys, "batch")]
+        newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in fields]
+        return rows.groupBy(*self.keys).agg(*newest)
 
     def write(self, df: DataFrame, batch: int, expires_at: Column) -> None:
-        target = f"{self.path}/version={batch}"
-        if target == self.version:
-            return
-        new = df.withColumn("expires_at", expires_at)
-        held = self.read()
-        merged = new if held is None else upsert(held, new, self.keys)
-        merged.write.mode("overwrite").parquet(target)
-        self.version = target
+        target = f"{self.path}/batch={batch}"
+        if not self._exists(f"{target}/_SUCCESS"):
+            df.withColumn("expires_at", expires_at).write.mode("overwrite").parquet(target)
 
 
 def run_to_table(df: DataFrame, mode: str, purpose: str, fn: Callable[[DataFrame, int], None] | None = None) -> str:
