@@ -28,6 +28,12 @@ def usable(df: DataFrame, row_id: str, vector: str) -> DataFrame:
     return x.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine)
 
 
+def most_vectors(vectors: DataFrame) -> int:
+    """The largest number of different vectors that one id has: so many of them may stand before the next id."""
+    found = vectors.groupBy("id").agg(F.count_distinct(F.xxhash64("vec")).alias("n")).agg(F.max("n")).first()[0]
+    return int(found or 1)
+
+
 def _packed(rows: DataFrame, part: str) -> DataFrame:
     """One row per (dim, part): its matrix, how many ids each vector has, and the ids."""
 
@@ -112,6 +118,8 @@ def name_ids(rows: np.ndarray, vectors: np.ndarray, scores: np.ndarray, query: t
         worth = np.repeat(scores[a:b], counts)
         place = np.lexsort((ids, -worth))
         ids, worth = ids[place], worth[place]
+        once = np.sort(np.unique(ids, return_index=True)[1])  # an id with several vectors counts with its best score
+        ids, worth = ids[once], worth[once]
         for q in q_ids[q_starts[rows[a]] : q_starts[rows[a] + 1]]:
             other = np.flatnonzero(ids != q)[:k]
             out.append((np.full(len(other), q), ids[other], worth[other]))

@@ -178,3 +178,28 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFra
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.binary())], names=[*kept, "decoded"])
 
     return short_batches(docs).select(*kept).mapInArrow(run, docs.select(*kept, F.lit(b"").alias("decoded")).schema)
+
+
+def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", check: str = "round_trip") -> DataFrame:
+    """The rows of ``docs`` without their text, with the token ids and whether they decode to the text.
+
+    Both happen in one pass, text by text, so neither texts nor decoded bytes go back to the JVM. A null text counts as empty.
+    """
+    kept = [c for c in docs.columns if c not in (text, ids, check)]
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Vocabulary(*shared.value))
+        tokens = encoder.tokens
+        for b in batches:
+            packed, same = [], []
+            for t in b.column(text):
+                t = t.as_py() or ""
+                one = encoder.encode(t)
+                packed.append(one)
+                same.append(b"".join([tokens[i] for i in memoryview(one).cast("I")]) == t.encode())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(packed, pa.binary()), pa.array(same, pa.bool_())], names=[*kept, ids, check])
+
+    columns = [F.col(f"`{c}`") for c in kept]
+    schema = docs.select(*columns, F.lit(b"").alias(ids), F.lit(True).alias(check)).schema
+    return short_batches(docs).select(*columns, F.col(f"`{text}`")).mapInArrow(run, schema)

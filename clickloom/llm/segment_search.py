@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.blocks import BLOCK_ROWS, SHARD_ROWS, best, blocks, meet, name_ids, shards, unpack, usable
+from clickloom.llm.blocks import BLOCK_ROWS, SHARD_ROWS, best, blocks, meet, most_vectors, name_ids, shards, unpack, usable
 
 LEVELS = (4, 8, 16)
 SCALE = 256
@@ -67,24 +67,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
     no part, nor do rows without an id; vectors of another length are no candidates. Rows that share an id are never each
     other's result, and an id with several vectors counts with its best score. Ties go to the smaller id.
     """
-    index, n = shards(usable(vectors, row_id, vector), k + 1, shard_rows)
+    rows = usable(vectors, row_id, vector)
+    index, n = shards(rows, k + 1, shard_rows)
+    enough = k * most_vectors(rows) + 1
     asked = blocks(usable(vectors.where(is_query), row_id, vector), block_rows)
 
     def answer(q: dict, s: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         (queries, q_starts, q_ids), (near, v_starts, v_ids) = unpack(q, dim), unpack(s, dim)
         of_q, of_x = [segments(queries, n) for n in levels if dim], [segments(near, n) for n in levels if dim]
         q_norm, x_norm = (queries**2).sum(axis=1), (near**2).sum(axis=1)
-        rows, found, scores = [], [], []
+        lines, found, scores = [], [], []
         for i, one in enumerate(queries):
-            alive, score = survivors(one, near, [(a[i], b) for a, b in zip(of_q, of_x, strict=True)], (float(q_norm[i]), x_norm), k + 1)
-            if len(alive) > k + 1:
-                pick = np.argpartition(-score, k)[: k + 1]
+            alive, score = survivors(one, near, [(a[i], b) for a, b in zip(of_q, of_x, strict=True)], (float(q_norm[i]), x_norm), enough)
+            if len(alive) > enough:
+                pick = np.argpartition(-score, enough - 1)[:enough]
                 pick = np.flatnonzero(score >= score[pick].min())  # all that tie at the border
                 alive, score = alive[pick], score[pick]
-            rows.append(np.full(len(alive), i))
+            lines.append(np.full(len(alive), i))
             found.append(alive)
             scores.append(score)
         none = np.empty(0, np.int64)
-        return name_ids(np.concatenate([none, *rows]), np.concatenate([none, *found]), np.concatenate([none, *scores]), (q_starts, q_ids), (v_starts, v_ids), k)
+        return name_ids(np.concatenate([none, *lines]), np.concatenate([none, *found]), np.concatenate([none, *scores]), (q_starts, q_ids), (v_starts, v_ids), k)
 
     return best(meet(index, n, asked, answer, pa.int64()), k)

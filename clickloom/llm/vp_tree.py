@@ -8,6 +8,7 @@ vectors form clusters or lie in few dimensions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.blocks import BLOCK_ROWS, SHARD_ROWS, best, blocks, meet, name_ids, shards, unpack, usable
+from clickloom.llm.blocks import BLOCK_ROWS, SHARD_ROWS, best, blocks, meet, most_vectors, name_ids, shards, unpack, usable
 
 LEAF = 128
 FACTOR = 1.0
@@ -48,26 +49,23 @@ def build(points: np.ndarray, leaf: int = LEAF) -> Node:
 
 
 def search(tree: Node, vectors: np.ndarray, points: np.ndarray, queries: np.ndarray, norm: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and scores of the k best vectors found per query (-1 where there are fewer).
+    """(query, row) of the k best vectors found per query and of all that score as much as the last of them.
 
     All queries of a block walk the tree together. First each goes down to the leaf it lies in, for a first k-th distance;
-    then the whole tree is walked, each subtree with the queries that cannot leave it out.
+    then the whole tree is walked, each subtree with the queries that cannot leave it out. A last walk with the final k-th
+    distances collects the rows, ties at the border included.
     """
     n = len(queries)
     scale = norm / np.linalg.norm(queries, axis=1)
     aimed = np.hstack([queries * scale[:, None], np.zeros((n, 1))])
     top = np.full((n, k), -np.inf)
-    rows = np.full((n, k), -1)
     limit = np.full(n, np.inf)
     done = np.full(n, -1)
     leaves: dict[int, int] = {}
 
     def look(node: Node, who: np.ndarray) -> None:
-        s = queries[who] @ vectors[node.rows].T
-        s = np.hstack([top[who], s])
-        r = np.hstack([rows[who], np.broadcast_to(node.rows, (len(who), len(node.rows)))])
-        pick = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        top[who], rows[who] = np.take_along_axis(s, pick, 1), np.take_along_axis(r, pick, 1)
+        s = np.hstack([top[who], queries[who] @ vectors[node.rows].T])
+        top[who] = -np.partition(-s, k - 1, axis=1)[:, :k]
         worst = top[who].min(axis=1)
         known = np.isfinite(worst)
         limit[who[known]] = np.sqrt(np.maximum(0, 2 * norm * norm - 2 * scale[who[known]] * worst[known]))
@@ -91,22 +89,34 @@ def search(tree: Node, vectors: np.ndarray, points: np.ndarray, queries: np.ndar
         descend(node.children[0], who[inner])
         descend(node.children[1], who[~inner])
 
-    def walk(node: Node, who: np.ndarray) -> None:
+    def walk(node: Node, who: np.ndarray, leaf: Callable[[Node, np.ndarray], None]) -> None:
         if not node.children:
-            who = who[done[who] != leaves.get(id(node), -2)]
-            if len(who):
-                look(node, who)
+            leaf(node, who)
             return
         far = distance(node, who)
         for child in (0, 1):
             near = below(node, who, far, child) <= factor * limit[who] + 1e-9 * norm
             if near.any():
-                walk(node.children[child], who[near])
+                walk(node.children[child], who[near], leaf)
+
+    def improve(node: Node, who: np.ndarray) -> None:
+        who = who[done[who] != leaves.get(id(node), -2)]
+        if len(who):
+            look(node, who)
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def collect(node: Node, who: np.ndarray) -> None:
+        q, r = np.nonzero(queries[who] @ vectors[node.rows].T >= bar[who][:, None])
+        found.append((who[q], node.rows[r]))
 
     everyone = np.arange(n)
     descend(tree, everyone)
-    walk(tree, everyone)
-    return rows, top
+    walk(tree, everyone, improve)
+    # Products that differ in their last digits only, by the order of addition, count as ties here.
+    bar = top.min(axis=1) - 1e-12 * norm * np.linalg.norm(queries, axis=1)
+    walk(tree, everyone, collect)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, row_id: str = "vec_id", vector: str = "embedding", factor: float = FACTOR, leaf: int = LEAF, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -119,15 +129,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
     rows = usable(vectors, row_id, vector).where(F.exists("vec", lambda c: c != 0))
     asked = usable(vectors.where(is_query), row_id, vector).where(F.exists("vec", lambda c: c != 0))
     index, n = shards(rows, k + 1, shard_rows)
+    many = most_vectors(rows)
 
     def answer(q: dict, s: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         (queries, q_starts, q_ids), (near, v_starts, v_ids) = unpack(q, dim), unpack(s, dim)
         length = np.linalg.norm(near, axis=1)
         norm = float(length.max())
         points = np.hstack([near, np.sqrt(np.maximum(0, norm * norm - length * length))[:, None]])
-        found, top = search(build(points, leaf), near, points, queries, norm, min(k + 1, len(near)), factor)
-        r, c = np.nonzero(found >= 0)
-        v = found[r, c]
+        r, v = search(build(points, leaf), near, points, queries, norm, min(k * many + 1, len(near)), factor)
         exact = (queries[r] * near[v]).sum(axis=1)  # the same order of addition wherever the vector lies
         return name_ids(r, v, exact, (q_starts, q_ids), (v_starts, v_ids), k)
 

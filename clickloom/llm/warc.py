@@ -144,7 +144,10 @@ def read_records(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES,
     ``range_bytes`` (or one longer record). A payload that does not match its digest raises an error.
     """
     part = F.floor(F.col("offset") / range_bytes)
-    rows = index.select("file", "offset", "length").repartition(F.col("file"), part).sortWithinPartitions("file", "offset")
+    # As many partitions as the records' bytes ask for: by the size of the index itself Spark would merge them into one.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, -(-int(total) // range_bytes))
+    rows = index.select("file", "offset", "length").repartition(parts, F.col("file"), part).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
