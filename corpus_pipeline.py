@@ -7,6 +7,9 @@ rule says otherwise, and an empty table runs through all stages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,30 +19,48 @@ from clickloom.plans.stage import written
 
 # Expected tokens of the mix as a part of all tokens; a value that holds too few for its target gives all it has.
 BUDGET = 1.0
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def extra_columns_aside(stage: Stage) -> Stage:
+    """The stage with the input's further columns under neutral names while it runs, so that none of its own can replace them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.toDF(*[c if c in DOCUMENTS else f"_extra{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run
 
 
+@extra_columns_aside
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those whose two best languages are too close to tell apart."""
     learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     return language_id.classify(docs, language_id.train(docs, learn=learn)).where("accepted").select(*docs.columns)
 
 
+@extra_columns_aside
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that stand in a document with a smaller id; ``n_chars`` follows the text."""
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+@extra_columns_aside
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Rows without an id stay unless they are near one with an id."""
-    groups = ngram_join.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("body").alias("body"))
-    unnamed = groups.where("doc_id IS NULL AND component_id IS NULL").select("doc_id", "body").distinct()
-    stay = written(first.union(unnamed), "stay")
-    same = docs["doc_id"].eqNullSafe(stay["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == stay["body"])
-    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates the document with the smallest id stays, rows without an id last; rows that agree in id and
+    text count once. Groups are made of rows, not of ids: different texts under one id part or join by their words alone."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = ngram_join.near_duplicates(keyed, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    named = keyed.select("_row", "doc_id").distinct().join(groups, "_row")
+    best = named.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("best"))
+    stay = written(best.select("best._row"), "stay")
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
+@extra_columns_aside
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents so that sources, languages and topics come near to flattened shares of the tokens."""
     marked = docs.withColumns({"_topic": topic(F.col("text")), "_tokens": mixing.word_count(F.col("text"))})
@@ -51,10 +72,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids (little-endian unsigned 32-bit integers), and whether decoding gives the text back."""
-    words = vocabulary()
-    full = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "lang", "text"), words), words)
-    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return full.select("doc_id", "source", "lang", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids", whole.alias("round_trip"))
+    full = byte_bpe.encode_checked(docs.select("doc_id", "source", "lang", "text"), vocabulary())
+    return full.select("doc_id", "source", "lang", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
@@ -65,7 +84,7 @@ STAGES = [
     ("byte-level BPE", encode_tokens),
 ]
 
-# The first stage compresses texts, which SQL cannot say; tests hold run() against a brute-force version.
+# The first stage compresses texts, which SQL cannot say; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
