@@ -13,7 +13,7 @@ from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import mirror, with_group
 from clickloom.session import fresh_dir
 from clickloom.sources import tables
-from clickloom.streaming import chunks, sinks, windows
+from clickloom.streaming import chunks, keyed_state, sinks, windows
 
 
 def sessions_sql(hours: str) -> str:
@@ -617,6 +617,17 @@ def st2_stream(t: Tables) -> DataFrame:
     return _no_zone(t.spark.read.parquet(out).drop("batch"))
 
 
+@query(
+    "st8_keyed_list_state",
+    f"SELECT window_end, user_id, k, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY window_end, user_id ORDER BY score DESC, k) AS rn FROM ({_windows_sql('1 DAY', '6 HOUR', closed=True)})) WHERE rn <= 3",
+)
+def st8(t: Tables) -> DataFrame:
+    scored = windows.sliding_score(_stream(t), "ts", ["user_id", "k"], "event_type", WEIGHTS, slide="6 hours")
+    out = fresh_dir(t.spark, "timed")
+    keyed_state.start_timed(keyed_state.timed_top_n(scored, ["user_id"], "k", "score"), out, fresh_dir(t.spark, "timed-state")).awaitTermination()
+    return _no_zone(t.spark.read.parquet(out))
+
+
 MEAN = (
     "SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end, event_type, round(avg(value), 6) AS mean, count(value) AS cnt "
     "FROM events GROUP BY 1, 2, 3"
@@ -656,12 +667,15 @@ def st6(t: Tables) -> DataFrame:
     return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-@query("st7_paced_stream", "SELECT count(*) AS cnt FROM events")
+@query("st7_paced_stream", "SELECT count(*) AS cnt, CAST(6 AS BIGINT) AS batches FROM events")
 def st7(t: Tables) -> DataFrame:
+    files = fresh_dir(t.spark, "paced-in")
+    t.events.select("event_id").repartition(6).write.parquet(files)
     pace = tables.trigger_options(max_per_trigger=1, fmt="parquet")
-    stream = tables.read_topic(t.spark, "parquet", pace["source"], t.events.schema, t.path("events") + "*")
-    path = sinks.run_to_table(stream.select("event_id"), "append", "paced")
-    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("cnt"))
+    stream = tables.read_topic(t.spark, "parquet", pace["source"], "event_id long", files)
+    out = fresh_dir(t.spark, "paced")
+    sinks.process_then_commit(stream, sinks.by_batch(out), fresh_dir(t.spark, "paced-state"), True).awaitTermination()
+    return t.spark.read.parquet(out).agg(F.count(F.lit(1)).alias("cnt"), F.countDistinct("batch").alias("batches"))
 
 
 @query(

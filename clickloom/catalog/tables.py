@@ -13,6 +13,7 @@ from clickloom.functions import numeric, text
 from clickloom.operators import features, monitoring, relational, search, summaries
 from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import with_group, within_group_pairs
+from clickloom.plans.stage import written
 from clickloom.session import fresh_dir
 from clickloom.sources import keyed, sinks, tables
 from clickloom.streaming import sinks as stream_sinks
@@ -583,10 +584,15 @@ def sl2(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100)
 
 
-@query("sl3_contiguous", "SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1")
+@query("sl3_contiguous", "SELECT l_orderkey, count(*) AS lines, true AS contiguous FROM lineitem GROUP BY 1")
 def sl3(t: Tables) -> DataFrame:
     rows = relational.contiguous(t.lineitem.select("l_orderkey", "l_partkey"), "l_orderkey", 8, ["l_partkey"])
-    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    # Written as it stands: the place of a row is read from the files, one per partition.
+    placed = written(rows.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "contiguous")
+    parts = placed.groupBy("l_orderkey", "part").agg(F.count(F.lit(1)).alias("n"), (F.max("at") - F.min("at") + 1).alias("span"))
+    return parts.groupBy("l_orderkey").agg(
+        F.sum("n").alias("lines"), ((F.max(F.col("span") - F.col("n")) == 0) & (F.max("part") - F.min("part") + 1 == F.count(F.lit(1)))).alias("contiguous")
+    )
 
 
 @query(

@@ -110,7 +110,7 @@ def tx7_calibration(t: Tables) -> DataFrame:
 
 @query("tx7_calibrated_report")
 def tx7_report(t: Tables) -> DataFrame:
-    rows = t.spread(t.conversations.select("conv_id", "turn", "text", "role"), "conv_id", "turn")
+    rows = t.conversations.select("conv_id", "turn", "text", "role")
     return calibration.calibrated_intents(rows, ["conv_id", "turn"], "text", "role")[1]
 
 
@@ -156,21 +156,21 @@ def tx8(t: Tables) -> DataFrame:
     return out.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "surface")
 
 
-@query("tx9_entity_ruler", f"WITH RECURSIVE {RULED} SELECT type, surface, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM k GROUP BY 1, 2")
+@query("tx9_entity_ruler", f'WITH RECURSIVE {RULED} SELECT doc_id, start, stop AS "end", type, surface, txt AS text FROM k')
 def tx9(t: Tables) -> DataFrame:
     out = entities.entity_ruler(t.texts, "doc_id", "text", gazetteer(t))
-    return out.groupBy("type", "surface").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("docs"))
+    return out.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "surface", "text")
 
 
 @query(
     "tx10_expand_parents",
-    f"WITH RECURSIVE {RULED} SELECT entity, type, parent, count(*) AS cnt FROM (SELECT txt AS entity, type, 0 AS parent FROM k UNION ALL SELECT string_split(surface, ' ')[1], 'word', 1 FROM k WHERE type = 'phrase') GROUP BY 1, 2, 3",
+    f"WITH RECURSIVE {RULED} SELECT doc_id, start, txt AS entity, type, 0 AS parent FROM k UNION ALL SELECT doc_id, start, string_split(surface, ' ')[1], 'word', 1 FROM k WHERE type = 'phrase'",
 )
 def tx10(t: Tables) -> DataFrame:
     gaz = gazetteer(t)
     found = entities.entity_ruler(t.texts, "doc_id", "text", gaz).select("doc_id", "start", "text", "type", "surface")
     out = entities.expand_parents(found, gaz, {"phrase": "word"})
-    return out.groupBy("entity", "type", "parent").agg(F.count(F.lit(1)).alias("cnt"))
+    return out.select("doc_id", F.col("start").cast("int").alias("start"), "entity", "type", "parent")
 
 
 @query(

@@ -75,7 +75,7 @@ def calibrated(df: DataFrame, table: DataFrame, score: str, by: Sequence[str] =
 
 
 def _margin_model(label_index: str, iters: int, width: int) -> Pipeline:
-    return Pipeline(stages=[HashingTF(inputCol="grams", outputCol="features", numFeatures=width), OneVsRest(classifier=LinearSVC(maxIter=iters, regParam=0.01), labelCol=label_index, parallelism=4)])
+    return Pipeline(stages=[HashingTF(inputCol="grams", outputCol="features", numFeatures=width), OneVsRest(classifier=LinearSVC(maxIter=iters, regParam=0.01), labelCol=label_index)])
 
 
 def class_scores(model, rows: DataFrame, classes: Sequence[str], keep: Sequence[str]) -> DataFrame:

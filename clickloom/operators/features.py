@@ -190,16 +190,18 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 
 def char_ids(df: DataFrame, id: str, text: str, vocab: DataFrame, max_len: int = 10) -> DataFrame:
-    """First ``max_len`` characters as ids, padded at the end; unknown and padding are both 0.
+    """First ``max_len`` characters of every row as ids, padded at the end; unknown and padding are both 0, so is a missing text.
 
-    The vocabulary holds single characters, so it has at most as many rows as there are code points.
+    The vocabulary holds single characters, so it has at most as many rows as there are code points; it comes to the rows as two
+    lists in the order of the ids, in which frequent characters are found early. Nothing is shuffled.
     """
-    first = df.select(id, F.posexplode(F.slice(F.split(F.col(text), ""), 1, max_len)).alias("pos", "ch"))
-    known = first.where(F.col("ch") != "").join(F.broadcast(vocab.select("ch", "char_id")), "ch", "left")
-    got = known.groupBy(id).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("char_id", F.lit(0)).alias("c")))).alias("_c"))
-    ids = F.transform("_c", lambda s: s["c"])
+    known = vocab.agg(F.array_sort(F.collect_list(F.struct("char_id", "ch"))).alias("_k"))
+    chars, numbers = known.select("_k.ch").scalar(), known.select("_k.char_id").scalar()
+    first = F.filter(F.slice(F.split(F.col(text), ""), 1, max_len), lambda c: c != "")
+    place = lambda c: F.array_position(F.col("_chars"), c).cast("int")
+    ids = F.transform(first, lambda c: F.coalesce(F.get(F.col("_numbers"), place(c) - 1), F.lit(0)).cast("int"))
     padded = F.slice(F.concat(F.coalesce(ids, F.array().cast("array<int>")), F.array_repeat(F.lit(0), max_len)), 1, max_len)
-    return df.select(id).distinct().join(got, id, "left").select(id, padded.alias("ids"))
+    return df.withColumns({"_chars": chars, "_numbers": numbers}).select(id, padded.alias("ids"))
 
 
 def rolling_stats(
