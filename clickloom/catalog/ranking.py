@@ -598,8 +598,8 @@ def st1_stream(t: Tables) -> DataFrame:
     f"(SELECT *, row_number() OVER (PARTITION BY window_end, user_id ORDER BY score DESC, k) AS rn FROM ({_windows_sql('1 DAY', '5 MINUTE')})) WHERE rn <= 3 GROUP BY 1",
 )
 def st2(t: Tables) -> DataFrame:
-    cells = windows.sliding_score(t.ev, "ts", ["user_id", "k"], "event_type", WEIGHTS)
-    best = windows.window_top_n(cells, ["user_id"], "k", "score")
+    runs = windows.sliding_score(t.ev, "ts", ["user_id", "k"], "event_type", WEIGHTS, runs=True)
+    best = windows.window_top_n(runs, ["user_id"], "k", "score")
     return best.groupBy("window_end").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("score").alias("score"),
         F.sum(F.col("score") * (F.col("k") + 1) * (F.col("user_id") + 1) * F.col("rn")).alias("checksum"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.relational import weight_of
@@ -35,33 +35,75 @@ def sliding_score(
     size: str = "1 day",
     slide: str = "5 minutes",
     delay: str | None = "0 seconds",
+    runs: bool = False,
 ) -> DataFrame:
     """Weighted score per key in every sliding window that holds one of its rows: (window_end, keys, score).
 
-    In batch, rows are first summed into panes one slide long, so a key is copied to its windows once
-    per pane instead of once per row. A stream uses Spark's window; its state is keys x windows, with
-    size / slide windows open per key.
+    In batch, rows are first summed into panes one slide long, and a key's windows of one score in a row form a run that is
+    opened into windows where it stands: no window row is shuffled or kept. With ``runs`` the runs themselves come back, (since,
+    until, keys, score) with window ends from ``since`` to before ``until``; ``window_top_n`` takes them. A stream uses Spark's
+    window; its state is keys x windows, with size / slide windows open per key.
     """
     score = F.sum(weight_of(action, weights)).alias("score")
     if df.isStreaming:
         out = _watermarked(df, ts, delay).groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(score)
         return out.select(F.col("w.end").alias("window_end"), *keys, "score", "w")
+    held, step = _lengths(df, size, slide)
     panes = df.groupBy(F.window(ts, slide).alias("_p"), *keys).agg(score)
-    # A key now has at most one row per pane, however many events it had. Placed by key, its windows are
-    # summed where they are made, and the many window rows are never shuffled.
+    # Placed by key, all that follows happens where the key is.
     panes = panes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    last = F.col("_p.start") + F.expr(f"interval {size}")
-    ends = F.explode(F.sequence(F.col("_p.end"), last, F.expr(f"interval {slide}"))).alias("window_end")
-    return panes.select(ends, *keys, "score").groupBy("window_end", *keys).agg(F.sum("score").alias("score"))
+    enters = F.struct(F.col("_p.end").alias("_at"), F.col("score").alias("_s"), F.lit(1).alias("_n"))
+    leaves = F.struct((F.col("_p.end") + _span(held)).alias("_at"), F.lit(None).cast(panes.schema["score"].dataType).alias("_s"), F.lit(0).alias("_n"))
+    turns = panes.select(*keys, F.explode(F.array(enters, leaves)).alias("_t")).groupBy(*keys, "_t._at").agg(F.sum("_t._s").alias("_s"), F.sum("_t._n").alias("_n"))
+    by = ", ".join(f"`{k}`" for k in keys)
+    # The panes of the newest window, summed anew at every turn: sums of fractions must not drift.
+    inside = f"OVER (PARTITION BY {by} ORDER BY _at RANGE BETWEEN INTERVAL {held - step} MICROSECONDS PRECEDING AND CURRENT ROW)"
+    until = F.expr(f"lead(_at) OVER (PARTITION BY {by} ORDER BY _at)").alias("until")
+    found = turns.select(F.col("_at").alias("since"), until, *keys, F.expr(f"sum(_s) {inside}").alias("score"), F.expr(f"sum(_n) {inside}").alias("_n"))
+    found = found.where("_n > 0").drop("_n")
+    return found if runs else opened(found, slide)
 
 
-def window_top_n(scored: DataFrame, by: Sequence[str], item: str, score: str, n: int = 3) -> DataFrame:
+def _lengths(df: DataFrame, size: str, slide: str) -> tuple[int, int]:
+    """Microseconds that a pane stays in windows, a whole number of slides, and those of a slide."""
+    r = df.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {size}) AS a, unix_micros(timestamp_seconds(0) + interval {slide}) AS b").first()
+    return r.a // r.b * r.b, r.b
+
+
+def _span(micros: int) -> Column:
+    return F.expr(f"INTERVAL {micros} MICROSECONDS")
+
+
+def opened(runs: DataFrame, slide: str) -> DataFrame:
+    """One row per window of every run: (window_end, the other columns)."""
+    ends = F.sequence(F.col("since"), F.col("until") - _span(1), F.expr(f"interval {slide}"))
+    return runs.select(F.explode(ends).alias("window_end"), *[c for c in runs.columns if c not in ("since", "until")])
+
+
+def window_top_n(scored: DataFrame, by: Sequence[str], item: str, score: str, n: int = 3, size: str = "1 day", slide: str = "5 minutes") -> DataFrame:
     """Best ``n`` items per window and key of a batch, or of the closed windows of one micro-batch.
 
     In append mode all rows of a window leave in the batch in which it closes, so ranking that batch
-    ranks whole windows; see ``start_window_top_n``.
+    ranks whole windows; see ``start_window_top_n``. Runs of ``sliding_score`` (of that ``size`` and ``slide``) are cut wherever a run
+    of the same ``by`` begins or ends: between two cuts the order stays, so it is made once, and only the best are opened into windows.
     """
-    return top_n(scored, ["window_end", *by], [f"-{score}", item], n)
+    if "since" not in scored.columns:
+        return top_n(scored, ["window_end", *by], [f"-{score}", item], n)
+    held, _ = _lengths(scored, size, slide)
+    # A run is no longer than a block of time, so it lies in one or two of them; a block has at most size / slide cuts.
+    first = scored.withColumn("_b0", F.window("since", f"{held} microseconds").start)
+    both = first.withColumn("_last", F.col("until") - _span(1)).withColumn("_b1", F.window("_last", f"{held} microseconds").start)
+    rows = both.withColumn("_b", F.explode(F.array_distinct(F.array("_b0", "_b1")))).drop("_b0", "_b1", "_last")
+    rows = rows.withColumns({"since": F.greatest("since", "_b"), "until": F.least("until", F.col("_b") + _span(held))})
+    cuts = rows.select(*by, "_b", F.explode(F.array("since", "until")).alias("_c")).distinct()
+    cuts = cuts.groupBy(*by, "_b").agg(F.sort_array(F.collect_list("_c")).alias("_cuts"))
+    cuts = cuts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_cb"), "_cuts")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col("_b") == F.col("_cb")]
+    inner = F.filter("_cuts", lambda c: (c >= F.col("since")) & (c <= F.col("until")))
+    pieces = rows.join(cuts, same).withColumn("_cuts", inner).drop("_cb", *[f"_by{i}" for i in range(len(by))])
+    ends = F.arrays_zip(F.slice("_cuts", 1, F.size("_cuts") - 1).alias("since"), F.slice("_cuts", 2, F.size("_cuts") - 1).alias("until"))
+    pieces = pieces.select(F.inline(ends).alias("since", "until"), *by, item, score)
+    return opened(top_n(pieces, [*by, "since"], [f"-{score}", item], n), slide)
 
 
 def tumbling_mean(df: DataFrame, ts: str, key: str, value: str, size: str = "15 minutes", delay: str | None = "0 seconds") -> DataFrame:
