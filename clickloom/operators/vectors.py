@@ -19,48 +19,61 @@ from clickloom.plans.skew import hot_keys, salted_join
 from clickloom.plans.stage import written
 from clickloom.session import fresh_dir
 
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 128
 VECTOR_BLOCK = 8_192
 EXACT_ROWS = 65_536
+STRIP = 64
 MOST_CENTRES = 65_536
 
 
-def _scores(qm: np.ndarray, vm: np.ndarray, k: int, metric: str, same: np.ndarray | None) -> np.ndarray:
-    """Scores of all vectors for each query, smaller is better; infinite where they cannot be among the ``k`` best."""
+def _near(score: np.ndarray, k: int, margin: np.ndarray | float) -> np.ndarray:
+    """Flat places of all scores that can be among the ``k`` smallest of their row, given how far a score may be off.
+
+    The k-th smallest of the smallest scores of strips of a row is no less than its k-th smallest score; it takes one pass.
+    """
+    n = score.shape[1]
+    strips = max(min(k, n), n // STRIP)
+    least = np.fmin.reduceat(score, np.arange(strips) * n // strips, axis=1)
+    last = min(k, n) - 1
+    bound = np.partition(least, last, axis=1)[:, last]
+    bound[np.isnan(bound)] = np.inf
+    return np.flatnonzero(score <= (bound + margin)[:, None])
+
+
+def _best(qm: np.ndarray, qid: np.ndarray, vm: np.ndarray, vid: np.ndarray, k: int, metric: str, same_table: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the ``k`` best vectors per query, smaller is better, ties to the smaller id."""
+    if metric == "cosine":
+        qm = qm / np.linalg.norm(qm, axis=1, keepdims=True)
+        vm = vm / np.linalg.norm(vm, axis=1, keepdims=True)
+    score = qm @ vm.T
+    margin = 2e-9
     if metric == "l2":
         q2, v2 = (qm**2).sum(1), (vm**2).sum(1)
-        score = q2[:, None] + v2[None, :] - 2 * qm @ vm.T
-        if same is not None:
-            score[same] = np.inf
+        score *= -2
+        score += v2[None, :]
+        score += q2[:, None]
         # Expanding the square loses digits: all that can be among the k best are taken again, exactly.
-        last = min(k, score.shape[1]) - 1
-        edge = np.partition(score, last, axis=1)[:, last] + 1e-13 * qm.shape[1] * (q2 + v2.max())
-        near = score <= edge[:, None]
-        score[~near] = np.inf
-        rows, cols = np.nonzero(near & np.isfinite(score))
+        largest = q2 + v2[np.isfinite(v2)].max(initial=0.0)
+        margin = 1e-13 * qm.shape[1] * largest + 1e-8 * (1 + np.sqrt(largest))
+    else:
+        np.negative(score, out=score)
+    if same_table:
+        # Equal ids are found by order, without a comparison of all with all.
+        order = np.argsort(vid, kind="stable")
+        low, high = np.searchsorted(vid, qid, "left", order), np.searchsorted(vid, qid, "right", order)
+        for r in np.flatnonzero(high > low):
+            score[r, order[low[r] : high[r]]] = np.inf
+    rows, cols = np.divmod(_near(score, k, margin), score.shape[1])
+    picked = score[rows, cols]
+    # Scores that are no number or infinite are no neighbours.
+    fine = np.isfinite(picked)
+    rows, cols, picked = rows[fine], cols[fine], picked[fine]
+    if metric == "l2":
         for i in range(0, len(rows), EXACT_ROWS):
             r, c = rows[i : i + EXACT_ROWS], cols[i : i + EXACT_ROWS]
-            score[r, c] = np.sqrt(((qm[r] - vm[c]) ** 2).sum(1))
-    else:
-        if metric == "cosine":
-            qm = qm / np.linalg.norm(qm, axis=1, keepdims=True)
-            vm = vm / np.linalg.norm(vm, axis=1, keepdims=True)
-        score = -(qm @ vm.T)
-    score = np.round(score, 9)
-    if same is not None:
-        score[same] = np.inf
-    return score
-
-
-def _best(qm: np.ndarray, qid: np.ndarray, vm: np.ndarray, vid: np.ndarray, k: int, metric: str, same_table: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the ``k`` best vectors per query, ties to the smaller id."""
-    score = _scores(qm, vm, k, metric, qid[:, None] == vid[None, :] if same_table else None)
+            picked[i : i + EXACT_ROWS] = np.sqrt(((qm[r] - vm[c]) ** 2).sum(1))
+    picked = np.round(picked, 9)
     place_of = np.unique(vid, return_inverse=True)[1]
-    # Everything up to the k-th score of its query, ties included; only that little is sorted.
-    last = min(k, score.shape[1]) - 1
-    kth = np.partition(score, last, axis=1)[:, last]
-    rows, cols = np.nonzero((score <= kth[:, None]) & np.isfinite(score))
-    picked = score[rows, cols]
     order = np.lexsort((place_of[cols], picked, rows))
     rows, cols, picked = rows[order], cols[order], picked[order]
     keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
