@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions.numeric import stable_uniform
-from clickloom.functions.text import ngrams_of, words
+from clickloom.functions.text import words
 from clickloom.plans.ranks import exact_quantiles
 from clickloom.plans.scans import OrderedRows, running_sum
 from clickloom.plans.skew import salted_join, with_group
 
+GRAM_ROWS = 10_000
+
 
 def corr_cov(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("pearson"), F.covar_samp(x, y).alias("covariance"))
@@ -164,10 +170,68 @@ def ordered_target(
     return scan.rows().withColumn(name, value).drop("_u", "_sum", "_n")
 
 
+def _grams_in(text: str, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The different n-grams of a text and their counts, per length; a gram is a row of code points."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    for n in range(low, min(high, len(points)) + 1):
+        # Equal grams are found on numbers, three code points in each.
+        cells = np.lib.stride_tricks.sliding_window_view(points, n)
+        packed = [sum(cells[:, j].astype(np.int64) << (21 * (j - i)) for j in range(i, min(i + 3, n))) for i in range(0, n, 3)]
+        if len(packed) == 1:
+            _, first, counts = np.unique(packed[0], return_index=True, return_counts=True)
+        else:
+            _, first, counts = np.unique(np.stack(packed, axis=1), axis=0, return_index=True, return_counts=True)
+        yield cells[first], counts
+
+
 def char_ngrams(df: DataFrame, id: str, text: str, low: int = 1, high: int = 3) -> DataFrame:
-    """Counts of the character n-grams of each text: (id, gram, cnt)."""
-    grams = df.select(id, F.explode(ngrams_of(F.col(text), low, high)).alias("gram"))
-    return grams.groupBy(id, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    """Counts of the character n-grams of each text: (id, gram, cnt).
+
+    Texts are placed by their id and counted one by one; what leaves a text are its different grams, and no row per character is
+    made, shuffled or kept. Texts of one id come after each other and are counted together.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(id, text).where(F.col(text).isNotNull()).repartition(max(parts, 4 * df.sparkSession.sparkContext.defaultParallelism), id).sortWithinPartitions(id)
+    schema = T.StructType([df.schema[id], T.StructField("gram", T.StringType()), T.StructField("cnt", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, more, of = None, None, None
+
+        def out(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            pieces = [(list(more), list(more.values()))] if more is not None else ((_words(g), c) for g, c in _grams_in(held, low, high))
+            for grams, counts in pieces:
+                for i in range(0, len(grams), GRAM_ROWS):
+                    part = pa.array(grams[i : i + GRAM_ROWS], pa.string())
+                    ids = pa.array([of], kind).take(pa.array(np.zeros(len(part), np.int64)))
+                    yield pa.RecordBatch.from_arrays([ids, part, pa.array(counts[i : i + GRAM_ROWS], pa.int64())], names=[id, "gram", "cnt"])
+
+        def add(t: str) -> None:
+            for grams, counts in _grams_in(t, low, high):
+                more.update(dict(zip(_words(grams), counts.tolist(), strict=True)))
+
+        for b in batches:
+            kind = b.column(0).type
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held is not None and i == of:
+                    if more is None:
+                        more = Counter()
+                        add(held)
+                    add(t)
+                    continue
+                if held is not None:
+                    yield from out(kind)
+                held, more, of = t, None, i
+        if held is not None:
+            yield from out(kind)
+
+    return placed.mapInArrow(run, schema)
+
+
+def _words(grams: np.ndarray) -> list[str]:
+    """Rows of code points as strings."""
+    n = grams.shape[1] if len(grams) else 1
+    whole = np.ascontiguousarray(grams).tobytes().decode("utf-32-le")
+    return [whole[i : i + n] for i in range(0, len(whole), n)]
 
 
 def hashed_text(df: DataFrame, text: str, size: int = 4096) -> DataFrame:
