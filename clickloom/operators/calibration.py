@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, OneVsRest
+import pyarrow as pa
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import HashingTF, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions.numeric import stable_uniform
 from clickloom.operators.evaluation import classification_report
@@ -74,15 +74,32 @@ def calibrated(df: DataFrame, table: DataFrame, score: str, by: Sequence[str] =
     return df.withColumn("_code", score_code(F.col(score), bins)).join(filled, [*by, "_code"], "left").drop("_code")
 
 
-def _margin_model(label_index: str, iters: int, width: int) -> Pipeline:
-    return Pipeline(stages=[HashingTF(inputCol="grams", outputCol="features", numFeatures=width), OneVsRest(classifier=LinearSVC(maxIter=iters, regParam=0.01), labelCol=label_index)])
+def _margin_model(rows: DataFrame, label_index: str, iters: int, width: int, classes: Sequence[str]) -> tuple[HashingTF, np.ndarray, np.ndarray]:
+    """One linear margin per class against all others: the hashing, a row of weights and an intercept per class."""
+    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=width)
+    data = hashing.transform(rows.select("grams", label_index))
+    svm = LinearSVC(maxIter=iters, regParam=0.01, labelCol="_is")
+    fits = [svm.fit(data.withColumn("_is", (F.col(label_index) == i).cast("double"))) for i in range(len(classes))]
+    return hashing, np.array([m.coefficients.toArray() for m in fits]).reshape(len(fits), width), np.array([m.intercept for m in fits])
 
 
-def class_scores(model, rows: DataFrame, classes: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(*keep, class, place, score): one row per class with the row's margin."""
-    margins = vector_to_array("rawPrediction")
-    named = F.transform(F.lit(list(classes)), lambda c, i: F.struct(c.alias("class"), i.alias("place"), F.get(margins, i).alias("score")))
-    return model.transform(rows).select(*keep, F.inline(named))
+def class_scores(model: tuple[HashingTF, np.ndarray, np.ndarray], rows: DataFrame, classes: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(*keep, class, place, score): one row per class with the row's margin. Only the weights go to the tasks, no fitted model."""
+    hashing, weights, intercepts = model
+    hashed = hashing.transform(rows.select(*keep, "grams")).select(*keep, "features")
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, places, counts = b.column("features").flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(places.offsets.to_numpy()))
+            at, x = places.flatten().to_numpy(), counts.flatten().to_numpy()
+            found = np.stack([np.bincount(row, w[at] * x, b.num_rows) for w in weights], axis=1) + intercepts
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(weights), pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], names=[*keep, "margins"])
+
+    scored = hashed.mapInArrow(margins, T.StructType([*[hashed.schema[c] for c in keep], T.StructField("margins", T.ArrayType(T.DoubleType()))]))
+    named = F.transform(F.lit(list(classes)), lambda c, i: F.struct(c.alias("class"), i.alias("place"), F.get("margins", i).alias("score")))
+    return scored.select(*keep, F.inline(named))
 
 
 def cross_fitted_scores(rows: DataFrame, id: Sequence[str], label: str, folds: int, seed: int, iters: int, width: int, classes: Sequence[str]) -> DataFrame:
@@ -90,7 +107,7 @@ def cross_fitted_scores(rows: DataFrame, id: Sequence[str], label: str, folds: i
     marked = rows.withColumn("_fold", F.floor(stable_uniform(seed, *[F.col(c) for c in id]) * folds).cast("int"))
     out = None
     for fold in range(folds):
-        model = _margin_model("_label", iters, width).fit(marked.where(F.col("_fold") != fold))
+        model = _margin_model(marked.where(F.col("_fold") != fold), "_label", iters, width, classes)
         part = class_scores(model, marked.where(F.col("_fold") == fold), classes, [*id, label])
         out = part if out is None else out.unionByName(part)
     return out
@@ -112,7 +129,7 @@ def calibrated_intents(df: DataFrame, id: Sequence[str], text: str, label: str,
     train, test = index.transform(rows.where("NOT _held")), index.transform(rows.where("_held"))
     crossed = written(cross_fitted_scores(train, id, label, folds, seed, iters, width, classes), "cross-fitted")
     table = calibration_table(crossed.withColumn("_hit", (F.col("class") == F.col(label)).cast("int")), "score", "_hit", ["class"])
-    final = _margin_model("_label", iters, width).fit(train)
+    final = _margin_model(train, "_label", iters, width, classes)
     scored = calibrated(class_scores(final, test, classes, [*id, label]), table, "score", ["class"])
     best = F.max_by("class", F.struct("probability", -F.col("place"))).alias("prediction")
     whole = F.sum("probability")
