@@ -577,6 +577,8 @@ def st1(t: Tables) -> DataFrame:
 
 def _stream(t: Tables) -> DataFrame:
     raw = tables.read_topic(t.spark, "parquet", {}, t.events.schema, t.path("events") + "*")
+    # One large file comes as few splits; its rows go to all cores before their payload is parsed.
+    raw = raw.repartition(4 * t.spark.sparkContext.defaultParallelism, "event_id")
     return raw.withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).drop("props")
 
 
@@ -587,8 +589,9 @@ def _no_zone(df: DataFrame) -> DataFrame:
 
 @query("st1_sliding_score_stream", _windows_sql("1 DAY", "1 HOUR", closed=True))
 def st1_stream(t: Tables) -> DataFrame:
-    scored = windows.sliding_score(_stream(t), "ts", ["user_id", "k"], "event_type", WEIGHTS, slide="1 hour").drop("w")
-    return _no_zone(t.spark.read.parquet(sinks.run_to_table(scored, "append", "sliding")))
+    scored = windows.sliding_score(_stream(t), "ts", ["user_id", "k"], "event_type", WEIGHTS, slide="1 hour", runs=True)
+    closed = windows.closed_windows(fresh_dir(t.spark, "sliding-rows"), ["user_id", "k"], slide="1 hour")
+    return _no_zone(t.spark.read.parquet(sinks.run_to_table(scored, "append", "sliding", step=closed)).drop("batch"))
 
 
 # One row per window stands for all its ranked rows, of which there are millions: their number, scores and a sum over all columns.
@@ -611,9 +614,9 @@ def st2(t: Tables) -> DataFrame:
     f"SELECT window_end, user_id, k, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY window_end, user_id ORDER BY score DESC, k) AS rn FROM ({_windows_sql('1 DAY', '1 HOUR', closed=True)})) WHERE rn <= 3",
 )
 def st2_stream(t: Tables) -> DataFrame:
-    scored = windows.sliding_score(_stream(t), "ts", ["user_id", "k"], "event_type", WEIGHTS, slide="1 hour").drop("w")
+    scored = windows.sliding_score(_stream(t), "ts", ["user_id", "k"], "event_type", WEIGHTS, slide="1 hour", runs=True)
     out = fresh_dir(t.spark, "topn")
-    sinks.start_window_top_n(scored, ["user_id"], "k", "score", 3, out, fresh_dir(t.spark, "topn-state")).awaitTermination()
+    sinks.start_window_top_n(scored, ["user_id"], "k", "score", 3, out, fresh_dir(t.spark, "topn-state"), slide="1 hour").awaitTermination()
     return _no_zone(t.spark.read.parquet(out).drop("batch"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators.recommend import interest
 from clickloom.session import fresh_dir
-from clickloom.streaming.windows import window_top_n
+from clickloom.streaming.windows import closed_windows, window_top_n
 
 
 def start_sink(
@@ -44,13 +44,18 @@ def by_batch(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def start_window_top_n(
-    scored: DataFrame, by: Sequence[str], item: str, score: str, n: int, path: str, checkpoint: str, available_now: bool = True
-) -> StreamingQuery:
-    """Top ``n`` per window and key, written once the watermark has passed the window's end."""
+    scored: DataFrame, by: Sequence[str], item: str, score: str, n: int, path: str, checkpoint: str, available_now: bool = True,
+    size: str = "1 day", slide: str = "5 minutes",
+) -> StreamingQuery:
+    """Top ``n`` per window and key, written once the watermark has passed the window's end.
+
+    A stream made by ``sliding_score`` with ``runs`` keeps its rows beside the checkpoint and is ranked as runs of that ``size`` and ``slide``.
+    """
     write = by_batch(path)
+    closed = closed_windows(f"{checkpoint}-rows", [*by, item], size, slide, runs=True) if "_closes" in scored.columns else lambda df, _batch: df
 
     def rank(df: DataFrame, batch: int) -> None:
-        write(window_top_n(df, by, item, score, n), batch)
+        write(window_top_n(closed(df, batch), by, item, score, n, size, slide), batch)
 
     return process_then_commit(scored, rank, checkpoint, available_now)
 
@@ -84,10 +89,18 @@ class KeyedStore:
             df.withColumn("expires_at", expires_at).write.mode("overwrite").parquet(target)
 
 
-def run_to_table(df: DataFrame, mode: str, purpose: str, fn: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Drain a finite stream into a new folder of the shared directory and return its path."""
+def run_to_table(
+    df: DataFrame, mode: str, purpose: str, fn: Callable[[DataFrame, int], None] | None = None, step: Callable[[DataFrame, int], DataFrame] | None = None
+) -> str:
+    """Drain a finite stream into a new folder of the shared directory and return its path.
+
+    ``step`` makes the rows to write of each micro-batch, which then has a folder of its own (column ``batch``).
+    """
     spark = df.sparkSession
     out, state = fresh_dir(spark, purpose), fresh_dir(spark, f"{purpose}-state")
+    if step is not None:
+        write = by_batch(out)
+        fn = lambda b, i: write(step(b, i), i)
     if fn is None and mode == "append":
         q = start_sink(df, mode, "parquet", out, state)
     else:

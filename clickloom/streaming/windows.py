@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators.relational import weight_of
@@ -42,14 +42,28 @@ def sliding_score(
     In batch, rows are first summed into panes one slide long, and a key's windows of one score in a row form a run that is
     opened into windows where it stands: no window row is shuffled or kept. With ``runs`` the runs themselves come back, (since,
     until, keys, score) with window ends from ``since`` to before ``until``; ``window_top_n`` takes them. A stream uses Spark's
-    window; its state is keys x windows, with size / slide windows open per key.
+    window; its state is keys x windows, with size / slide windows open per key. With ``runs`` a stream keeps no key as state: its
+    rows come at once as (_at, keys, score), beside one row per window that the watermark closes, which has its end in ``_closes``;
+    ``closed_windows`` makes the windows of both.
     """
-    score = F.sum(weight_of(action, weights)).alias("score")
+    weight = weight_of(action, weights)
     if df.isStreaming:
-        out = _watermarked(df, ts, delay).groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(score)
+        timed = _watermarked(df, ts, delay)
+        if runs:
+            rows = timed.where(F.col(ts).isNotNull()).select(F.col(ts).alias("_at"), *keys, weight.alias("score"), F.lit(None).cast("timestamp").alias("_closes"))
+            ends = timed.groupBy(F.window(ts, size, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+            nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("_at", *keys, "score")]
+            return rows.union(ends.select(*nothing, F.col("w.end").alias("_closes")))
+        out = timed.groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(F.sum(weight).alias("score"))
         return out.select(F.col("w.end").alias("window_end"), *keys, "score", "w")
-    held, step = _lengths(df, size, slide)
-    panes = df.groupBy(F.window(ts, slide).alias("_p"), *keys).agg(score)
+    found = _runs(df, ts, keys, weight, size, slide)
+    return found if runs else opened(found, slide)
+
+
+def _runs(df: DataFrame, ts: str, keys: Sequence[str], weight: Column, size: str, slide: str) -> DataFrame:
+    """The windows of every key that hold a row, as runs of one score: (since, until, keys, score)."""
+    held, step = _lengths(df.sparkSession, size, slide)
+    panes = df.groupBy(F.window(ts, slide).alias("_p"), *keys).agg(F.sum(weight).alias("score"))
     # Placed by key, all that follows happens where the key is.
     panes = panes.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     enters = F.struct(F.col("_p.end").alias("_at"), F.col("score").alias("_s"), F.lit(1).alias("_n"))
@@ -60,13 +74,40 @@ def sliding_score(
     inside = f"OVER (PARTITION BY {by} ORDER BY _at RANGE BETWEEN INTERVAL {held - step} MICROSECONDS PRECEDING AND CURRENT ROW)"
     until = F.expr(f"lead(_at) OVER (PARTITION BY {by} ORDER BY _at)").alias("until")
     found = turns.select(F.col("_at").alias("since"), until, *keys, F.expr(f"sum(_s) {inside}").alias("score"), F.expr(f"sum(_n) {inside}").alias("_n"))
-    found = found.where("_n > 0").drop("_n")
-    return found if runs else opened(found, slide)
+    return found.where("_n > 0").drop("_n")
 
 
-def _lengths(df: DataFrame, size: str, slide: str) -> tuple[int, int]:
+def closed_windows(path: str, keys: Sequence[str], size: str = "1 day", slide: str = "5 minutes", runs: bool = False) -> Callable[[DataFrame, int], DataFrame]:
+    """The windows that close with a micro-batch of a stream made by ``sliding_score`` with ``runs``, of that ``size`` and ``slide``.
+
+    The rows of every micro-batch are kept under ``path``, each once and not once per window; a batch that comes again replaces its
+    own. A window that closes now has all its rows in the batches so far, and only those of its time are read. Rows that come
+    when their window has closed are late for it, not for later ones.
+    """
+
+    def step(df: DataFrame, batch: int) -> DataFrame:
+        spark = df.sparkSession
+        held, one = _lengths(spark, size, slide)
+        if held != _lengths(spark, size, size)[1]:
+            raise ValueError("the size of a window must be a whole number of slides")
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        kept = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(path).where(F.col("batch") <= batch)
+        low, high = kept.where((F.col("batch") == batch) & F.col("_closes").isNotNull()).agg(F.min("_closes"), F.max("_closes")).first()
+        rows = kept.where(F.col("_at").isNotNull())
+        if low is None:
+            found = _runs(rows.where(F.lit(False)), "_at", keys, F.col("score"), size, slide)
+            return found if runs else opened(found, slide)
+        first, last = F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")
+        found = _runs(rows.where((F.col("_at") >= first - _span(held)) & (F.col("_at") < last)), "_at", keys, F.col("score"), size, slide)
+        found = found.withColumns({"since": F.greatest("since", first), "until": F.least("until", last + _span(one))}).where("since < until")
+        return found if runs else opened(found, slide)
+
+    return step
+
+
+def _lengths(spark: SparkSession, size: str, slide: str) -> tuple[int, int]:
     """Microseconds that a pane stays in windows, a whole number of slides, and those of a slide."""
-    r = df.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {size}) AS a, unix_micros(timestamp_seconds(0) + interval {slide}) AS b").first()
+    r = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + interval {size}) AS a, unix_micros(timestamp_seconds(0) + interval {slide}) AS b").first()
     return r.a // r.b * r.b, r.b
 
 
@@ -89,7 +130,7 @@ def window_top_n(scored: DataFrame, by: Sequence[str], item: str, score: str, n:
     """
     if "since" not in scored.columns:
         return top_n(scored, ["window_end", *by], [f"-{score}", item], n)
-    held, _ = _lengths(scored, size, slide)
+    held, _ = _lengths(scored.sparkSession, size, slide)
     # A run is no longer than a block of time, so it lies in one or two of them; a block has at most size / slide cuts.
     first = scored.withColumn("_b0", F.window("since", f"{held} microseconds").start)
     both = first.withColumn("_last", F.col("until") - _span(1)).withColumn("_b1", F.window("_last", f"{held} microseconds").start)
