@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from clickloom.llm.batches import short_batches
 
-CACHED_PIECES = 100_000
-CACHED_PAIRS = 200_000
+CACHED_PIECES = 400_000
+CACHED_PAIRS = 400_000
 
 
 class Vocabulary(NamedTuple):
@@ -79,6 +80,35 @@ def load(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(tokens, left, right, shorter, pattern)
 
 
+class _Pieces(dict):
+    """Packed ids by piece. Pieces that are tokens stay; of the others as many are kept as allowed, twice at most.
+
+    When the newest are full they become the older ones, which are asked before a piece is merged again.
+    """
+
+    def __init__(self, tokens: list[bytes], merge: Callable[[bytes], list[int]], most: int):
+        self.whole, self.older, self.merge, self.most = {}, {}, merge, most
+        for i, t in enumerate(tokens):
+            try:
+                self.whole[t.decode()] = struct.pack("<I", i)
+            except UnicodeDecodeError:  # no text has such a piece
+                continue
+        self.update(self.whole)
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.merge(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self) - len(self.whole) >= self.most:
+                self.older = {k: v for k, v in self.items() if k not in self.whole}
+                self.clear()
+                self.update(self.whole)
+            self[piece] = packed
+        return packed
+
+
 class Encoder:
     """Texts to token ids, packed as little-endian unsigned 32-bit integers."""
 
@@ -93,8 +123,8 @@ class Encoder:
             self.machine.add_word(t.decode("latin-1"), i)
         self.machine.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.cached_pieces, self.cached_pairs = cached_pieces, cached_pairs
+        self.pieces = _Pieces(self.tokens, self.merge, max(1, cached_pieces // 2))
+        self.cached_pairs = cached_pairs
 
     def _fit(self, a: int, b: int) -> bool:
         pair = a * len(self.tokens) + b
@@ -130,19 +160,18 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        known = self.pieces
-        out = []
-        for piece in self.split(text):
-            packed = known.get(piece)
-            if packed is None:
-                ids = self.merge(piece.encode())
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(piece) <= 64:
-                    if len(known) >= self.cached_pieces:
-                        known.clear()
-                    known[piece] = packed
-            out.append(packed)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+
+
+_ready: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, vocabulary: tuple) -> Encoder:
+    """The encoder of a Python worker, kept with what it remembers from task to task; another vocabulary replaces it."""
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = Encoder(Vocabulary(*vocabulary))
+    return _ready[name]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -152,10 +181,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
     The vocabulary is broadcast; its size is fixed by the file.
     """
     kept = [c for c in docs.columns if c != "ids"]
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
+    shared, name = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*shared.value))
+        encoder = _encoder(name, shared.value)
         for b in batches:
             ids = pa.array((encoder.encode(t.as_py() or "") for t in b.column(text)), pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), ids], names=[*kept, "ids"])
@@ -186,10 +215,10 @@ def encode_checked(docs: DataFrame, vocabulary: Vocabulary, text: str = "text",
     Both happen in one pass, text by text, so neither texts nor decoded bytes go back to the JVM. A null text counts as empty.
     """
     kept = [c for c in docs.columns if c not in (text, ids, check)]
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))
+    shared, name = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*shared.value))
+        encoder = _encoder(name, shared.value)
         tokens = encoder.tokens
         for b in batches:
             packed, same = [], []
