@@ -13,7 +13,7 @@ from clickloom.functions.numeric import stable_uniform
 from clickloom.operators.relational import enrich, history_before, join_labels, weight_of
 from clickloom.plans.ranks import numbered, top_n
 from clickloom.plans.scans import OrderedRows, last_known, next_known
-from clickloom.plans.skew import with_blocks, with_group
+from clickloom.plans.skew import cut_groups, with_group
 from clickloom.session import pair_block
 
 
@@ -71,9 +71,13 @@ def query_group_sizes(df: DataFrame, query: str, partitions: int) -> DataFrame:
 def pairwise(df: DataFrame, query: str, label: str, features: Sequence[str], id: str) -> DataFrame:
     """Preference pairs inside a query: feature differences of a better and a worse row.
 
-    Each row is compared with the rows of other labels only; large queries are joined block by block.
+    Each row is compared with the rows of other labels only; large queries are joined block by block. Without large queries both
+    sides of the join are the same rows by query, which Spark shuffles once, and sums per query and row need no further shuffle.
     """
-    sized = with_blocks(df, [query], pair_block(df.sparkSession))
+    sized = cut_groups(df, [query], pair_block(df.sparkSession))
+    if sized is None:
+        sides = [df.select(query, F.col(id).alias(i), F.col(label).alias(f"_l{n}"), *[F.col(f).alias(f"_{n}{f}") for f in features]) for n, i in ((1, "better"), (2, "worse"))]
+        return _differences(sides[0].join(sides[1], query), query, features)
     own = F.pmod(F.xxhash64(id), F.col("_of")).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.col("_of") - 1))
     good = sized.select(
@@ -84,8 +88,11 @@ def pairwise(df: DataFrame, query: str, label: str, features: Sequence[str], id:
         query, spread.alias("_b1"), own.alias("_b2"), F.col(id).alias("worse"), F.col(label).alias("_l2"),
         *[F.col(f).alias(f"_2{f}") for f in features],
     )
-    met = good.join(bad, [query, "_b1", "_b2"]).where(F.col("_l1") > F.col("_l2"))
-    return met.select(query, "better", "worse", *[(F.col(f"_1{f}") - F.col(f"_2{f}")).alias(f) for f in features])
+    return _differences(good.join(bad, [query, "_b1", "_b2"]), query, features)
+
+
+def _differences(met: DataFrame, query: str, features: Sequence[str]) -> DataFrame:
+    return met.where(F.col("_l1") > F.col("_l2")).select(query, "better", "worse", *[(F.col(f"_1{f}") - F.col(f"_2{f}")).alias(f) for f in features])
 
 
 def pairwise_fit(pairs: DataFrame, features: Sequence[str], iters: int = 20):

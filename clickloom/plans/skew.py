@@ -83,10 +83,16 @@ def with_blocks(df: DataFrame, keys: Sequence[str], block: int, name: str = "_of
     The large groups are counted first: with none there is nothing to join, a list of checked length is
     broadcast, and a longer one is joined by its keys.
     """
+    cut = cut_groups(df, keys, block, name)
+    return df.withColumn(name, F.lit(1)) if cut is None else cut
+
+
+def cut_groups(df: DataFrame, keys: Sequence[str], block: int, name: str = "_of") -> DataFrame | None:
+    """``with_blocks``, or nothing if no group has more than ``block`` rows."""
     large = hot_keys(df, keys, block).withColumnRenamed("_blocks", name)
     found = large.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
-        return df.withColumn(name, F.lit(1))
+        return None
     if found <= BROADCAST_ROWS:
         out = df.join(F.broadcast(large), list(keys), "left")
     else:
