@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,18 @@ from clickloom.operators.evaluation import classification_report
 from clickloom.plans.ranks import top_n
 from clickloom.plans.skew import hot_keys, salted_join
 from clickloom.plans.stage import written
-from clickloom.session import fresh_dir
 
 QUERY_BLOCK = 128
 VECTOR_BLOCK = 8_192
 EXACT_ROWS = 65_536
 STRIP = 64
 MOST_CENTRES = 65_536
+# Bytes of vectors, in single and their own precision, that a task of an exact search holds.
+HELD_BYTES = 32 << 20
+# Scores in single precision are taken up to this size of a component and rounded by this much.
+LARGEST_SINGLE, ROUNDED = 1e15, 2.0**-24
+# Places per query and tile above which the tile is scored in double precision.
+MANY = 64
 
 
 def _near(score: np.ndarray, k: int, margin: np.ndarray | float) -> np.ndarray:
@@ -40,57 +46,156 @@ def _near(score: np.ndarray, k: int, margin: np.ndarray | float) -> np.ndarray:
     return np.flatnonzero(score <= (bound + margin)[:, None])
 
 
+def _finite(m: np.ndarray) -> np.ndarray:
+    """The rows as they are, those that hold a component that is infinite or no number as no number throughout."""
+    odd = ~np.isfinite(m).all(axis=1)
+    return np.where(odd[:, None], np.nan, m) if odd.any() else m
+
+
+class _Held:
+    """The vectors of one group, made ready once for many queries.
+
+    A tile of scores comes from one product in single precision. Smallest scores of strips bound the k-th best of a query from
+    above; what lies within that bound and the rounding of the product is scored again in double precision. Where that would be
+    too much, as with many near copies, and where components are too large, the tile's product is taken in double precision.
+    """
+
+    def __init__(self, vm: np.ndarray, vid: np.ndarray, metric: str, same_table: bool, k: int):
+        self.metric, self.k, self.vid, n = metric, k, vid, len(vm)
+        vm = _finite(vm)
+        if metric == "cosine":
+            vm = vm.astype(np.float64, copy=False)
+            vm = vm / np.linalg.norm(vm, axis=1, keepdims=True)
+        self.vm = vm
+        self.place_of = np.unique(vid, return_inverse=True)[1]
+        self.order = np.argsort(vid, kind="stable") if same_table else None
+        self.strip = max(1, min(STRIP, n // (4 * k)))
+        self.tile = VECTOR_BLOCK // self.strip * self.strip
+        self.single = bool(np.nanmax(np.abs(vm), initial=0.0) <= LARGEST_SINGLE)
+        if not self.single:
+            return
+        wide = vm.shape[1] + (metric == "l2")
+        self.ready = np.full((-(-n // self.strip) * self.strip, wide), np.nan, np.float32)
+        self.most = 0.0
+        for i in range(0, n, VECTOR_BLOCK):
+            part = vm[i : i + VECTOR_BLOCK].astype(np.float64, copy=False)
+            squares = (part**2).sum(1)
+            self.most = max(self.most, float(np.nanmax(squares, initial=0.0)))
+            self.ready[i : i + len(part), : vm.shape[1]] = -2 * part if metric == "l2" else -part
+            if metric == "l2":
+                self.ready[i : i + len(part), -1] = squares
+
+    def _own(self, qid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of equal ids, found by order, without a comparison of all with all: (query, vector)."""
+        if self.order is None:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        low, high = np.searchsorted(self.vid, qid, "left", self.order), np.searchsorted(self.vid, qid, "right", self.order)
+        rows = np.flatnonzero(high > low)
+        cols = [self.order[low[r] : high[r]] for r in rows]
+        return np.repeat(rows, [len(c) for c in cols]), np.concatenate([np.empty(0, np.int64), *cols])
+
+    def _exact(self, qm: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows))
+        for i in range(0, len(rows), EXACT_ROWS):
+            r, c = qm[rows[i : i + EXACT_ROWS]], self.vm[cols[i : i + EXACT_ROWS]].astype(np.float64, copy=False)
+            out[i : i + EXACT_ROWS] = np.sqrt(((r - c) ** 2).sum(1)) if self.metric == "l2" else -np.einsum("ij,ij->i", r, c)
+        return out
+
+    def _double(self, qm: np.ndarray, first: int, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) of one tile, among them the best of every query, by a product in double precision."""
+        vm = self.vm[first : first + self.tile].astype(np.float64, copy=False)
+        score = qm @ vm.T
+        margin = 2e-9
+        if self.metric == "l2":
+            q2, v2 = (qm**2).sum(1), (vm**2).sum(1)
+            score *= -2
+            score += v2[None, :]
+            score += q2[:, None]
+            # Expanding the square loses digits: all that can be among the k best are taken again, exactly.
+            largest = q2 + v2[np.isfinite(v2)].max(initial=0.0)
+            margin = 1e-13 * qm.shape[1] * largest + 1e-8 * (1 + np.sqrt(largest))
+        else:
+            np.negative(score, out=score)
+        here = (own[1] >= first) & (own[1] < first + len(vm))
+        score[own[0][here], own[1][here] - first] = np.inf
+        rows, cols = np.divmod(_near(score, self.k, margin), score.shape[1])
+        # Scores that are no number or infinite are no neighbours.
+        fine = np.isfinite(score[rows, cols])
+        rows, cols = rows[fine], cols[fine] + first
+        return self._cut(rows, cols, self._exact(qm, rows, cols))
+
+    def _cut(self, rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fine = np.isfinite(score)
+        rows, cols, score = rows[fine], cols[fine], np.round(score[fine], 9)
+        order = np.lexsort((self.place_of[cols], score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
+        return rows[keep], cols[keep], score[keep]
+
+    def best(self, qm: np.ndarray, qid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score) of the ``k`` best vectors per query, smaller is better, ties to the smaller id."""
+        qm = _finite(qm.astype(np.float64, copy=False))
+        if self.metric == "cosine":
+            qm = qm / np.linalg.norm(qm, axis=1, keepdims=True)
+        own = self._own(qid)
+        sure, maybe = [], []
+        if self.single and np.nanmax(np.abs(qm), initial=0.0) <= LARGEST_SINGLE:
+            q2 = (qm**2).sum(1)
+            product = np.sqrt(q2 * self.most)
+            size = self.most + 2 * product if self.metric == "l2" else product
+            # Both the bound and the score can be off by the rounding of a product of this length.
+            margin = 2 * (self.ready.shape[1] + 8) * ROUNDED * size + 1e-8 * (1 + np.sqrt(q2 + self.most))
+            q32 = np.ones((self.ready.shape[1], len(qm)), np.float32)
+            q32[: qm.shape[1]] = qm.T
+            low = np.full((self.k, len(qm)), np.inf, np.float32)
+            for first in range(0, len(self.ready), self.tile):
+                score = self.ready[first : first + self.tile] @ q32
+                here = (own[1] >= first) & (own[1] < first + len(score))
+                score[own[1][here] - first, own[0][here]] = np.nan
+                strips = score.reshape(len(score) // self.strip, self.strip, len(qm))
+                least = np.fmin.reduce(strips, axis=1)
+                low = np.partition(np.concatenate([low, np.where(np.isnan(least), np.float32(np.inf), least)]), self.k - 1, axis=0)[: self.k]
+                bound = low[-1] + margin
+                s, r = np.nonzero(least <= bound)
+                inside = strips[s, :, r]
+                a, b = np.nonzero(inside <= bound[r][:, None])
+                if len(a) > MANY * max(len(qm), self.k):
+                    sure.append(self._double(qm, first, own))
+                else:
+                    maybe.append((r[a], first + s[a] * self.strip + b, inside[a, b]))
+            rows, cols, rough = (np.concatenate(x) for x in zip(*maybe, strict=True)) if maybe else (np.empty(0, np.int64),) * 3
+            near = rough <= (low[-1] + margin)[rows]
+            rows, cols = rows[near], cols[near]
+            sure.append((rows, cols, self._exact(qm, rows, cols)))
+        else:
+            sure = [self._double(qm, first, own) for first in range(0, len(self.vm), self.tile)]
+        rows, cols, score = self._cut(*(np.concatenate(x) for x in zip(*sure, strict=True)))
+        return qid[rows], self.vid[cols], score
+
+
 def _best(qm: np.ndarray, qid: np.ndarray, vm: np.ndarray, vid: np.ndarray, k: int, metric: str, same_table: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of the ``k`` best vectors per query, smaller is better, ties to the smaller id."""
-    if metric == "cosine":
-        qm = qm / np.linalg.norm(qm, axis=1, keepdims=True)
-        vm = vm / np.linalg.norm(vm, axis=1, keepdims=True)
-    score = qm @ vm.T
-    margin = 2e-9
-    if metric == "l2":
-        q2, v2 = (qm**2).sum(1), (vm**2).sum(1)
-        score *= -2
-        score += v2[None, :]
-        score += q2[:, None]
-        # Expanding the square loses digits: all that can be among the k best are taken again, exactly.
-        largest = q2 + v2[np.isfinite(v2)].max(initial=0.0)
-        margin = 1e-13 * qm.shape[1] * largest + 1e-8 * (1 + np.sqrt(largest))
-    else:
-        np.negative(score, out=score)
-    if same_table:
-        # Equal ids are found by order, without a comparison of all with all.
-        order = np.argsort(vid, kind="stable")
-        low, high = np.searchsorted(vid, qid, "left", order), np.searchsorted(vid, qid, "right", order)
-        for r in np.flatnonzero(high > low):
-            score[r, order[low[r] : high[r]]] = np.inf
-    rows, cols = np.divmod(_near(score, k, margin), score.shape[1])
-    picked = score[rows, cols]
-    # Scores that are no number or infinite are no neighbours.
-    fine = np.isfinite(picked)
-    rows, cols, picked = rows[fine], cols[fine], picked[fine]
-    if metric == "l2":
-        for i in range(0, len(rows), EXACT_ROWS):
-            r, c = rows[i : i + EXACT_ROWS], cols[i : i + EXACT_ROWS]
-            picked[i : i + EXACT_ROWS] = np.sqrt(((qm[r] - vm[c]) ** 2).sum(1))
-    picked = np.round(picked, 9)
-    place_of = np.unique(vid, return_inverse=True)[1]
-    order = np.lexsort((place_of[cols], picked, rows))
-    rows, cols, picked = rows[order], cols[order], picked[order]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return qid[rows[keep]], vid[cols[keep]], picked[keep]
+    return _Held(vm, vid, metric, same_table, k).best(qm, qid)
 
 
 def _matrix(vec: pa.Array, rows: int) -> np.ndarray:
-    return vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    flat = vec.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(flat.dtype if flat.dtype in (np.float32, np.float64) else np.float64, copy=False).reshape(rows, -1)
+
+
+def _held_rows(vectors: DataFrame) -> tuple[int, int]:
+    """How many vectors there are, and how many of them one task holds."""
+    n, wide = vectors.where("vec IS NOT NULL").agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    return n, max(VECTOR_BLOCK, HELD_BYTES // (8 * max(wide or 1, 1)))
 
 
-def _met(q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_table: bool) -> DataFrame:
+def _met(q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_table: bool, groups_made: int = 0) -> DataFrame:
     """Best vectors of every group for the group's queries: (query_id, id, score).
 
     Vectors are dealt by ``keys`` once and come first inside their group, the queries run past them in batches: a task holds the
     vectors of one group and one batch of queries, however many queries there are. Groups must have bounded numbers of vectors.
     """
-    parts = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(groups_made, int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = [*keys, "dim"]
 
     def tagged(df: DataFrame, kind: int) -> DataFrame:
@@ -101,7 +206,7 @@ def _met(q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_
     schema = f"query_id {q.schema['id'].dataType.simpleString()}, id {id_type}, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, ready = None, [], None
+        group, held, ready, types = None, [], None, None
         for b in batches:
             new = np.zeros(b.num_rows, bool)
             new[:1] = True
@@ -118,14 +223,15 @@ def _met(q: DataFrame, v: DataFrame, keys: list[str], k: int, metric: str, same_
                 if b.column("kind")[start].as_py() == 0:
                     held.append((ids, vec))
                     continue
-                if not held:
-                    continue
                 if ready is None:
-                    ready = pa.concat_arrays([i for i, _ in held]).to_numpy(zero_copy_only=False), np.concatenate([m for _, m in held])
+                    if not held:
+                        continue
+                    types = (ids.type, held[0][0].type, pa.float64())
+                    known = pa.concat_arrays([i for i, _ in held]).to_numpy(zero_copy_only=False)
+                    ready, held = _Held(np.concatenate([m for _, m in held]), known, metric, same_table, k), []
                 for i in range(0, len(vec), QUERY_BLOCK):
                     mine = slice(i, i + QUERY_BLOCK)
-                    found = _best(vec[mine], ids.to_numpy(zero_copy_only=False)[mine], ready[1], ready[0], k, metric, same_table)
-                    types = (ids.type, held[0][0].type, pa.float64())
+                    found = ready.best(vec[mine], ids.to_numpy(zero_copy_only=False)[mine])
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types, strict=True)], names=["query_id", "id", "score"])
 
     return both.mapInArrow(run, schema)
@@ -139,14 +245,20 @@ def _top(found: DataFrame, k: int, metric: str) -> DataFrame:
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, metric: str = "l2", same_table: bool = False) -> DataFrame:
     """Exact ``k`` nearest vectors (id, vec) for every query (id, vec): (query_id, id, score, rn).
 
-    Vectors are dealt into blocks once, every query visits all blocks, and a block hands back only its ``k`` best per query.
-    ``metric`` is ``l2`` (distance), ``dot`` or ``cosine`` (similarity); ties go to the smaller id. Rows without a vector take no
-    part; vectors of different length never meet.
+    Vectors are dealt into blocks, every query visits all blocks, and a block hands back only its ``k`` best per query. A block
+    holds as many vectors as a task may, so queries are repeated as seldom as can be; where there are fewer blocks than cores, the
+    queries of a block are cut into parts too. ``metric`` is ``l2`` (distance), ``dot`` or ``cosine`` (similarity); ties go to the
+    smaller id. Rows without a vector take no part; vectors of different length never meet.
     """
-    blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
-    q = queries.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
-    v = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("vb"))
-    return _top(_met(q, v, ["vb"], k, metric, same_table), k, metric)
+    n, most = _held_rows(vectors)
+    asked = n if queries is vectors else queries.count()
+    wanted = 8 * queries.sparkSession.sparkContext.defaultParallelism
+    # Rows are repeated least when both sides are cut alike.
+    blocks = max(1, -(-n // most), min(-(-n // VECTOR_BLOCK), math.isqrt(wanted)))
+    parts = max(1, min(-(-wanted // blocks), -(-asked // (16 * QUERY_BLOCK))))
+    q = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
+    v = vectors.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("vb"))
+    return _top(_met(q, v, ["qb", "vb"], k, metric, same_table, blocks * parts), k, metric)
 
 
 def coarse_centres(vectors: DataFrame, n: int, seed: int = 7) -> DataFrame:
@@ -168,11 +280,12 @@ def nearest_centres(df: DataFrame, centres: DataFrame, n: int, metric: str = "l2
     schema = df.select("id", "vec", F.lit(None).cast(centres.schema["centre"].dataType).alias("centre")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(points, np.arange(len(points)), metric, False, n)
         for b in batches:
             for i in range(0, b.num_rows, QUERY_BLOCK):
                 part = b.slice(i, QUERY_BLOCK)
                 vec = _matrix(part.column("vec"), part.num_rows)
-                rows, near, _ = _best(vec, np.arange(len(vec)), points, np.arange(len(points)), n, metric, False)
+                rows, near, _ = held.best(vec, np.arange(len(vec)))
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("vec"), names.take(pa.array(near))], names=["id", "vec", "centre"])
 
@@ -182,19 +295,19 @@ def nearest_centres(df: DataFrame, centres: DataFrame, n: int, metric: str = "l2
 
 
 def inverted_lists(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """Every vector at its nearest centre, written once and partitioned by centre: (id, vec, centre, part).
+    """Every vector at its nearest centre, written once, list by list: (id, vec, centre, part).
 
-    A list longer than ``VECTOR_BLOCK`` is cut into parts by a hash of the id, so a centre that draws a third of all vectors costs
-    no task more than the others.
+    The rows of a list lie next to each other in one file, and a file holds many lists, so the number of files does not grow with
+    that of centres. A list longer than ``VECTOR_BLOCK`` is cut into parts by a hash of the id, so a centre that draws a third of
+    all vectors costs no task more than the others.
     """
     spark = vectors.sparkSession
     placed = written(nearest_centres(vectors, centres, 1), "placed")
     # One row per centre, a number that the index fixes.
     sizes = placed.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("parts"))
     cut = placed.join(F.broadcast(sizes), "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    path = fresh_dir(spark, "inverted")
-    cut.select("id", "vec", "centre", "part", "parts").write.partitionBy("centre").parquet(path)
-    return spark.read.schema(cut.select("id", "vec", "part", "parts", "centre").schema).parquet(path)
+    near = cut.select("id", "vec", "part", "parts", "centre").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "centre", "part")
+    return written(near.sortWithinPartitions("centre", "part"), "inverted")
 
 
 def ivf_search(queries: DataFrame, lists: DataFrame, centres: DataFrame, k: int = 5, probes: int = 10, metric: str = "l2", same_table: bool = False) -> DataFrame:
