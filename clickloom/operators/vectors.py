@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.numeric import dot, stable_uniform
 from clickloom.operators.evaluation import classification_report
 from clickloom.plans.ranks import top_n
-from clickloom.plans.skew import hot_keys, salted_join
+from clickloom.plans.skew import hot_keys
 from clickloom.plans.stage import written
 
 QUERY_BLOCK = 128
@@ -346,16 +346,21 @@ def knn_lsh(
 
     def buckets(df: DataFrame) -> DataFrame:
         hashed = lsh.transform(as_ml(df)).select("id", "vec", F.posexplode("h").alias("tab", "hv"))
-        return hashed.select("id", "vec", "tab", vector_to_array("hv")[0].alias("bucket"))
-
-    q, v = buckets(queries), buckets(vectors)
-    # The vectors of a bucket are cut into parts; its queries visit them all.
-    home = ["tab", "bucket"]
-    parts = hot_keys(v, home, VECTOR_BLOCK).withColumnRenamed("_blocks", "_parts")
-    v = salted_join(v, parts, home, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    q = salted_join(q, parts, home, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    # A pair can meet in several tables.
-    return _top(_met(q, v, [*home, "part"], k, "l2", False).distinct(), k, "l2")
+        return written(hashed.select("id", "vec", "tab", vector_to_array("hv")[0].alias("bucket")), "buckets")
+
+    v = buckets(vectors)
+    q = v if queries is vectors else buckets(queries)
+    # The vectors of a bucket that a task can not hold are cut into parts, its queries too, and every part meets every part.
+    home, most = ["tab", "bucket"], _held_rows(v)[1]
+    cut = F.broadcast(hot_keys(v, home, most).withColumnRenamed("_blocks", "_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    own, other = F.pmod(F.xxhash64("id"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
+    v = v.join(cut, home, "left").select("id", "vec", *home, own.alias("vb"), other.alias("qb"))
+    q = q.join(cut, home, "left").select("id", "vec", *home, other.alias("vb"), own.alias("qb"))
+    # A pair can meet in several tables; its rows go to the query's place at once, where they are made one and ranked.
+    found = _met(q, v, [*home, "vb", "qb"], k, "l2", False)
+    found = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    return _top(found.distinct(), k, "l2")
 
 
 def recall_against(approx: DataFrame, exact: DataFrame) -> DataFrame:

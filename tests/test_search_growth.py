@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -34,6 +36,19 @@ def test_a_search_repeats_queries_by_the_memory_of_a_task(spark, monkeypatch):
     assert sorted(got) == sorted(want) and seen[0] <= 300 * 6
 
 
+def test_hash_buckets_larger_than_a_task_meet_part_by_part(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(240, 5)).round(1).astype("f4")
+    v = rows(spark, x)
+    want = sorted(vectors.knn_lsh(v, v, 4, width=3.0, tables=3).collect())
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 20)
+    monkeypatch.setattr(vectors, "HELD_BYTES", 0)
+    found = vectors.knn_lsh(v, v, 4, width=3.0, tables=3)
+    assert sorted(found.collect()) == want
+    # Found pairs are dealt by their query once: no second exchange makes them one or ranks them.
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert len(re.findall(r"Exchange hashpartitioning\(query_id", plan)) <= 1
+
+
 @pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
 @pytest.mark.parametrize("case", ["near copies", "large", "odd"])
 def test_single_precision_loses_no_neighbour(metric, case):
