@@ -83,8 +83,8 @@ def tx6(t: Tables) -> DataFrame:
 @query("tx7_intent_classifier")
 def tx7(t: Tables) -> DataFrame:
     rows = t.spread(t.conversations.select("conv_id", "turn", "text", "role"), "conv_id", "turn")
-    model = search.intent_fit(rows, "text", "role")
-    scored = model.transform(search.with_grams(rows, "text"))
+    features = search.intent_features(rows, "text")
+    scored = search.intent_fit(features, "text", "role").transform(features)
     return scored.groupBy("role", "prediction").agg(F.count(F.lit(1)).alias("cnt"))
 
 

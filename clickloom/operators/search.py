@@ -172,8 +172,18 @@ def with_grams(df: DataFrame, text: str, low: int = 1, high: int = 3) -> DataFra
     return df.withColumn("grams", ngrams_of(F.col(text), low, high))
 
 
+def intent_features(df: DataFrame, text: str, width: int = 1 << 16) -> DataFrame:
+    """The rows with their hashed gram counts in ``features``, written once: fitting reads them more than once and scoring again."""
+    hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=width).transform(with_grams(df, text))
+    return written(hashed.drop("grams", text), "intent-features")
+
+
 def intent_fit(df: DataFrame, text: str, label: str, algo: str = "logistic"):
-    return intent_stages(text, label, algo).fit(with_grams(df, text))
+    """A fitted model of the texts, or of the ``features`` of ``intent_features``, which it then scores too."""
+    pipeline = intent_stages(text, label, algo)
+    if "features" not in df.columns:
+        return pipeline.fit(with_grams(df, text))
+    return Pipeline(stages=[x for x in pipeline.getStages() if not isinstance(x, HashingTF)]).fit(df)
 
 
 def _deletions(text: Column) -> Column:
