@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.text import words
 
-# Signs cut from both ends of a token.
-_EDGE = r"^[.,!?;:\"'()\[\]]+|[.,!?;:\"'()\[\]]+$"
+# Signs cut from both ends of a token, where it stands in its text. A line mark may come last in a token.
+_SIGNS = r"[.,!?;:\"'()\[\]]+"
+_EDGE = rf"(?<!\S){_SIGNS}|{_SIGNS}(?=[\u0085\u2028\u2029]?(?!\S))"
 
 # Parent type of an entity type.
 PARENT_TYPE = {"car_model": "car_brand", "city": "region"}
@@ -18,7 +19,7 @@ PARENT_TYPE = {"car_model": "car_brand", "city": "region"}
 
 def tokens(text: Column) -> Column:
     """White-space tokens without punctuation at their ends."""
-    return F.filter(F.transform(words(text), lambda w: F.regexp_replace(w, _EDGE, "")), lambda w: w != "")
+    return words(F.regexp_replace(text, _EDGE, ""))
 
 
 def read_gazetteer(rows: DataFrame) -> DataFrame:
@@ -31,9 +32,9 @@ def phrase_match(df: DataFrame, id: str, text: str, gazetteer: DataFrame, max_to
     """Every place where a gazetteer surface occurs, token by token and whatever the case:
     (id, start, end, text, type, surface). ``end`` is exclusive, tokens count from 0.
 
-    Texts become word n-grams as long as the longest surface (at most ``max_tokens``), which meet the
-    gazetteer by equality; Spark broadcasts a gazetteer it measures as small. Longer surfaces are found
-    by their first ``max_tokens`` tokens and then compared whole.
+    Tokens that begin no surface leave first. The others become word n-grams as long as the longest surface with their beginning
+    (at most ``max_tokens``), which meet the gazetteer by equality; Spark broadcasts a gazetteer it measures as small. Longer
+    surfaces are found by their first ``max_tokens`` tokens and then compared whole.
     """
     gaz = read_gazetteer(gazetteer.drop("gram", "n_tokens"))
     longest = gaz.agg(F.max("n_tokens")).first()[0] or 1
@@ -42,15 +43,12 @@ def phrase_match(df: DataFrame, id: str, text: str, gazetteer: DataFrame, max_to
     toks = df.select(id, tokens(F.col(text)).alias("_t"))
 
     # Each place takes only its own few tokens along, never the whole text.
-    def grams_of(n: int) -> Column:
-        gram = lambda i: F.struct(
-            i.alias("start"), F.lit(n).alias("n"), F.concat_ws(" ", *[F.get("_t", i + d) for d in range(n)]).alias("text")
-        )
-        spots = F.transform(F.sequence(F.lit(0), F.size("_t") - n), gram)
-        return F.when(F.size("_t") >= n, spots).otherwise(F.slice(F.transform(F.array(F.lit(0)), gram), 1, 0))
-
-    grams = toks.select(id, F.explode(F.concat(*[grams_of(n) for n in range(1, max_tokens + 1)])).alias("_p"))
-    grams = grams.select(id, "_p.start", "_p.n", "_p.text").withColumn("_head", F.lower("text"))
+    places = toks.select(id, "_t", F.posexplode("_t").alias("start", "_w"))
+    places = places.select(id, "start", F.lower("_w").alias("_first"), F.slice("_t", F.col("start") + 1, max_tokens).alias("_ws"))
+    firsts = gaz.groupBy(F.substring_index("gram", " ", 1).alias("_first")).agg(F.max(F.least("n_tokens", F.lit(max_tokens))).alias("_most"))
+    begun = places.join(firsts, "_first")
+    grams = begun.select(id, "start", "_ws", F.explode(F.sequence(F.lit(1), F.least("_most", F.size("_ws")))).alias("n"))
+    grams = grams.select(id, "start", "n", F.array_join(F.slice("_ws", 1, F.col("n")), " ").alias("text")).withColumn("_head", F.lower("text"))
     hit = grams.join(gaz, "_head")
     short = hit.where(F.col("n_tokens") <= max_tokens).select(
         id, "start", (F.col("start") + F.col("n_tokens")).alias("end"), "text", "type", "surface"
