@@ -7,7 +7,7 @@ to the smaller id exactly. A shard and a block are matrices of bounded size; eac
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ from clickloom.plans.stage import written
 
 SHARD_ROWS = 8_192
 BLOCK_ROWS = 512
+CHUNK_BLOCKS = 64
 PACKED = "dim int, {part} int, n long, vectors binary, counts binary, ids binary"
 
 
@@ -78,22 +79,25 @@ def unpack(row: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def meet(index: DataFrame, n_shards: int, queries: DataFrame, answer: Callable[[dict, dict, int], tuple[np.ndarray, np.ndarray, np.ndarray]], score: pa.DataType) -> DataFrame:
     """(query_id, vec_id, score) of every block against every shard of its dimension; ``answer`` gives the best of one pair.
 
-    Each block is sent once to every shard: the joined rows are as many as pairs of block and shard, not of vectors.
+    A group is one shard and a chunk of up to ``CHUNK_BLOCKS`` blocks: a block is sent once to every shard, a shard once to every chunk,
+    both by shuffles. A join would be free to broadcast the sent blocks, whose size grows with queries times shards.
     """
-    names = [c for c in index.columns if c not in ("dim", "shard")]
-    sent = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    sent = sent.select("dim", "shard", F.struct(*[c for c in queries.columns if c not in ("dim", "block")]).alias("q"))
-    pairs = sent.join(index.select("dim", "shard", F.struct(*names).alias("s")), ["dim", "shard"])
+    queries = written(queries, "query-blocks")
+    last = queries.agg(F.max("block")).first()[0] or 0
+    packed = [c for c in index.columns if c not in ("dim", "shard")]
+    key = ["dim", "shard", "chunk"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    sent = queries.withColumn("chunk", F.floor(F.col("block") / CHUNK_BLOCKS).cast("int")).withColumn("shard", every(n_shards - 1)).select(*key, *packed)
+    near = index.withColumn("chunk", every(last // CHUNK_BLOCKS)).select(*key, *packed)
     kind = "double" if pa.types.is_floating(score) else "long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]  # one pair at a time
-                q, v, s = answer(r["q"], r["s"], r["dim"])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, score)], names=["query_id", "vec_id", "score"])
+    def run(q: pa.Table, s: pa.Table) -> pa.Table:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, score.to_pandas_dtype()))]
+        for shard in s.to_pylist():
+            found += [answer(q.slice(i, 1).to_pylist()[0], shard, shard["dim"]) for i in range(q.num_rows)]
+        return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), score], strict=True)], names=["query_id", "vec_id", "score"])
 
-    return pairs.select("dim", "q", "s").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    return sent.groupBy(*key).cogroup(near.groupBy(*key)).applyInArrow(run, f"query_id long, vec_id long, score {kind}")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

@@ -18,6 +18,8 @@ from clickloom.llm.blocks import BLOCK_ROWS, SHARD_ROWS, best, blocks, meet, mos
 LEVELS = (4, 8, 16)
 SCALE = 256
 EXACT = 2.0**53
+QUERIES_AT_ONCE = 32
+MOST_AT_ONCE = 1_000
 
 
 def integers(vector: Column, scale: int = SCALE) -> Column:
@@ -60,6 +62,34 @@ def survivors(q: np.ndarray, x: np.ndarray, levels: list[tuple[np.ndarray, np.nd
     return alive, products(q, x[alive])
 
 
+def survivors_at_once(q: np.ndarray, x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], norms: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``survivors`` of every row of ``q``: a level is one product over the rows of ``x`` that it still has to look at for some query."""
+    if k > MOST_AT_ONCE or float(np.abs(q).sum(axis=1).max()) * float(np.abs(x).max(initial=0)) >= EXACT:
+        return [survivors(one, x, [(a[i], b) for a, b in levels], (float(norms[0][i]), norms[1]), k) for i, one in enumerate(q)]
+    q_norm, x_norm = norms[0][:, None], norms[1]
+    slack = 1e-9 * (q_norm + float(x_norm.max(initial=0)))
+    rows, alive, floor = np.arange(len(x)), np.ones((len(q), len(x)), bool), np.full((len(q), 1), -np.inf)
+    for of_q, of_x in levels:
+        near = of_x if len(rows) == len(of_x) else of_x[rows]
+        # (q_norm + x_norm - distance) / 2 + slack, with the squares of the distance taken to their side.
+        most = of_q @ near.T
+        most += (q_norm - (of_q**2).sum(axis=1)[:, None]) / 2 + slack
+        most += (x_norm[rows] - (near**2).sum(axis=1)) / 2
+        most[~alive] = -np.inf
+        enough = alive.sum(axis=1) > k
+        if enough.any():
+            # The k most promising give a floor that every later candidate has to reach.
+            first = rows[np.argpartition(most, len(rows) - k, axis=1)[:, len(rows) - k :]]
+            least = np.matmul(x[first], q[:, :, None])[:, :, 0].min(axis=1)
+            floor = np.where(enough[:, None], np.maximum(floor, least[:, None]), floor)
+        alive &= most >= floor
+        some = alive.any(axis=0)
+        rows, alive = rows[some], alive[:, some]
+    score = q @ x[rows].T
+    alive &= score >= floor
+    return [(rows[a], s[a].astype(np.int64)) for a, s in zip(alive, score, strict=True)]
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int, row_id: str = "vec_id", vector: str = "embedding", levels: tuple[int, ...] = LEVELS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The k highest integer inner products of every query row: query_id, rank (from 1), vec_id, score (long).
 
@@ -72,20 +102,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, row_id: str = "vec_id"
     enough = k * most_vectors(rows) + 1
     asked = blocks(usable(vectors.where(is_query), row_id, vector), block_rows)
 
+    prepared: dict = {}
+
     def answer(q: dict, s: dict, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (queries, q_starts, q_ids), (near, v_starts, v_ids) = unpack(q, dim), unpack(s, dim)
-        of_q, of_x = [segments(queries, n) for n in levels if dim], [segments(near, n) for n in levels if dim]
-        q_norm, x_norm = (queries**2).sum(axis=1), (near**2).sum(axis=1)
+        queries, q_starts, q_ids = unpack(q, dim)
+        if prepared.get("shard") is not s:  # the blocks of a chunk meet the same shard
+            near, v_starts, v_ids = unpack(s, dim)
+            prepared.update(shard=s, near=near, starts=v_starts, ids=v_ids, of_x=[segments(near, n) for n in levels if dim], norm=(near**2).sum(axis=1))
+        near, v_starts, v_ids, of_x = (prepared[c] for c in ("near", "starts", "ids", "of_x"))
+        of_q, q_norm = [segments(queries, n) for n in levels if dim], (queries**2).sum(axis=1)
         lines, found, scores = [], [], []
-        for i, one in enumerate(queries):
-            alive, score = survivors(one, near, [(a[i], b) for a, b in zip(of_q, of_x, strict=True)], (float(q_norm[i]), x_norm), enough)
-            if len(alive) > enough:
-                pick = np.argpartition(-score, enough - 1)[:enough]
-                pick = np.flatnonzero(score >= score[pick].min())  # all that tie at the border
-                alive, score = alive[pick], score[pick]
-            lines.append(np.full(len(alive), i))
-            found.append(alive)
-            scores.append(score)
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            part = slice(at, at + QUERIES_AT_ONCE)
+            kept = survivors_at_once(queries[part], near, [(a[part], b) for a, b in zip(of_q, of_x, strict=True)], (q_norm[part], prepared["norm"]), enough)
+            for i, (alive, score) in enumerate(kept, at):
+                if len(alive) > enough:
+                    pick = np.argpartition(-score, enough - 1)[:enough]
+                    pick = np.flatnonzero(score >= score[pick].min())  # all that tie at the border
+                    alive, score = alive[pick], score[pick]
+                lines.append(np.full(len(alive), i))
+                found.append(alive)
+                scores.append(score)
         none = np.empty(0, np.int64)
         return name_ids(np.concatenate([none, *lines]), np.concatenate([none, *found]), np.concatenate([none, *scores]), (q_starts, q_ids), (v_starts, v_ids), k)
 
