@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from clickloom.functions.numeric import stable_uniform
 from clickloom.operators.evaluation import classification_report
 from clickloom.operators.search import with_grams
 from clickloom.plans.stage import written
+from clickloom.session import input_bytes, scan_bytes
 
 BINS = 1_000
+FITS_AT_ONCE = 8
 
 
 def score_code(score: Column, bins: int = BINS) -> Column:
@@ -74,19 +78,32 @@ def calibrated(df: DataFrame, table: DataFrame, score: str, by: Sequence[str] =
     return df.withColumn("_code", score_code(F.col(score), bins)).join(filled, [*by, "_code"], "left").drop("_code")
 
 
+def _hashed(hashing: HashingTF, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(*keep, features): the rows' own ``features``, or those of their grams."""
+    rows = rows if "features" in rows.columns else hashing.transform(rows.select(*keep, "grams"))
+    return rows.select(*keep, "features")
+
+
 def _margin_model(rows: DataFrame, label_index: str, iters: int, width: int, classes: Sequence[str]) -> tuple[HashingTF, np.ndarray, np.ndarray]:
     """One linear margin per class against all others: the hashing, a row of weights and an intercept per class."""
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=width)
-    data = hashing.transform(rows.select("grams", label_index))
-    svm = LinearSVC(maxIter=iters, regParam=0.01, labelCol="_is")
-    fits = [svm.fit(data.withColumn("_is", (F.col(label_index) == i).cast("double"))) for i in range(len(classes))]
+    data = _hashed(hashing, rows, [label_index])
+    spark = rows.sparkSession
+
+    @inheritable_thread_target(spark)
+    def fit(i: int) -> LinearSVCModel:
+        return LinearSVC(maxIter=iters, regParam=0.01, labelCol="_is").fit(data.withColumn("_is", (F.col(label_index) == i).cast("double")))
+
+    # A fit is a chain of short jobs, which leave most cores idle on small tables; large ones fill them, and each fit keeps its rows.
+    with ThreadPool(FITS_AT_ONCE if input_bytes(data) <= scan_bytes(spark) else 1) as pool:
+        fits = pool.map(fit, range(len(classes)), chunksize=1)
     return hashing, np.array([m.coefficients.toArray() for m in fits]).reshape(len(fits), width), np.array([m.intercept for m in fits])
 
 
 def class_scores(model: tuple[HashingTF, np.ndarray, np.ndarray], rows: DataFrame, classes: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(*keep, class, place, score): one row per class with the row's margin. Only the weights go to the tasks, no fitted model."""
     hashing, weights, intercepts = model
-    hashed = hashing.transform(rows.select(*keep, "grams")).select(*keep, "features")
+    hashed = _hashed(hashing, rows, keep)
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,7 +140,10 @@ def calibrated_intents(df: DataFrame, id: Sequence[str], text: str, label: str,
     labels, not of rows: they come to the driver.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(*id, text, label)
-    rows = written(with_grams(rows.withColumn("_held", stable_uniform(seed + 1, *[F.col(c) for c in id]) < held_out), text).drop(text), "grams")
+    rows = rows.withColumn("_held", stable_uniform(seed + 1, *[F.col(c) for c in id]) < held_out)
+    # Every fit reads the rows several times and scoring again: grams are made and hashed once.
+    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=width)
+    rows = written(hashing.transform(with_grams(rows, text)).drop("grams", text), "features")
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows.where("NOT _held"))
     classes = list(index.labels)
     train, test = index.transform(rows.where("NOT _held")), index.transform(rows.where("_held"))
